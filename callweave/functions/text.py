@@ -52,13 +52,14 @@ def clean(text: Column, stopwords: Sequence[str]) -> Column:
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of sizes low..high, joined with a blank."""
-    grams = []
-    for n in range(low, high + 1):
+
+    def of_size(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
             F.array().cast("array<int>")
         )
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*grams)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
 def sentence_id(firm: Column, transcript: Column, position: Column) -> Column:
