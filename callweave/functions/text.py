@@ -51,13 +51,14 @@ def clean(text: Column, stopwords: Sequence[str]) -> Column:
 
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
-    """All n-grams of sizes low..high, joined with a blank."""
+    """All n-grams of sizes low..high, joined with a blank; one pass over the list per size."""
 
     def of_size(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams = F.slice(words, F.lit(1), count)
+        for shift in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(words, F.lit(shift), count), lambda a, b: F.concat_ws(" ", a, b))
+        return grams
 
     return F.concat(*[of_size(n) for n in range(low, high + 1)])
 

@@ -18,11 +18,16 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once per row and hand it to `body`; a plain reference inside a lambda
+    would be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """Vector of length one; NULL for a zero vector."""
     wide = doubles(a)
-    length = norm(wide)
-    return F.when(length > 0, F.transform(wide, lambda x: x / length))
+    return let(norm(wide), lambda length: F.when(length > 0, F.transform(wide, lambda x: x / length)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -41,6 +46,7 @@ def has_dimension(v: Column, size: int) -> Column:
 def row_shares(v: Column) -> Column:
     """Values scaled to sum one; a row of zeros becomes uniform."""
     whole = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(whole == 0, F.transform(v, lambda x: F.lit(1.0) / F.size(v))).otherwise(
-        F.transform(v, lambda x: x / F.when(whole != 0, whole))
+    uniform = F.try_divide(F.lit(1.0), F.size(v))
+    return F.when(whole == 0, F.array_repeat(uniform, F.size(v))).otherwise(
+        let(F.nullif(whole, F.lit(0.0)), lambda w: F.transform(v, lambda x: x / w))
     )

@@ -84,26 +84,30 @@ def nearest_topics(
     points: DataFrame, keys: Sequence[str], topic: str = "topic_id", vector: str = "embedding", only_noise: bool = True
 ) -> DataFrame:
     """Noise rows move to the topic of the most similar centroid (least id on ties)."""
-    joined = _with_centroids(points, keys, topic, vector).withColumn("_u", vectors.unit(F.col(vector)))
+    joined = _with_centroids(points, keys, topic, vector)
+    # the point's own length does not change which centroid is nearest
     scored = F.transform(
         "_centroids",
-        lambda c: F.struct(vectors.dot(F.col("_u"), c["u"]).alias("sim"), (-c["topic"]).alias("minus"), c["topic"].alias("topic")),
+        lambda c: F.struct(vectors.dot(F.col(vector), c["u"]).alias("dot"), (-c["topic"]).alias("minus")),
     )
-    best = F.array_max(scored)
-    found = F.coalesce(best["topic"], F.col(topic))
+    best = joined.withColumn("_best", F.array_max(scored))
+    found = F.coalesce(-F.col("_best.minus"), F.col(topic))
     chosen = F.when(F.col(topic) == NOISE, found).otherwise(F.col(topic)) if only_noise else found
-    return joined.withColumns({"assigned_topic": chosen, "similarity": best["sim"]}).drop("_centroids", "_u")
+    similarity = F.try_divide(F.col("_best.dot"), vectors.norm(vectors.doubles(F.col(vector))))
+    return best.withColumns({"assigned_topic": chosen, "similarity": similarity}).drop("_centroids", "_best")
 
 
 def topic_shares(points: DataFrame, keys: Sequence[str], topic: str = "topic_id", vector: str = "embedding") -> DataFrame:
     """Non-negative similarity to each centroid, scaled to sum one (uniform when all are zero)."""
-    joined = _with_centroids(points, keys, topic, vector).withColumn("_u", vectors.unit(F.col(vector)))
-    sims = F.transform(
-        "_centroids", lambda c: F.greatest(F.coalesce(vectors.dot(F.col("_u"), c["u"]), F.lit(0.0)), F.lit(0.0))
+    joined = _with_centroids(points, keys, topic, vector)
+    dots = F.transform(
+        "_centroids",
+        lambda c: F.greatest(F.coalesce(vectors.dot(F.col(vector), c["u"]), F.lit(0.0)), F.lit(0.0)),
     )
-    return joined.withColumns(
-        {"topics": F.col("_centroids.topic"), "probabilities": vectors.row_shares(sims)}
-    ).drop("_centroids", "_u")
+    scored = joined.withColumn("_dots", dots)
+    return scored.withColumns(
+        {"topics": F.col("_centroids.topic"), "probabilities": vectors.row_shares(F.col("_dots"))}
+    ).drop("_centroids", "_dots")
 
 
 def term_counts(
@@ -120,7 +124,8 @@ def term_counts(
     A topic's texts count as one document, as in class-based weighting. Terms are counted
     map-side before the only full shuffle.
     """
-    grams = docs.select(*keys, F.explode(text.ngrams(words, low, high)).alias("term"))
+    listed = docs.select(*keys, words.alias("_words"))
+    grams = listed.select(*keys, F.explode(text.ngrams(F.col("_words"), low, high)).alias("term"))
     counted = grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     if min_df <= 1:
         return counted
