@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.catalog import transcript_queries
+from callweave.catalog import market_queries, store_queries, topic_queries, transcript_queries
 
-MODULES = (transcript_queries,)
+MODULES = (transcript_queries, store_queries, topic_queries, market_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

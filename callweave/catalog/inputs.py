@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.session import widen
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows need heavy text work."""
+    return widen(table(spark, folder, name))
+
+
 def components(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as transcript components of seven firms; `system` plays the operator."""
-    return table(spark, folder, "conversations").select(
+    return texts(spark, folder, "conversations").select(
         (F.col("conv_id") % 7).cast("string").alias("companyid"),
         F.concat(F.lit("Firm "), (F.col("conv_id") % 7).cast("string")).alias("companyname"),
         F.col("conv_id").cast("string").alias("transcriptid"),

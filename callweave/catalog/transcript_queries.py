@@ -28,7 +28,7 @@ def sentence_split(spark, folder):
 
 def token_clean(spark, folder):
     words = text.content_tokens(F.col("text"), STOPWORDS)
-    docs = inputs.table(spark, folder, "documents").select("doc_id", words.alias("w"))
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", words.alias("w"))
     return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("cleaned_md5"))
 
 
@@ -126,7 +126,7 @@ def prompt_texts(spark, folder):
 
 def ngram_counts(spark, folder):
     words = text.content_tokens(F.col("text"), STOPWORDS)
-    docs = inputs.table(spark, folder, "documents").select("lang", words.alias("words"))
+    docs = inputs.texts(spark, folder, "documents").select("lang", words.alias("words"))
     grams = docs.select("lang", F.explode(text.ngrams(F.col("words"), 1, 2)).alias("term"))
     return grams.groupBy("lang").agg(F.count(F.lit(1)).alias("n_grams"), F.count_distinct("term").alias("n_terms"))
 

@@ -170,7 +170,7 @@ def topic_coverage(topics: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def similar(rows: DataFrame, query: Column, k: int, item: str = "id", vector: str = "embedding") -> DataFrame:
     """Exact nearest rows by cosine; each task keeps k rows."""
-    scored = rows.withColumn("similarity", vectors.cosine(F.col(vector), query))
+    scored = rows.withColumn("_q", query).withColumn("similarity", vectors.cosine(F.col(vector), F.col("_q"))).drop("_q")
     return scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), item).limit(k)
 
 

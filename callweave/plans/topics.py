@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from callweave.functions import text, vectors
 from callweave.functions.fixed import LABEL_PER_SOURCE, LABEL_TERMS, TOPIC_DEFAULTS, TOPIC_KEYWORDS
 from callweave.operators import scan
+from callweave.session import materialize
 
 NOISE = -1
 
@@ -122,11 +123,12 @@ def term_counts(
     """Term counts per topic, for terms that at least `min_df` topics of the `scope` use.
 
     A topic's texts count as one document, as in class-based weighting. Terms are counted
-    map-side before the only full shuffle.
+    map-side before the only full shuffle, and the counts are written once, so that the
+    totals derived from them never read the texts again.
     """
     listed = docs.select(*keys, words.alias("_words"))
     grams = listed.select(*keys, F.explode(text.ngrams(F.col("_words"), low, high)).alias("term"))
-    counted = grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = materialize(grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     if min_df <= 1:
         return counted
     spread = counted.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_topics"))

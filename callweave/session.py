@@ -41,3 +41,13 @@ def materialize(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="callweave-"))
     return df.checkpoint(eager=True)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than the cluster has cores.
+
+    Multi-line CSV and single-row-group files come as one split each; text work on them would
+    run in few tasks. Scans of many splits stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

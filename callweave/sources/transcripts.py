@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from callweave import schemas
 from callweave.functions import nulls, text
 from callweave.operators import relational
+from callweave.session import widen
 
 
 class Connector(Protocol):
@@ -34,7 +35,7 @@ class TranscriptCsv:
 
     def components(self) -> DataFrame:
         options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-        named = self._spark.read.options(**options).csv(self._path)
+        named = widen(self._spark.read.options(**options).csv(self._path))
         wanted = {f.name: f.dataType.simpleString() for f in schemas.TRANSCRIPTS.fields}
         full = nulls.with_columns(named, **wanted)
         return full.select(*[F.col(n).try_cast(t).alias(n) for n, t in wanted.items()])
