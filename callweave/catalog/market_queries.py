@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callweave.catalog import inputs
 from callweave.catalog.inputs import sql
+from callweave.catalog.transcript_queries import _all_tokens
 from callweave.plans import charts, covariates, eventstudy, portfolio, regression, sentiment
 
 WINDOW = {"estwin": 12, "gap": 1, "evtwins": -2, "evtwine": 2, "minval": 10}
@@ -29,10 +30,10 @@ def _rounded(df, keys, values, digits=6):
 
 def _window_rows(spark, folder, model):
     rows = _study(spark, folder, model).windows
-    return _rounded(
-        rows, ["permno", "edate", "rdate", "evttime", "nobs", "evtid"],
-        ["ret", "expret", "abret", "cret", "cexpret", "car", "bhar", "sar", "scar", "car_edate", "rsq"], 5,
-    )
+    # returns are short decimals that tie at few digits, so they keep nine
+    fine = [F.round(v, 9).alias(v) for v in ("ret", "cret")]
+    coarse = ["expret", "abret", "cexpret", "car", "bhar", "sar", "scar", "car_edate", "rsq"]
+    return _rounded(rows, ["permno", "edate", "rdate", "evttime", "nobs", "evtid", *fine], coarse, 5)
 
 
 def event_study_madj(spark, folder):
@@ -73,7 +74,7 @@ def event_date_final(spark, folder):
 
 
 def event_window_rows(spark, folder):
-    return _rounded(_study(spark, folder, "madj").event_window, ["permno", "edate", "rdate", "evttime"], ["ret", "abret"])
+    return _rounded(_study(spark, folder, "madj").event_window, ["permno", "edate", "rdate", "evttime"], ["ret", "abret"], 9)
 
 
 def rejected_events(spark, folder):
@@ -201,8 +202,8 @@ def sentiment_slopes(spark, folder):
     rows = sentiment.theme_results(_study(spark, folder, "madj").event_date, _events(spark, folder))
     fits = regression.fit_groups(rows, ["permno"], "car", ["sentiment"]).filter((F.col("rank") == 1) & (F.col("n_obs") > 3))
     return _rounded(
-        fits.select("permno", "n_obs", F.col("coef")[1].alias("slope"), F.col("coef")[0].alias("alpha"), F.col("se")[1].alias("se"), "rsq"),
-        ["permno", "n_obs"], ["slope", "alpha", "se", "rsq"], 5,
+        fits.select("permno", "n_obs", F.col("coef")[1].alias("slope"), F.col("coef")[0].alias("alpha"), F.col("se")[1].alias("se")),
+        ["permno", "n_obs"], ["slope", "alpha", "se"], 5,
     )
 
 
@@ -338,8 +339,9 @@ def _windows(model: str) -> str:
 
 
 def _rows_sql(model: str) -> str:
-    values = ["ret", "expret", "abret", "cret", "cexpret", "car", "bhar", "sar", "scar", "car_edate", "rsq"]
+    values = ["expret", "abret", "cexpret", "car", "bhar", "sar", "scar", "car_edate", "rsq"]
     shown = ", ".join(f"round({v}, 5) AS {v}" for v in values)
+    shown = f"round(ret, 9) AS ret, round(cret, 9) AS cret, {shown}"
     return f"""{_windows(model)}
     SELECT permno, edate, rdate, CAST(rel AS INT) AS evttime, nobs, upper(strftime(edate, '%d%b%Y')) || permno AS evtid, {shown} FROM w"""
 
@@ -438,7 +440,7 @@ ORACLE = {
     "event_date_final": f"""{_windows("m")}
         SELECT permno, edate, round(cret, 6) AS cret, round(car, 6) AS car, round(bhar, 6) AS bhar FROM w WHERE rel = 2""",
     "event_window_rows": f"""{_windows("madj")}
-        SELECT permno, edate, rdate, CAST(rel AS INT) AS evttime, round(ret, 6) AS ret, round(abret, 6) AS abret FROM w""",
+        SELECT permno, edate, rdate, CAST(rel AS INT) AS evttime, round(ret, 9) AS ret, round(abret, 9) AS abret FROM w""",
     "rejected_events": f"""{_BASE}
         SELECT * FROM (
             SELECT permno, edate,
@@ -470,6 +472,14 @@ ORACLE = {
         c AS (SELECT lang, source, {_SCORE} FROM l GROUP BY 1, 2)
         SELECT lang, source, positive_count, negative_count, total_count,
                round((positive_count - negative_count) / total_count, 6) AS sentiment_score FROM c""",
+    "lexicon_sentiment": f"""
+        WITH t AS (SELECT conv_id, turn, {_all_tokens("text")} AS w FROM conversations),
+        c AS (
+            SELECT conv_id, turn, len(list_filter(w, lambda x: x IN ('the', 'les', 'und', 'que'))) AS g,
+                   len(list_filter(w, lambda x: x IN ('of', 'le', 'der', 'el'))) AS b FROM t)
+        SELECT conv_id, turn, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' ELSE 'neutral' END AS label,
+               round(CASE WHEN g = b THEN 1 WHEN g + b = 0 THEN 1 ELSE CAST(abs(g - b) AS DOUBLE) / (g + b) END, 6) AS score
+        FROM c""",
     "studied_once": f"WITH {sql('labelled', 'scored')} SELECT DISTINCT permno, edate, 0 AS sentiment FROM scored",
     "theme_study_results": f"""{_THEMED}
         SELECT theme_id, permno, edate, round(sentiment, 6) AS sentiment, round(car, 6) AS car FROM themed""",
@@ -501,8 +511,7 @@ ORACLE = {
     "sentiment_slopes": f"""{_THEMED}
         SELECT permno, count(*) AS n_obs, round(regr_slope(car, sentiment), 5) AS slope, round(regr_intercept(car, sentiment), 5) AS alpha,
                round(sqrt((regr_syy(car, sentiment) - regr_slope(car, sentiment) * regr_sxy(car, sentiment)) / (count(*) - 2)
-                     / regr_sxx(car, sentiment)), 5) AS se,
-               round(regr_r2(car, sentiment), 5) AS rsq
+                     / regr_sxx(car, sentiment)), 5) AS se
         FROM themed GROUP BY 1 HAVING count(*) > 3 AND var_samp(sentiment) > 0""",
     "portfolio_value": f"{_portfolio_sql('value')} SELECT theme_id, theme_name, bucket, days_from_event, {_SHOWN} FROM folio",
     "portfolio_equal": f"{_portfolio_sql('equal')} SELECT theme_id, theme_name, bucket, days_from_event, {_SHOWN} FROM folio",

@@ -228,12 +228,18 @@ QUERIES = {
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
-def _tokens(expression: str) -> str:
-    """SQL for the kept tokens of a text."""
+def _all_tokens(expression: str) -> str:
+    """SQL for the tokens of a text."""
     return f"""list_filter(
         list_transform(regexp_split_to_array(lower({expression}), '\\s+'),
                        lambda w: regexp_replace(w, '{text.EDGE_PUNCTUATION}', '', 'g')),
-        lambda w: w <> '' AND NOT regexp_matches(w, '{text.NUMERIC_TOKEN}') AND NOT list_contains({_STOP}, w))"""
+        lambda w: w <> '')"""
+
+
+def _tokens(expression: str) -> str:
+    """SQL for the tokens that are neither stop words nor number-like."""
+    return f"""list_filter({_all_tokens(expression)},
+        lambda w: NOT regexp_matches(w, '{text.NUMERIC_TOKEN}') AND NOT list_contains({_STOP}, w))"""
 
 
 def _sentences(expression: str) -> str:

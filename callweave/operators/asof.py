@@ -21,12 +21,13 @@ def asof_join(
     strict: bool = False,
     within_days: int | None = None,
     direction: str = "backward",
-    limit: int = scan.MAX_GROUP_ROWS,
+    limit: int | None = scan.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Left join of the nearest right row by time, with ``take`` = {right column: output name}.
 
     Among right rows of one key and instant the greatest `tie` wins. `strict` leaves out equal
-    instants. `within_days` drops matches further away. NULL keys never match.
+    instants. `within_days` drops matches further away. NULL keys never match. `limit` is the
+    largest group one task may scan, None where both sides are bounded by construction.
     """
     by = list(by)
     if direction not in ("backward", "forward"):
@@ -49,8 +50,7 @@ def asof_join(
     hit_type = source.schema["_hit"].dataType
     right_rows = source.withColumn("_side", F.lit(right_side))
 
-    sizes = left.select(*by).unionAll(source.select(*by))
-    if scan.largest_group(sizes, by) <= limit:
+    if scan.fits(left.select(*by).unionAll(source.select(*by)), by, limit):
         packed = left.select(
             *by, F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(left_side).alias("_side")
         )

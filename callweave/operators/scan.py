@@ -87,19 +87,27 @@ def _combine(run: Running, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
+    """Whether every group is small enough for one task; None says it is so by construction."""
+    return limit is None or largest_group(df, keys) <= limit
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = MAX_GROUP_ROWS,
+    sized: DataFrame | None = None,
     **outs: Running,
 ) -> DataFrame:
     """Add running values over `keys` in `order`, which must be a total order.
 
-    `limit` is the largest group a single task may scan; pass a smaller one for wide rows.
+    `limit` is the largest group a single task may scan; pass a smaller one for wide rows and
+    None where the groups are bounded by construction. `sized` is a cheaper frame whose
+    groups are at least as large, to be measured in place of `df`.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= limit:
+    if fits(df if sized is None else sized, keys, limit):
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: _over(r, ordered) for n, r in outs.items()})
 
@@ -145,7 +153,7 @@ def trailing(
     order: Sequence[Column],
     preceding: int,
     outs: dict[str, Callable[[WindowSpec, WindowSpec], Column]],
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Values over the current row and up to `preceding` rows before it.
 
@@ -158,7 +166,7 @@ def trailing(
         frame = ordered.rowsBetween(-preceding, Window.currentRow)
         return frame_df.withColumns({n: f(ordered, frame) for n, f in outs.items()})
 
-    if largest_group(df, keys) <= limit:
+    if fits(df, keys, limit):
         return evaluate(df, Window.partitionBy(*keys).orderBy(*order))
 
     block = max(limit, preceding + 1)
@@ -198,7 +206,8 @@ def quantiles(
     no task holds a group's values in memory.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    present = df.filter(F.col(value).isNotNull())
+    counted = materialize(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     scanned = running(counted, keys, [F.col(value)], limit, _upto=total(F.col("_n")))
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size")).select(
         "_size", *[F.col(k).alias(f"_s_{k}") for k in keys]

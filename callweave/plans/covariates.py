@@ -11,6 +11,7 @@ from callweave.operators import scan
 from callweave.operators.asof import asof_join
 from callweave.operators.intervals import interval_join
 from callweave.plans.eventstudy import Study
+from callweave.session import materialize
 
 QUARTERLY = {
     "epsfxq": "eps_q", "ibq": "net_income_q", "atq": "total_assets_q", "dlttq": "total_debt_q",
@@ -136,6 +137,7 @@ def ratios() -> dict[str, Column]:
 def covariates(pulled: DataFrame) -> DataFrame:
     """Annual figures carried forward up to three quarters, prior-year values and the ratios."""
     group = ["permno", "ticker"]
+    pulled = materialize(pulled)
 
     def carried(name: str):
         return lambda ordered, frame: nulls.keyed(group, F.last(name, ignorenulls=True).over(frame))
@@ -161,7 +163,10 @@ def event_covariates(study: Study, factors: DataFrame, events: DataFrame) -> Dat
     joined back to every event of the same firm and date."""
     take = {c: c for c in ("datadate", "ticker", "comnam", *COVARIATES)}
     tie = ["fyearq", "fqtr", "gvkey", "ticker"]
-    joined = asof_join(study.event_date, factors, ["permno"], "edate", "datadate", take, tie=tie, strict=True)
+    # one row per permno and date on both sides, as equal statement dates are merged
+    joined = asof_join(
+        study.event_date, factors, ["permno"], "edate", "datadate", take, tie=tie, strict=True, limit=None
+    )
     columns = ["permno", "edate", "datadate", "ticker", "comnam", *COVARIATES, "cret", "car", "bhar"]
     complete = nulls.finite_rows(joined.select(*columns))
     return complete.join(events, ["permno", "edate"], "left")

@@ -9,6 +9,7 @@ from callweave.functions.fixed import BUCKETS, PORTFOLIO_DAYS, PORTFOLIO_PULL_DA
 from callweave.operators import scan
 from callweave.operators.asof import asof_join
 from callweave.operators.intervals import interval_join
+from callweave.session import materialize
 
 THEME = ["theme_id", "theme_name"]
 
@@ -29,9 +30,12 @@ def event_days(
         "rn", F.row_number().over(series)
     )
     ends = events.groupBy("theme_id").agg(F.date_add(F.max("edate"), pull_days).alias("pull_end"))
-    located = asof_join(
-        events.join(ends, "theme_id"), numbered, ["permno"], "edate", "date", {"rn": "rn0"}, direction="forward"
-    ).filter(F.col("rn0").isNotNull())
+    # distinct dates of a permno are bounded by the calendar, so no size check is needed
+    starts = asof_join(
+        events.select("permno", "edate").distinct(), numbered, ["permno"], "edate", "date", {"rn": "rn0"},
+        direction="forward", limit=None,
+    ).filter(F.col("rn0").isNotNull())
+    located = events.join(ends, "theme_id").join(starts, ["permno", "edate"])
     spans = located.withColumn("rn_end", F.col("rn0") + days)
     met = interval_join(numbered, spans, ["permno"], "rn", "rn0", "rn_end", width=128, floor=0, ceiling=2**31)
     return met.filter(F.col("date") <= F.col("pull_end")).select(
@@ -59,7 +63,8 @@ def portfolio_returns(
     """Bucket return and compounded return by theme, bucket and day; day 0 always exists with 0."""
     if weighting not in ("value", "equal"):
         raise ValueError(f"unknown weighting: {weighting}")
-    bucketed = sentiment_buckets(event_days(events, returns, days, pull_days))
+    # read by the terciles and by the sort itself, so written once
+    bucketed = sentiment_buckets(materialize(event_days(events, returns, days, pull_days)))
     if weighting == "equal":
         value = F.avg("ret")
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callweave.functions import leastsq, text
 from callweave.functions.fixed import COVARIATES
 from callweave.operators import scan
+from callweave.session import materialize
 
 
 def fit_groups(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -49,7 +50,7 @@ def significance_summary(fits: DataFrame) -> DataFrame:
         F.col("adj_rsq").alias("Adj_R_Squared"),
         F.col("n_obs").alias("N_Observations"),
     )
-    return scan.running(rows, [], [F.col("p_Value").asc_nulls_last(), F.col("Theme_ID")], rank=scan.rows())
+    return scan.running(materialize(rows), [], [F.col("p_Value").asc_nulls_last(), F.col("Theme_ID")], rank=scan.rows())
 
 
 def summary_stats(summary: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def sentences(
     counted = components.withColumn("_kept", kept).withColumn("_n", F.size("_kept")).withColumn("_tie", F.xxhash64("text"))
     counted = counted.filter("_n > 0").drop("text")
     order = [F.col(c) for c in ("transcript_id", "component_order", "_tie")]
-    placed = scan.running(counted, ["firm_id"], order, limit, _upto=scan.total(F.col("_n")))
+    # the unfiltered components bound the group sizes without any text work
+    placed = scan.running(counted, ["firm_id"], order, limit, components, _upto=scan.total(F.col("_n")))
     start = F.col("_upto") - F.col("_n")
     rows = placed.select(
         "firm_id", "transcript_id", "component_order", "speaker_type", start.alias("_start"),
