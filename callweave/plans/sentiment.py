@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.functions import dates, nulls, text
+from callweave.functions import dates, text
 
 POSITIVE, NEGATIVE, NEUTRAL = "positive", "negative", "neutral"
 GROUP = ["theme_id", "theme_name", "firm_id", "firm_name", "permno", "earnings_call_date"]
@@ -93,16 +93,16 @@ def theme_events(labelled: DataFrame, permnos: DataFrame | None = None) -> DataF
     the call date, else the first transcript date. Events without permno or readable date carry
     a reason in `rejected` instead of being lost.
     """
-    rows = nulls.with_columns(labelled, transcript_date="string")
-    scored = rows.groupBy(*GROUP).agg(
-        *label_counts(), F.min("transcript_date").alias("_first_date"), F.count(F.lit(1)).alias("n_sentences")
-    )
+    # a string minimum costs a sort-based aggregate, so it is taken only where dates are given
+    fallback = [F.min("transcript_date").alias("_first_date")] if "transcript_date" in labelled.columns else []
+    scored = labelled.groupBy(*GROUP).agg(*label_counts(), F.count(F.lit(1)).alias("n_sentences"), *fallback)
+    call_date = F.coalesce("earnings_call_date", "_first_date") if fallback else F.col("earnings_call_date")
     if permnos is not None:
         scored = scored.join(permnos.select("firm_id", "mapped"), "firm_id", "left").withColumn(
             "permno", F.coalesce("permno", "mapped")
         )
     score = F.try_divide((F.col("positive_count") - F.col("negative_count")).cast("double"), F.col("total_count"))
-    day = dates.parse_date(F.coalesce("earnings_call_date", "_first_date"))
+    day = dates.parse_date(call_date)
     reason = F.when(F.col("permno").isNull(), "no permno").when(day.isNull(), "no readable date")
     return scored.select(
         "permno", day.alias("edate"), F.round(F.coalesce(score, F.lit(0.0)), 4).alias("sentiment"),
