@@ -130,8 +130,7 @@ def main(arguments: Sequence[str] | None = None) -> int:
         filled = materialize(store.backfilled_dates(held.table("firms"), market.ParquetMarket(spark, options.market).table("fundq")))
         print("firms with a date:", filled.filter(F.col("earnings_call_date").isNotNull()).count())
         if not options.dry_run:
-            held.drop(["firms"])
-            held.write("firms", filled, "all")
+            held.replace("firms", filled)
     else:
         tables = market.ParquetMarket(spark, options.market)
         stages = getattr(options, "stages", [options.command])

@@ -100,6 +100,12 @@ class Store:
         self.write("themes", themes, "all")
         self.write("topic_themes", topic_themes, "all")
 
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """Replace a whole table; `rows` must not read from it any more."""
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.STORE[name].fields])
+        writer = shaped.withColumn("batch", F.lit("all")).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "static").partitionBy("batch").parquet(self._at(name))
+
     def add_firms(self, incoming: DataFrame, batch: str) -> None:
         """Insert the firms that are not stored yet."""
         fresh = relational.upsert_new(self.table("firms"), incoming, ["company_id"])

@@ -11,7 +11,7 @@ from callweave.functions import text
 from callweave.operators import density
 from callweave.plans import sentences as sentence_plan
 from callweave.plans import summaries, themes, topics
-from callweave.plans.store import Store, key
+from callweave.plans.store import Store
 from callweave.session import materialize
 from callweave.sources.documents import Config
 
@@ -171,9 +171,11 @@ def process_themes(
         asked = asked.withColumn("prompt", summaries.theme_prompt(F.col("name"), F.col("keywords"), F.col("_s"))).drop("_s")
         named = summaries.generated(asked, "prompt", generate, "description").drop("prompt")
     named = materialize(summaries.with_fallback(named, "description", "name"))
-    rows = named.withColumns({"id": key("theme_id"), "created_at": F.current_timestamp()})
-    links = assigned.join(named.select("theme", "theme_id"), "theme").select(
-        F.col("id").alias("topic_id"), key("theme_id").alias("theme_id")
+    # all themes are replaced at once, so their place in the run numbers them
+    number = F.col("ordinal") + 1
+    rows = named.withColumns({"id": number, "created_at": F.current_timestamp()})
+    links = assigned.join(named.select("theme", number.alias("theme_id")), "theme").select(
+        F.col("id").alias("topic_id"), "theme_id"
     )
     store.write_themes(rows, links)
 
