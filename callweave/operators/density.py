@@ -24,7 +24,10 @@ MAX_ROUNDS = 60
 def reduce_dimensions(points: DataFrame, vector: str, size: int, out: str = "reduced") -> DataFrame:
     """Principal components of the unit vectors; the fit sends one matrix of the vector's width."""
     unit = points.withColumn("_u", array_to_vector(vectors.unit(F.col(vector))))
-    fitted = PCA(k=size, inputCol="_u", outputCol="_p").fit(unit.filter(F.col("_u").isNotNull()))
+    known = unit.filter(F.col("_u").isNotNull())
+    if known.isEmpty():
+        return points.withColumn(out, F.lit(None).cast("array<double>"))
+    fitted = PCA(k=size, inputCol="_u", outputCol="_p").fit(known)
     return fitted.transform(unit).withColumn(out, vector_to_array("_p")).drop("_u", "_p")
 
 

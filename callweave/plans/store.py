@@ -97,8 +97,8 @@ class Store:
 
     def write_themes(self, themes: DataFrame, topic_themes: DataFrame) -> None:
         """Replace all themes and the topic links."""
-        self.write("themes", themes, "all")
-        self.write("topic_themes", topic_themes, "all")
+        self.replace("themes", themes)
+        self.replace("topic_themes", topic_themes)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Replace a whole table; `rows` must not read from it any more."""
@@ -122,6 +122,10 @@ class Store:
         done = self.table("processed_firms").select("company_id")
         return available.join(done, "company_id", "left_anti").orderBy("company_id")
 
+    def finished(self, batch: str) -> bool:
+        """Whether the batch has its markers; writing it again would drop its firms."""
+        return not self.table("processed_firms").filter(F.col("batch_id") == batch).isEmpty()
+
     def themed_topics(self) -> DataFrame:
         links = self.table("topic_themes").withColumnRenamed("topic_id", "id")
         return self.table("topics").join(links, "id", "left")

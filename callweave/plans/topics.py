@@ -65,50 +65,64 @@ def centroids(points: DataFrame, keys: Sequence[str], topic: str = "topic_id", v
     )
 
 
-def _centroid_lists(points: DataFrame, keys: Sequence[str], topic: str, vector: str) -> DataFrame:
-    """All centroids of a key in one ordered list: one entry per topic, not per point."""
+# centroids that one row carries; a key with more of them is compared part by part
+CENTROIDS_PER_ROW = 500
+
+
+def _centroid_parts(points: DataFrame, keys: Sequence[str], topic: str, vector: str) -> list[DataFrame]:
+    """Unit centroids of each key as lists of bounded length, one frame per part."""
     unit = centroids(points, keys, topic, vector).withColumn("u", vectors.unit(F.col("centroid")))
     entry = F.struct(F.col(topic).alias("topic"), F.col("u").alias("u"))
-    return unit.filter(F.col("u").isNotNull()).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("_centroids")
+    parts = materialize(
+        scan.ordered_lists(unit.filter(F.col("u").isNotNull()), keys, [F.col(topic)], entry, "_centroids", CENTROIDS_PER_ROW)
     )
+    last = parts.agg(F.max("part")).first()[0] or 0
+    return [parts.filter(F.col("part") == p).drop("part") for p in range(last + 1)]
 
 
-def _with_centroids(points: DataFrame, keys: Sequence[str], topic: str, vector: str) -> DataFrame:
-    lists = _centroid_lists(points, keys, topic, vector)
+def _beside(points: DataFrame, part: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points with their key's list; without keys the single bounded row goes to every task."""
     if keys:
-        return points.join(lists, list(keys), "left")
-    return points.withColumn("_centroids", lists.scalar())
+        return points.join(part, list(keys), "left")
+    return points.withColumn("_centroids", part.scalar())
 
 
 def nearest_topics(
     points: DataFrame, keys: Sequence[str], topic: str = "topic_id", vector: str = "embedding", only_noise: bool = True
 ) -> DataFrame:
     """Noise rows move to the topic of the most similar centroid (least id on ties)."""
-    joined = _with_centroids(points, keys, topic, vector)
     # the point's own length does not change which centroid is nearest
     scored = F.transform(
         "_centroids",
         lambda c: F.struct(vectors.dot(F.col(vector), c["u"]).alias("dot"), (-c["topic"]).alias("minus")),
     )
-    best = joined.withColumn("_best", F.array_max(scored))
-    found = F.coalesce(-F.col("_best.minus"), F.col(topic))
+    best = points.withColumn("_best", F.lit(None).cast("struct<dot:double,minus:bigint>"))
+    for part in _centroid_parts(points, keys, topic, vector):
+        here = F.array_max(scored).cast("struct<dot:double,minus:bigint>")
+        best = _beside(best, part, keys).withColumn("_here", here)
+        best = best.withColumn("_best", F.greatest("_best", "_here")).drop("_centroids", "_here")
+    found = F.coalesce((-F.col("_best.minus")).cast("int"), F.col(topic))
     chosen = F.when(F.col(topic) == NOISE, found).otherwise(F.col(topic)) if only_noise else found
     similarity = F.try_divide(F.col("_best.dot"), vectors.norm(vectors.doubles(F.col(vector))))
-    return best.withColumns({"assigned_topic": chosen, "similarity": similarity}).drop("_centroids", "_best")
+    return best.withColumns({"assigned_topic": chosen, "similarity": similarity}).drop("_best")
 
 
 def topic_shares(points: DataFrame, keys: Sequence[str], topic: str = "topic_id", vector: str = "embedding") -> DataFrame:
     """Non-negative similarity to each centroid, scaled to sum one (uniform when all are zero)."""
-    joined = _with_centroids(points, keys, topic, vector)
     dots = F.transform(
         "_centroids",
         lambda c: F.greatest(F.coalesce(vectors.dot(F.col(vector), c["u"]), F.lit(0.0)), F.lit(0.0)),
     )
-    scored = joined.withColumn("_dots", dots)
-    return scored.withColumns(
-        {"topics": F.col("_centroids.topic"), "probabilities": vectors.row_shares(F.col("_dots"))}
-    ).drop("_centroids", "_dots")
+    none = F.array()
+    scored = points.withColumns({"topics": none.cast("array<int>"), "_dots": none.cast("array<double>")})
+    for part in _centroid_parts(points, keys, topic, vector):
+        listed = _beside(scored, part, keys)
+        more = {
+            "topics": F.concat("topics", F.coalesce("_centroids.topic", none.cast("array<int>"))),
+            "_dots": F.concat("_dots", F.coalesce(dots, none.cast("array<double>"))),
+        }
+        scored = listed.withColumns(more).drop("_centroids")
+    return scored.withColumn("probabilities", vectors.row_shares(F.col("_dots"))).drop("_dots")
 
 
 def term_counts(

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave import schemas
 from callweave.functions import text
 from callweave.operators import density
 from callweave.plans import sentences as sentence_plan
@@ -100,6 +101,10 @@ def process_firms(
     """
     firms = components.groupBy(F.col("firm_id").alias("company_id")).agg(F.min("firm_name").alias("name"))
     todo = materialize(store.unprocessed(firms.select("company_id")))
+    if todo.isEmpty():
+        return
+    if store.finished(batch):
+        raise ValueError(f"batch {batch} is complete; new firms need a new batch name")
     fresh = components.join(todo.withColumnRenamed("company_id", "firm_id"), "firm_id", "left_semi")
     rows = sentence_plan.sentences(fresh, text.default_stopwords() if stopwords is None else stopwords)
     assigned, described = model_topics(materialize(rows), config.firm_model, encoder)
@@ -141,6 +146,10 @@ def process_themes(
     settings = topics.merged_config(config.theme_model)
     grid, words = settings["hdbscan"], settings["vectorizer"]
     docs = themes.topic_documents(store.table("topics").drop("embedding"))
+    if docs.isEmpty():
+        empty = [store.spark.createDataFrame([], schemas.STORE[t]) for t in ("themes", "topic_themes")]
+        store.write_themes(*empty)
+        return
     cleaned = docs.withColumn("words", text.content_tokens(F.col("document"), []))
     embedded = materialize(_embedded(cleaned.withColumn("_text", F.array_join("words", " ")), "_text", encoder, size))
     dims = min(GRID_DIMENSIONS, settings["umap"]["n_components"])

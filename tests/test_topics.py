@@ -193,3 +193,25 @@ def test_encoder_runs_in_batches_and_checks_its_size(spark):
     assert sorted(list(r.embedding) for r in got.collect()) == [[1.0, 1.0], [2.0, 1.0]]
     with pytest.raises(Exception, match="expected 3"):
         topics.encoded(docs, "t", lambda: lambda ts: [[1.0, 1.0] for _ in ts], 3).collect()
+
+
+@pytest.mark.parametrize("per_row", [500, 2])
+@pytest.mark.parametrize("keys", [[], ["firm"]])
+def test_nearest_topic_and_shares(spark, monkeypatch, per_row, keys):
+    """Long centroid lists are compared part by part with the same result."""
+    monkeypatch.setattr(topics, "CENTROIDS_PER_ROW", per_row)
+    rng = np.random.default_rng(11)
+    v, topic, firm = rng.normal(size=(60, 5)), rng.integers(-1, 6, 60), rng.integers(0, 2, 60)
+    rows = [(i, int(firm[i]), int(topic[i]), [float(x) for x in v[i]]) for i in range(60)]
+    points = spark.createDataFrame(rows, "i int, firm int, topic_id int, embedding array<double>")
+    got = {r.i: r for r in topics.nearest_topics(points, keys).collect()}
+    shares = {r.i: r for r in topics.topic_shares(points, keys).collect()}
+    for i in range(60):
+        pool = (firm == firm[i]) if keys else np.ones(60, bool)
+        ids = sorted(set(topic[pool & (topic >= 0)]))
+        centers = np.array([v[pool & (topic == t)].mean(axis=0) for t in ids])
+        sims = centers @ v[i] / np.linalg.norm(centers, axis=1) / np.linalg.norm(v[i])
+        want = ids[int(np.argmax(sims))] if topic[i] == -1 else topic[i]
+        assert got[i].assigned_topic == want and got[i].similarity == pytest.approx(sims.max())
+        assert shares[i].topics == ids
+        assert shares[i].probabilities == pytest.approx(list(np.maximum(sims, 0) / np.maximum(sims, 0).sum()))
