@@ -214,4 +214,6 @@ def test_nearest_topic_and_shares(spark, monkeypatch, per_row, keys):
         want = ids[int(np.argmax(sims))] if topic[i] == -1 else topic[i]
         assert got[i].assigned_topic == want and got[i].similarity == pytest.approx(sims.max())
         assert shares[i].topics == ids
-        assert shares[i].probabilities == pytest.approx(list(np.maximum(sims, 0) / np.maximum(sims, 0).sum()))
+        positive = np.maximum(sims, 0)
+        share = positive / positive.sum() if positive.any() else np.full(len(ids), 1 / len(ids))
+        assert shares[i].probabilities == pytest.approx(list(share))
