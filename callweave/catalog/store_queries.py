@@ -72,6 +72,21 @@ def firm_theme_distinct(spark, folder):
     return store.firm_themes(firms, topics, themes)
 
 
+def sentences_by_topic(spark, folder):
+    """Sentences of one topic by position."""
+    flat = _hierarchy(spark, folder)
+    return flat.filter("topic_id = 3").orderBy("position").select("sentence_id", "position", "raw_text")
+
+
+def processed_firms(spark, folder):
+    """Parts by whether they were ever shipped late enough to carry a date."""
+    part = inputs.table(spark, folder, "part").select("p_partkey", "p_type")
+    late = inputs.table(spark, folder, "lineitem").filter(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp"))
+    marked = part.join(late.groupBy("l_partkey").agg(F.max("l_shipdate").alias("at")), F.col("p_partkey") == F.col("l_partkey"), "left")
+    state = F.when(F.col("at").isNotNull(), "processed").otherwise("unprocessed")
+    return marked.groupBy("p_type", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def left_count(spark, folder):
     customer = inputs.table(spark, folder, "customer").select("c_custkey", "c_name")
     return relational.count_children(customer, inputs.table(spark, folder, "orders"), "c_custkey", "o_custkey", "n_orders")
@@ -265,7 +280,7 @@ def backfilled_dates(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        hierarchy_flat, hierarchy_nested, export_contributions, firm_theme_distinct, left_count, coverage_pct,
+        hierarchy_flat, sentences_by_topic, processed_firms, hierarchy_nested, export_contributions, firm_theme_distinct, left_count, coverage_pct,
         topic_coverage, ilike_distinct_count, orphan_anti_join, orphan_checks, top_k_groups, top_k_per_group,
         pivot_fill_zero, median_by_group, table_counts, upsert_new, resume_point, pending_firms, duplicate_groups,
         latest_per_key, interval_join_inner, interval_join_left, asof_tolerance, asof_strict, asof_forward,
@@ -302,6 +317,12 @@ ORACLE = {
         SELECT CAST(r_regionkey AS BIGINT) AS theme_id, r_name AS theme_name, CAST(n_nationkey AS BIGINT) AS topic_id,
                n_name AS representation, n_name AS firm_name, c_custkey AS sentence_id, c_name AS raw_text, c_custkey AS position
         FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey""",
+    "sentences_by_topic": """
+        SELECT c_custkey AS sentence_id, c_custkey AS position, c_name AS raw_text FROM customer WHERE c_nationkey = 3""",
+    "processed_firms": """
+        SELECT p_type, CASE WHEN s.l_partkey IS NULL THEN 'unprocessed' ELSE 'processed' END AS state, count(*) AS n
+        FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01') s ON s.l_partkey = p_partkey
+        GROUP BY 1, 2""",
     "hierarchy_nested": """
         SELECT r_name AS theme_name, n_name AS representation, (rn - 1) // 10000 AS part,
                string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS sentence_ids

@@ -117,6 +117,27 @@ class Store:
             empty = self.spark.createDataFrame([], schemas.STORE[name])
             empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self._at(name))
 
+    def firm(self, company_id: str) -> DataFrame:
+        return self.table("firms").filter(F.col("company_id") == company_id)
+
+    def sentences_of(self, firm_id: int | None = None, topic_id: int | None = None) -> DataFrame:
+        """Sentences of a firm or a topic by position."""
+        rows = self.table("sentences")
+        rows = rows if firm_id is None else rows.filter(F.col("firm_id") == firm_id)
+        rows = rows if topic_id is None else rows.filter(F.col("topic_id") == topic_id)
+        return rows.orderBy("position", "id")
+
+    def topics_of(self, firm_id: int | None = None, theme_id: int | None = None) -> DataFrame:
+        """Topics of a firm or a theme by their local number."""
+        rows = self.themed_topics()
+        rows = rows if firm_id is None else rows.filter(F.col("firm_id") == firm_id)
+        rows = rows if theme_id is None else rows.filter(F.col("theme_id") == theme_id)
+        return rows.orderBy("local_topic_id", "id")
+
+    def firms_by_state(self, processed: bool) -> DataFrame:
+        at = F.col("processed_at")
+        return self.table("firms").filter(at.isNotNull() if processed else at.isNull())
+
     def unprocessed(self, available: DataFrame) -> DataFrame:
         """Available firm ids without a marker, in order."""
         done = self.table("processed_firms").select("company_id")

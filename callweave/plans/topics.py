@@ -28,6 +28,15 @@ def merged_config(config: Mapping | None = None) -> dict:
     return out
 
 
+def check_backend(name: str) -> str:
+    """Topic model backends by name; two are announced but not available."""
+    if name in ("lda", "neural"):
+        raise NotImplementedError(f"the {name} topic model is not available")
+    if name != "density":
+        raise ValueError(f"unknown topic model: {name}")
+    return name
+
+
 def hashed_embeddings(docs: DataFrame, words: Column, size: int = 64, out: str = "embedding") -> DataFrame:
     """Unit-length hashed term counts; stands in where no encoder is supplied."""
     counted = HashingTF(numFeatures=size, inputCol="_words", outputCol="_counts").transform(

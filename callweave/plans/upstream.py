@@ -34,6 +34,7 @@ def model_topics(
     Stands in for UMAP and HDBSCAN with principal components and grid density; the settings of
     cluster size, samples, selection, n-grams and diversity keep their meaning.
     """
+    topics.check_backend((config or {}).get("model", "density"))
     settings = topics.merged_config(config)
     grid, words = settings["hdbscan"], settings["vectorizer"]
     embedded = sentences if "embedding" in sentences.columns else _embedded(sentences, "cleaned_text", encoder, size)

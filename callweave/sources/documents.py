@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -81,7 +82,8 @@ class Config:
 
     @classmethod
     def load(cls, path: str | None = None, **over) -> Config:
-        """Settings from YAML or JSON over the defaults; keyword arguments win."""
+        """Settings from YAML or JSON over the defaults; CALLWEAVE_* variables override plain text
+        settings of the file, and keyword arguments win."""
         given: dict = {}
         if path and Path(path).exists():
             body = Path(path).read_text()
@@ -93,7 +95,9 @@ class Config:
                 given = yaml.safe_load(body) or {}
             else:
                 given = json.loads(body)
-        known = {k: v for k, v in {**given, **over}.items() if k in cls.__dataclass_fields__ and v is not None}
+        text_fields = ("source", "start", "end", "store")
+        env = {f: os.environ[f"CALLWEAVE_{f.upper()}"] for f in text_fields if f"CALLWEAVE_{f.upper()}" in os.environ}
+        known = {k: v for k, v in {**given, **env, **over}.items() if k in cls.__dataclass_fields__ and v is not None}
         config = cls(**known)
         config.check()
         return config

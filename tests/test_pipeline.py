@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from callweave import cli
 from callweave.functions import nulls, text
 from callweave.operators import relational
-from callweave.plans import export, sentiment, store, upstream
+from callweave.plans import charts, export, sentiment, store, upstream
 from callweave.sinks import writers
 from callweave.sources import documents, market, transcripts
 
@@ -176,6 +176,10 @@ def test_upstream_run_and_resume(spark, tmp_path):
     assert counted.filter("count <> n_sentences").count() == 0
     assert topics.filter("representation IS NULL OR summary IS NULL OR size(keywords) = 0").count() == 0
     assert sentences.filter("probability < 0 OR probability > 1").count() == 0
+    one = topics.first()
+    assert [r.position for r in held.sentences_of(topic_id=one.id).collect()] == sorted(r.position for r in sentences.filter(F.col("topic_id") == one.id).collect())
+    assert held.topics_of(firm_id=one.firm_id).count() >= 1 and held.firm("alpha").first().name == "Alpha"
+    assert held.firms_by_state(True).count() == 5 and held.firms_by_state(False).count() == 0
     themes = held.table("themes")
     assert themes.count() >= 1 and themes.filter("n_firms < 2").count() == 0
     # nothing is left to do, and a repeated batch leaves no duplicates
@@ -195,6 +199,22 @@ def test_upstream_run_and_resume(spark, tmp_path):
     assert back.count() == flat.count() and set(back.select("firm_id").distinct().toPandas().firm_id) <= {*FIRMS, "alpha2"}
 
 
+def test_announced_models_are_not_available(spark):
+    for name, error in (("lda", NotImplementedError), ("neural", NotImplementedError), ("other", ValueError)):
+        with pytest.raises(error):
+            upstream.model_topics(spark.range(1), {"model": name})
+
+
+def test_chart_frames(spark):
+    summary = spark.createDataFrame([("t", "n", "*", 0.5, 0.1)], "Theme_ID string, Theme_Name string, Significance string, Sentiment_Coef double, Std_Error double")
+    r = charts.coefficient_forest(summary).first()
+    assert (r.low, r.high) == pytest.approx((0.304, 0.696))
+    topics = spark.createDataFrame([("f1", 1, "a", 5), ("f1", 2, "b", 2), ("f2", 1, "a", 1)], "firm_id string, topic_id int, theme_id string, n_sentences long")
+    heat = {r.firm_id: (r.a, r.b) for r in charts.firm_theme_heatmap(topics, ["a", "b"]).collect()}
+    assert heat == {"f1": (5, 2), "f2": (1, 0)}
+    assert {r.firm_id: r.n_topics for r in charts.topics_per_firm(topics).collect()} == {"f1": 2, "f2": 1}
+
+
 def test_store_rules(spark, tmp_path):
     held = store.Store(spark, str(tmp_path / "s"))
     held.create()
