@@ -72,10 +72,10 @@ def firm_theme_distinct(spark, folder):
     return store.firm_themes(firms, topics, themes)
 
 
-def sentences_by_topic(spark, folder):
-    """Sentences of one topic by position."""
+def sentences_by_speaker(spark, folder):
+    """Sentences of one speaker type by position."""
     flat = _hierarchy(spark, folder)
-    return flat.filter("topic_id = 3").orderBy("position").select("sentence_id", "position", "raw_text")
+    return flat.filter("speaker_type = 'BUILDING'").orderBy("position").select("sentence_id", "position", "raw_text")
 
 
 def processed_firms(spark, folder):
@@ -280,7 +280,7 @@ def backfilled_dates(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        hierarchy_flat, sentences_by_topic, processed_firms, hierarchy_nested, export_contributions, firm_theme_distinct, left_count, coverage_pct,
+        hierarchy_flat, sentences_by_speaker, processed_firms, hierarchy_nested, export_contributions, firm_theme_distinct, left_count, coverage_pct,
         topic_coverage, ilike_distinct_count, orphan_anti_join, orphan_checks, top_k_groups, top_k_per_group,
         pivot_fill_zero, median_by_group, table_counts, upsert_new, resume_point, pending_firms, duplicate_groups,
         latest_per_key, interval_join_inner, interval_join_left, asof_tolerance, asof_strict, asof_forward,
@@ -317,8 +317,9 @@ ORACLE = {
         SELECT CAST(r_regionkey AS BIGINT) AS theme_id, r_name AS theme_name, CAST(n_nationkey AS BIGINT) AS topic_id,
                n_name AS representation, n_name AS firm_name, c_custkey AS sentence_id, c_name AS raw_text, c_custkey AS position
         FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey""",
-    "sentences_by_topic": """
-        SELECT c_custkey AS sentence_id, c_custkey AS position, c_name AS raw_text FROM customer WHERE c_nationkey = 3""",
+    "sentences_by_speaker": """
+        SELECT c_custkey AS sentence_id, c_custkey AS position, c_name AS raw_text FROM customer
+        WHERE c_mktsegment = 'BUILDING'""",
     "processed_firms": """
         SELECT p_type, CASE WHEN s.l_partkey IS NULL THEN 'unprocessed' ELSE 'processed' END AS state, count(*) AS n
         FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01') s ON s.l_partkey = p_partkey

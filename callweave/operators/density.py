@@ -54,32 +54,30 @@ def _shifted(axis: int, step: int) -> Column:
     return F.transform("cell", lambda x, i: F.when(i == axis, x + step).otherwise(x))
 
 
+def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each label moves to the least label its nodes touch, and on to that label's own move."""
+    offered = links.join(labels, links.b == labels.node).groupBy("a").agg(F.min("root").alias("offer"))
+    nearer = labels.join(offered, F.col("node") == F.col("a"), "left").select(
+        "node", "root", F.least("root", "offer").alias("next")
+    )
+    move = nearer.groupBy(F.col("root").alias("label")).agg(F.min("next").alias("to"))
+    again = move.select(F.col("label").alias("label2"), F.col("to").alias("to2"))
+    moved = labels.join(move, F.col("root") == F.col("label")).join(again, F.col("to") == F.col("label2"), "left")
+    return moved.select("node", F.col("root").alias("start"), F.least("to", "to2").alias("root"))
+
+
 def connected(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
     """Least reachable node of every node, as column `root`; edges must be listed both ways.
 
-    Labels spread to neighbours and then jump to their label's label, so the rounds grow with
-    the logarithm of a component's width. Each round is written to the checkpoint folder.
+    Whole label groups merge with their least neighbour, so the rounds grow with the logarithm
+    of a component's size. Each round is written to the shared folder.
     """
     links = materialize(edges.select(F.col("a"), F.col("b")))
     labels = materialize(nodes.select(F.col(key).alias("node"), F.col(key).alias("root")))
     for _ in range(MAX_ROUNDS):
-        offered = (
-            links.join(labels, links.b == labels.node)
-            .groupBy("a")
-            .agg(F.min("root").alias("offer"))
-        )
-        nearer = labels.join(offered, labels.node == offered.a, "left").select(
-            "node", "root", F.least("root", F.coalesce("offer", "root")).alias("next")
-        )
-        jump = nearer.select(F.col("node").alias("j"), F.col("next").alias("jumped"))
-        stepped = materialize(
-            nearer.join(jump, nearer.next == jump.j, "left").select(
-                "node", "root", F.least("next", F.coalesce("jumped", "next")).alias("next")
-            )
-        )
-        moved = stepped.filter(F.col("next") < F.col("root")).limit(1).count()
-        labels = stepped.select("node", F.col("next").alias("root"))
-        if moved == 0:
+        stepped = materialize(_spread(links, labels))
+        labels = stepped.select("node", "root")
+        if stepped.filter(F.col("root") < F.col("start")).isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
@@ -127,8 +125,9 @@ def density_clusters(
     by_level = (
         dense.filter(F.col("density") >= min_samples)
         .withColumn("level", F.explode(F.sequence(F.lit(0), F.least(reach, F.lit(levels - 1)))))
-        .withColumn("node", F.struct(*keys, "level", "cell"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
+    # short node numbers, fixed by writing them once
     nodes = materialize(by_level)
     near = nodes.select(*keys, "level", F.col("node").alias("a"), F.explode(shifts).alias("cell"))
     edges = near.join(nodes.select(*keys, "level", "cell", F.col("node").alias("b")), [*keys, "level", "cell"])
@@ -164,7 +163,7 @@ def _choose(kept: DataFrame, keys: list[str], selection: str) -> DataFrame:
         splitting = children.filter("kids > 1").select(F.col("parent").alias("root"))
         inner = linked.join(splitting, "root", "left_semi").select("chain").distinct()
         leaves = linked.join(inner, "chain", "left_anti")
-        return leaves.groupBy("chain").agg(F.min_by("root", "level").alias("root")).select("root")
+        return materialize(leaves.groupBy("chain").agg(F.min_by("root", "level").alias("root")).select("root"))
     # stability: points times the levels they persist; a parent stays if it beats its children
     depth = tree.agg(F.max("level")).first()[0]
     if depth is None:
@@ -196,7 +195,7 @@ def _choose(kept: DataFrame, keys: list[str], selection: str) -> DataFrame:
 
 def _numbered(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cluster numbers by falling size; one row per cluster enters the ranking."""
-    clusters = cells.groupBy(*keys, "root").agg(F.max("size").alias("size"))
-    by_size = Window.partitionBy(*keys).orderBy(F.desc("size"), "root")
+    clusters = cells.groupBy(*keys, "root").agg(F.max("size").alias("size"), F.min("cell").alias("first"))
+    by_size = Window.partitionBy(*keys).orderBy(F.desc("size"), "first", "root")
     numbers = clusters.select("root", (F.row_number().over(by_size) - 1).alias("cluster"))
     return cells.join(numbers, "root").select(*keys, "cell", "cluster")

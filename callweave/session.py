@@ -1,8 +1,9 @@
-"""Session settings and the reliable checkpoint used by the multi-pass operators."""
+"""Session settings and the intermediate tables of the multi-pass operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,20 +27,31 @@ def build_session(app: str = "callweave", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so lost executors cost no recompute.
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the cluster's `spark.checkpoint.dir`.
 
-    The folder is the cluster's `spark.checkpoint.dir`. A private folder is made only in
-    local mode, when nothing is configured.
+    A private folder is made only in local mode, when nothing is configured.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="callweave-"))
-    return df.checkpoint(eager=True)
+        shared = tempfile.mkdtemp(prefix="callweave-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir() or shared
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result to the shared folder once and read it back.
+
+    Lost executors cost no recompute, later reads prune columns and know the true size, and loops
+    do not pile up plans or inferred constraints.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def widen(scan: DataFrame) -> DataFrame:
