@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callweave.catalog import inputs
-from callweave.catalog.transcript_queries import _STOP, STOPWORDS, _tokens
+from callweave.catalog.transcript_queries import STOPWORDS, _tokens
 from callweave.functions import text, vectors
 from callweave.operators import density, neighbors, scan
 from callweave.plans import store, themes, topics
