@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,24 +34,33 @@ def scratch_dir(spark: SparkSession) -> str:
     A private folder is made only in local mode, when nothing is configured.
     """
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="callweave-")
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+            shared = tempfile.mkdtemp(prefix="callweave-")
+            drop_at_exit(spark, shared)
         context.setCheckpointDir(shared)
-    return context.getCheckpointDir() or shared
+    return context.getCheckpointDir()
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete `path` when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder once and read it back.
 
     Lost executors cost no recompute, later reads prune columns and know the true size, and loops
-    do not pile up plans or inferred constraints.
+    do not pile up plans or inferred constraints. The table goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
