@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import exact_dedup, mixing
+from callweave.llm import byte_bpe, exact_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash_golay": simhash.op5_simhash_golay,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
