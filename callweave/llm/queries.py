@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import byte_bpe, exact_dedup, mixing, simhash
+from callweave.llm import byte_bpe, compression_quality, exact_dedup, langid, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_compression_quality": compression_quality.op3_compression_quality,
+    "op4_language_id": langid.op4_language_id,
     "op5_simhash_golay": simhash.op5_simhash_golay,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
