@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled text. A whole text is cut into segments, every
 segment is compressed with either dictionary, and the difference of the summed sizes over the text's bytes says which
-dictionary knows the text better. A logistic curve turns the difference into the chance of the good label.
+dictionary knows the text better. A logistic curve turns the difference into the chance of the good label; it allows for a
+share of wrong labels, which would flatten it otherwise.
 
 Fitting is bounded: at most `per_label` labelled documents of each label (those with the least hash of their identifier), at most
 `segments` evenly spaced segments of each for the dictionaries. The curve must not see texts that the dictionaries have
@@ -53,6 +54,7 @@ class Model:
     dictionaries: Dictionaries
     slope: float
     intercept: float
+    noise: float
 
 
 def segments_of(text: bytes) -> list[bytes]:
@@ -165,6 +167,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     return float(weights[0] / spread_), float(weights[1])
 
 
+def noisy_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float, float]:
+    """Slope, intercept and share of wrong labels; each round fits the curve to the labels believed so far."""
+    noise = 0.01
+    slope, intercept = logistic(x, y)
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -35, 35)))
+        for_one, for_zero = chance * np.where(y == 1, 1 - noise, noise), (1 - chance) * np.where(y == 1, noise, 1 - noise)
+        believed = for_one / (for_one + for_zero)
+        noise = float(np.clip(np.abs(believed - y).mean(), 1e-4, 0.2))
+        slope, intercept = logistic(x, believed)
+    return slope, intercept, noise
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, segments: int = SEGMENTS) -> Model:
     """Dictionaries and curve from the labelled rows given; leave held-out rows out of `labels`."""
     known = labelled(labels, label)
@@ -180,18 +195,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     good = int((measured["label"] == 1).sum())
     if good in (0, len(measured)):
         share = np.clip(good / len(measured) if len(measured) else 0.5, 1e-3, 1 - 1e-3)
-        return Model(_trained(frame), 0.0, float(np.log(share / (1 - share))))
-    slope, intercept = logistic(measured["difference"].to_numpy(), measured["label"].to_numpy(float))
+        return Model(_trained(frame), 0.0, float(np.log(share / (1 - share))), 0.0)
+    slope, intercept, noise = noisy_logistic(measured["difference"].to_numpy(), measured["label"].to_numpy(float))
     # the sample has other shares than the labels; the intercept carries the difference
     share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
     shift = np.log(share / (1 - share)) - np.log(good / (len(measured) - good))
-    return Model(_trained(frame), slope, intercept + float(shift))
+    return Model(_trained(frame), slope, intercept + float(shift), noise)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the chance, 0 to 1, that a text is good."""
     raised = F.lit(model.intercept) + F.lit(model.slope) * differences(F.col(text), model.dictionaries)
-    return docs.withColumn(out, 1 / (1 + F.exp(-raised)))
+    return docs.withColumn(out, F.lit(model.noise) + F.lit(1 - 2 * model.noise) / (1 + F.exp(-raised)))
 
 
 def held_out(doc_id: Column) -> Column:
