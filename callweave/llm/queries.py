@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import byte_bpe, compression_quality, exact_dedup, langid, mixing, simhash
+from callweave.llm import byte_bpe, compression_quality, exact_dedup, langid, mixing, simhash, voronoi_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_quality": compression_quality.op3_compression_quality,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash_golay": simhash.op5_simhash_golay,
+    "op6_voronoi_knn": voronoi_knn.op6_voronoi_knn,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_voronoi_knn": voronoi_knn.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
