@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import byte_bpe, compression_quality, exact_dedup, langid, mixing, simhash, voronoi_knn
+from callweave.llm import byte_bpe, compression_quality, exact_dedup, langid, mixing, page_diff, simhash, voronoi_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_diff": page_diff.op1_page_diff,
     "op3_compression_quality": compression_quality.op3_compression_quality,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash_golay": simhash.op5_simhash_golay,
