@@ -34,7 +34,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from callweave.llm.shared import spread, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 BATCH_BYTES = 4 << 20
 
 
@@ -110,6 +110,18 @@ def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch
         yield batch.slice(a, b - a)
 
 
+def _lists(column: pa.Array) -> Iterator[list[int]]:
+    """The id lists of a column without nulls, cut from one flat array."""
+    flat = column.flatten()
+    if flat.null_count:
+        yield from ([i for i in v or () if i is not None] for v in column.to_pylist())
+        return
+    values = flat.to_numpy()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(ends) else ():
+        yield values[a:b].tolist()
+
+
 def _ends(values: list) -> pa.Array:
     return pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
 
@@ -126,7 +138,7 @@ def _span_lists(values: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def _replaced(
-    df: DataFrame, column: str, outs: dict[str, str], per_value: int, make: Callable[[list], list[pa.Array]]
+    df: DataFrame, column: str, outs: dict[str, str], per_value: int, make: Callable[[pa.Array], list[pa.Array]]
 ) -> DataFrame:
     """`df` with `outs` (name, type), which `make` derives from the values of `column`, in place of it.
 
@@ -142,7 +154,7 @@ def _replaced(
             whole = batch.column(len(others))
             lengths = pc.list_value_length(whole) if pa.types.is_list(whole.type) else pc.binary_length(whole)
             for part in _slices(batch, per_value * pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)):
-                made = make(part.column(len(others)).to_pylist())
+                made = make(part.column(len(others)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *made], names)
 
     fields = [*source.select(*others).schema.fields]
@@ -161,8 +173,8 @@ def encode(
     """`df` with the token ids in place of the text; `offsets` names a further column of (start, end) spans."""
     path = public_tokenizers.path(vocabulary)
 
-    def make(texts: list[str | None]) -> list[pa.Array]:
-        bpe = loaded(path, pattern)
+    def make(column: pa.Array) -> list[pa.Array]:
+        bpe, texts = loaded(path, pattern), column.to_pylist()
         ids = _id_lists([bpe.encode(t or "") for t in texts])
         return [ids] if offsets is None else [ids, _span_lists([bpe.offsets(t or "") for t in texts])]
 
@@ -174,9 +186,9 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", vocabulary: str
     """`df` with the bytes in place of the token ids."""
     path = public_tokenizers.path(vocabulary)
 
-    def make(lists: list[list[int | None] | None]) -> list[pa.Array]:
+    def make(column: pa.Array) -> list[pa.Array]:
         bpe = loaded(path, public_tokenizers.PATTERN)
-        return [pa.array([bpe.decode([i for i in v or () if i is not None]) for v in lists], pa.binary())]
+        return [pa.array([bpe.decode(v) for v in _lists(column)], pa.binary())]
 
     return _replaced(df, ids, {out: "binary"}, 4, make)
 
@@ -185,10 +197,9 @@ def decode_text(df: DataFrame, ids: str = "ids", out: str = "text", vocabulary:
     """As `decode`, as text; bytes that begin or end inside a character become the replacement character."""
     path = public_tokenizers.path(vocabulary)
 
-    def make(lists: list[list[int | None] | None]) -> list[pa.Array]:
+    def make(column: pa.Array) -> list[pa.Array]:
         bpe = loaded(path, public_tokenizers.PATTERN)
-        decoded = [bpe.decode([i for i in v or () if i is not None]).decode("utf-8", "replace") for v in lists]
-        return [pa.array(decoded, pa.string())]
+        return [pa.array([bpe.decode(v).decode("utf-8", "replace") for v in _lists(column)], pa.string())]
 
     return _replaced(df, ids, {out: "string"}, 4, make)
 

@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import byte_bpe, compression_quality, exact_dedup, langid, mixing, page_diff, simhash, voronoi_knn
+from callweave.llm import (
+    byte_bpe,
+    compression_quality,
+    exact_dedup,
+    langid,
+    licences,
+    mixing,
+    page_diff,
+    simhash,
+    snapshot_chat,
+    voronoi_knn,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_diff": page_diff.op1_page_diff,
+    "op2_snapshot_chat": snapshot_chat.op2_snapshot_chat,
     "op3_compression_quality": compression_quality.op3_compression_quality,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash_golay": simhash.op5_simhash_golay,
@@ -17,10 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_licence_scan": licences.op10_licence_scan,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_snapshot_chat": snapshot_chat.ORACLE,
     "op6_voronoi_knn": voronoi_knn.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_licence_scan": licences.ORACLE,
 }

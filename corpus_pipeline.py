@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet to the shared folder and hands the
 reread table to the next stage. All stages but the last return the columns of their input.
+
+Null and empty texts, and texts without a letter, end at the language stage. Repeated rows end at the exact one. An empty
+table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,25 +12,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callweave.llm import exact_dedup, mixing
-from callweave.llm.shared import table
+from callweave.llm import byte_bpe, exact_dedup, langid, mixing, simhash
+from callweave.llm.shared import free_name, spread, table
 from callweave.session import materialize
 
+# below this posterior even the best language is no better than a guess
+LEAST_SCORE = 0.4
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach."""
+    lang, score = (free_name(docs.columns, n) for n in ("lang_pred", "lang_score"))
+    marked = langid.predict(spread(docs), langid.fit(docs), lang, score)
+    return marked.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space."""
     return exact_dedup.deduplicate(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by SimHash fingerprints."""
+    return simhash.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target share of its source asks."""
     return mixing.mix(docs)
 
 
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of the text, and the digest of the text that they decode to."""
+    ids, decoded, count = (free_name(docs.columns, n) for n in ("ids", "decoded", "n_tokens"))
+    encoded = byte_bpe.encode(spread(docs), out=ids).withColumn(count, F.size(ids).cast("long"))
+    copied = encoded.withColumn(decoded, F.col(ids))
+    return byte_bpe.decode(copied, decoded, decoded).withColumn(decoded, F.sha2(decoded, 256)).withColumnRenamed(decoded, f"{decoded}_sha256")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact dedup", drop_copies),
-    ("mixing sources", mix_sources),
+    ("language ID", identified),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing sources", mixed),
+    ("byte BPE", tokenized),
 ]
 
 # language ID, near-duplicate fingerprints and token ids cannot be expressed in SQL
