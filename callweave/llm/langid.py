@@ -40,7 +40,8 @@ DOCS_PER_LANGUAGE = 300
 ROUNDS = 4
 SMOOTHING = 0.1
 LONGEST_TRAINED = 48
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+CHARACTERS_AT_ONCE = 2_000_000
 RESCALE_EVERY = 16
 WORDS_AT_ONCE = 20_000
 UNKNOWN = "und"
@@ -243,8 +244,10 @@ def predicted(text: Column, model: Model) -> Column:
     @pandas_udf("lang string, score double")
     def of_texts(texts: pd.Series) -> pd.DataFrame:
         scorer, out = _scorer(model), []
-        for a in range(0, len(texts), 200):
-            listed = [words(t) for t in texts.iloc[a : a + 200]]
+        part = (texts.str.len().fillna(0).cumsum() // CHARACTERS_AT_ONCE).to_numpy()
+        edges = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(texts)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            listed = [words(t) for t in texts.iloc[a:b]]
             scorer.prefetch(listed)
             out += [scorer.predict(w) for w in listed]
         return pd.DataFrame(out, columns=["lang", "score"])
