@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -45,12 +47,31 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+@lru_cache(1)
+def young_characters() -> tuple[re.Pattern, re.Pattern]:
+    """A quick and an exact pattern for characters that this Python's Unicode tables do not know.
+
+    Regular-expression libraries of other Unicode versions may class these otherwise.
+    """
+    starts, before = [], False
+    for point in range(0x110000):
+        unknown = unicodedata.category(chr(point)) == "Cn"
+        if unknown != before:
+            starts.append(point)
+        before = unknown
+    starts += [0x110000] * (len(starts) % 2)
+    ranges = list(zip(starts[::2], starts[1::2], strict=True))
+    exact = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in ranges)
+    low = "".join(f"{re.escape(chr(a))}-{re.escape(chr(min(b, 0x10000) - 1))}" for a, b in ranges if a < 0x10000)
+    return re.compile(f"[{low}\U00010000-\U0010ffff]"), re.compile(f"[{exact}]")
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file; made once per worker by `loaded`."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -63,12 +84,20 @@ class ByteBpe:
             merges += [(name[a], name[b]) for a, b in halves]
         self.library = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split = regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
+        self.quick, self.exact = young_characters()
+        self.library_split = pre_tokenizers.Split(Regex(pattern), "isolated")
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.known: dict[str, array] = {}
 
+    def split(self, text: str) -> list[str]:
+        """Matches of the pattern; by the library itself where Unicode versions could matter."""
+        if self.quick.search(text) and self.exact.search(text):
+            return [piece for piece, _ in self.library_split.pre_tokenize_str(text)]
+        return self.pattern.findall(text)
+
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
@@ -78,7 +107,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> array:
         """Token ids of one text."""
-        pieces = self.split.findall(text)
+        pieces = self.split(text)
         self._learn(set(pieces))
         known, ids = self.known, array("i")
         for piece in pieces:
@@ -88,9 +117,10 @@ class ByteBpe:
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """First character of each token and the one after its last."""
         spans: list[tuple[int, int]] = []
-        for match in self.split.finditer(text):
-            at = match.start()
-            spans += [(at + a, at + b) for a, b in self.library.encode(match.group(), add_special_tokens=False).offsets]
+        at = 0
+        for piece in self.split(text):  # the pieces make up the whole text
+            spans += [(at + a, at + b) for a, b in self.library.encode(piece, add_special_tokens=False).offsets]
+            at += len(piece)
         return spans
 
     def decode(self, ids: list[int]) -> bytes:
