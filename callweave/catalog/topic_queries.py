@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callweave.catalog import inputs
+from callweave.catalog import density_sql, inputs
 from callweave.catalog.transcript_queries import STOPWORDS, _tokens
 from callweave.functions import text, vectors
 from callweave.operators import density, neighbors, scan
 from callweave.plans import store, themes, topics
 
 
+LETTERS = "héüó"
+
+
 def _points(spark, folder):
     """Vectors as sentences of eleven firms; label 0 plays the noise topic -1."""
     return inputs.table(spark, folder, "embeddings").select(
@@ -130,19 +133,24 @@ def hashed_embeddings(spark, folder):
     return found.select("conv_id", "turn", F.posexplode("embedding").alias("place", "x"))
 
 
+def _letter_shares(spark, folder):
+    """Documents by the shares of four letters, which their languages use differently."""
+    size = F.length("text")
+    shares = [(size - F.length(F.replace("text", F.lit(c), F.lit("")))) / size for c in LETTERS]
+    docs = inputs.texts(spark, folder, "documents").filter("text <> ''")
+    return docs.select("doc_id", (F.col("doc_id") % 3).alias("firm_id"), F.array(*shares).alias("shares"))
+
+
 def density_clusters(spark, folder):
-    """Clusters of the vectors of each topic in four principal components."""
-    points = _points(spark, folder)
-    reduced = density.reduce_dimensions(points, "embedding", 4)
-    return density.density_clusters(reduced, ["topic_id"], "vec_id", "reduced", 4, min_cluster_size=6, min_samples=2, bins=1.5)
+    """Clusters of the documents of each of three firms, last splits."""
+    points = _letter_shares(spark, folder)
+    return density.density_clusters(points, ["firm_id"], "doc_id", "shares", 4, min_cluster_size=6, min_samples=2)
 
 
 def density_themes(spark, folder):
-    """Clusters of all vectors together, by persistence."""
-    reduced = density.reduce_dimensions(_points(spark, folder), "embedding", 3)
-    return density.density_clusters(
-        reduced, [], "vec_id", "reduced", 3, min_cluster_size=20, min_samples=6, selection="eom", bins=2.0
-    )
+    """Clusters of all documents together, most mass."""
+    points = _letter_shares(spark, folder)
+    return density.density_clusters(points, [], "doc_id", "shares", 4, min_cluster_size=20, min_samples=6, selection="eom")
 
 
 def _assigned(spark, folder):
@@ -235,6 +243,10 @@ _THEMES = """per_firm AS (SELECT o_custkey AS theme, o_orderpriority AS firm, co
         FROM per_firm GROUP BY 1),
     valid AS (SELECT * FROM groups WHERE n_firms >= 2 AND dominance <= 0.4)"""
 
+_SHARES = "SELECT doc_id AS id, doc_id % 3 AS firm_id, [" + ", ".join(
+    f"(length(text) - length(replace(text, '{c}', ''))) / length(text)" for c in LETTERS
+) + "] AS v FROM documents WHERE text <> ''"
+
 ORACLE = {
     "topic_members": f"""
         WITH {_POINTS}
@@ -288,6 +300,8 @@ ORACLE = {
             QUALIFY row_number() OVER (PARTITION BY lang ORDER BY tf DESC, term DESC) <= 3)
         SELECT lang, string_agg(term, ', ' ORDER BY place) AS label
         FROM (SELECT lang, term, min(place) AS place FROM places GROUP BY 1, 2) GROUP BY 1""",
+    "density_clusters": density_sql.clusters(_SHARES, "firm_id", 4, 6, 2, "leaf", "k AS firm_id, id AS doc_id"),
+    "density_themes": density_sql.clusters(_SHARES, "0", 4, 20, 6, "eom", "id AS doc_id"),
     "theme_groups": f"WITH {_THEMES} SELECT theme, n_topics, n_firms, round(dominance, 6) AS dominance FROM groups",
     "theme_validation": f"WITH {_THEMES} SELECT theme, n_topics, n_firms, round(dominance, 6) AS dominance FROM valid",
     "theme_ids": f"""

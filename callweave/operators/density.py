@@ -2,8 +2,13 @@
 
 Points are binned into cells, and only cell counts are compared: cells that reach a density
 level and share a face form a component of that level. Raising the level splits components;
-`leaf` keeps the last splits, `eom` the most persistent components. Work after the first
-count grows with the number of occupied cells, not with points or pairs of points.
+`leaf` keeps the last splits, `eom` the components with the most mass above their birth. Work after
+the first count grows with the number of occupied cells, not with points or pairs of points.
+
+Nothing in it is tied to the number of points: the cell width follows from the key's count, spread and
+effective dimension, as a density estimate's bandwidth does; the levels double from `min_samples` up to
+the greatest density seen; and a component counts as a cluster only if its peak stands out of
+the counting noise at the level where it splits off.
 """
 
 from __future__ import annotations
@@ -18,7 +23,9 @@ from pyspark.sql import functions as F
 from callweave.functions import vectors
 from callweave.session import materialize
 
-MAX_ROUNDS = 60
+# standard errors of a Poisson count that a peak must rise by (the square root of a count has error 1/2)
+ERRORS = 4
+HIGHEST_LEVEL = 62
 
 
 def reduce_dimensions(points: DataFrame, vector: str, size: int, out: str = "reduced") -> DataFrame:
@@ -31,23 +38,30 @@ def reduce_dimensions(points: DataFrame, vector: str, size: int, out: str = "red
     return fitted.transform(unit).withColumn(out, vector_to_array("_p")).drop("_u", "_p")
 
 
-def _cells(points: DataFrame, keys: Sequence[str], vector: str, size: int, bins: float) -> DataFrame:
-    """Cell of every point: coordinates in units of the key's spread, `bins` cells per deviation."""
+def _cells(points: DataFrame, keys: Sequence[str], vector: str, size: int, width: float) -> DataFrame:
+    """Cell of every point: one width for all axes, so axes of little spread fall into one cell.
+
+    The width is `width` deviations of the widest axis, shrunk by the count to the power 1 / (d + 4), where d is
+    the effective dimension (participation ratio of the variances).
+    """
     coordinate = [F.element_at(vector, i + 1) for i in range(size)]
     spread = points.groupBy(*keys).agg(
         F.array(*[F.avg(c) for c in coordinate]).alias("_mean"),
-        F.array(*[F.stddev_pop(c) for c in coordinate]).alias("_sd"),
+        F.array(*[F.coalesce(F.var_pop(c), F.lit(0.0)) for c in coordinate]).alias("_var"),
+        F.count(F.lit(1)).cast("double").alias("_n"),
+    )
+    total = F.aggregate("_var", F.lit(0.0), lambda a, v: a + v)
+    squares = F.aggregate("_var", F.lit(0.0), lambda a, v: a + v * v)
+    effective = F.coalesce(F.try_divide(total * total, squares), F.lit(1.0))
+    scaled = spread.select(
+        *keys, "_mean", (F.lit(width) * F.sqrt(F.array_max("_var")) * F.pow("_n", -1 / (effective + 4))).alias("_width")
     )
     if keys:
-        placed = points.join(spread, list(keys))
+        placed = points.join(scaled, list(keys))
     else:
-        whole = spread.select(F.struct("_mean", "_sd").alias("_w")).scalar()
-        placed = points.withColumn("_w", whole).select("*", "_w.*").drop("_w")
-    steps = [
-        F.coalesce(F.floor(F.try_divide(c - F.col("_mean")[i], F.col("_sd")[i]) * bins), F.lit(0))
-        for i, c in enumerate(coordinate)
-    ]
-    return placed.withColumn("cell", F.array(*steps)).drop("_mean", "_sd")
+        placed = points.withColumn("_w", scaled.select(F.struct("_mean", "_width").alias("_w")).scalar()).select("*", "_w.*").drop("_w")
+    steps = [F.coalesce(F.floor(F.try_divide(c - F.col("_mean")[i], F.col("_width"))), F.lit(0)) for i, c in enumerate(coordinate)]
+    return placed.withColumn("cell", F.array(*steps)).drop("_mean", "_width")
 
 
 def _shifted(axis: int, step: int) -> Column:
@@ -74,12 +88,11 @@ def connected(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFram
     """
     links = materialize(edges.select(F.col("a"), F.col("b")))
     labels = materialize(nodes.select(F.col(key).alias("node"), F.col(key).alias("root")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         stepped = materialize(_spread(links, labels))
         labels = stepped.select("node", "root")
         if stepped.filter(F.col("root") < F.col("start")).isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def density_clusters(
@@ -91,106 +104,104 @@ def density_clusters(
     min_cluster_size: int = 6,
     min_samples: int = 2,
     selection: str = "leaf",
-    bins: float = 1.0,
-    levels: int = 6,
+    width: float = 1.0,
 ) -> DataFrame:
     """Cluster number of each point inside its key, -1 for noise; 0 is the largest cluster.
 
     Level l asks for `min_samples * 2**l` points in a cell and its face neighbours. Components
-    with fewer than `min_cluster_size` points are noise.
+    with fewer than `min_cluster_size` points, or without a peak of their own, are no clusters.
     """
     if selection not in ("leaf", "eom"):
         raise ValueError(f"unknown selection: {selection}")
     keys = list(keys)
-    placed = materialize(_cells(points.select(*keys, item, vector), keys, vector, size, bins).select(*keys, item, "cell"))
+    placed = materialize(_cells(points.select(*keys, item, vector), keys, vector, size, width).select(*keys, item, "cell"))
     cells = placed.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
 
     # face neighbours, with the cell itself
-    shifts = F.concat(
-        F.array(F.col("cell")),
-        *[
-            F.array(_shifted(d, -1), _shifted(d, 1))
-            for d in range(size)
-        ],
-    )
+    shifts = F.concat(F.array(F.col("cell")), *[F.array(_shifted(d, -1), _shifted(d, 1)) for d in range(size)])
     touched = cells.select(*keys, F.col("cell").alias("from_cell"), F.explode(shifts).alias("cell"))
-    beside = touched.join(cells, [*keys, "cell"])
-    dense = materialize(
-        beside.groupBy(*keys, F.col("from_cell").alias("cell")).agg(
-            F.sum("n").alias("density"),
-            F.max(F.when(F.col("cell") == F.col("from_cell"), F.col("n"))).alias("n"),
-        )
-    )
-    reach = F.floor(F.log2(F.col("density") / F.lit(float(min_samples)))).cast("int")
-    by_level = (
-        dense.filter(F.col("density") >= min_samples)
-        .withColumn("level", F.explode(F.sequence(F.lit(0), F.least(reach, F.lit(levels - 1)))))
-        .withColumn("node", F.monotonically_increasing_id())
+    dense = (
+        touched.join(cells, [*keys, "cell"])
+        .groupBy(*keys, F.col("from_cell").alias("cell"))
+        .agg(F.sum("n").alias("density"), F.max(F.when(F.col("cell") == F.col("from_cell"), F.col("n"))).alias("n"))
     )
+    levels = F.filter(F.sequence(F.lit(0), F.lit(HIGHEST_LEVEL)), lambda l: F.col("density") >= _threshold(l, min_samples))
     # short node numbers, fixed by writing them once
-    nodes = materialize(by_level)
+    nodes = materialize(dense.withColumn("level", F.explode(levels)).withColumn("node", F.monotonically_increasing_id()))
     near = nodes.select(*keys, "level", F.col("node").alias("a"), F.explode(shifts).alias("cell"))
     edges = near.join(nodes.select(*keys, "level", "cell", F.col("node").alias("b")), [*keys, "level", "cell"])
     roots = connected(nodes, edges.filter("a <> b"))
-    tagged = nodes.join(roots, "node").select(*keys, "level", "cell", "n", "root")
-    sizes = tagged.groupBy("root").agg(F.sum("n").alias("size")).filter(F.col("size") >= min_cluster_size)
-    kept = materialize(tagged.join(sizes, "root"))
-    chosen = _choose(kept, keys, selection)
-    ranked = _numbered(kept.join(chosen, "root", "left_semi"), keys)
-    found = placed.join(ranked, [*keys, "cell"], "left")
+    tagged = nodes.join(roots, "node").select(*keys, "level", "cell", "n", "density", "root")
+    kept = _clusters_of_levels(tagged, min_cluster_size, min_samples)
+    chains = materialize(_chains(kept, keys))
+    chosen = _leaves(chains) if selection == "leaf" else _most_mass(chains, keys, min_samples)
+    members = chains.filter(F.col("root") == F.col("chain")).join(chosen, "chain", "left_semi")
+    numbered = _numbered(members.select(*keys, "cell", "root", "size"), keys)
+    found = placed.join(numbered, [*keys, "cell"], "left")
     return found.select(*keys, item, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def _choose(kept: DataFrame, keys: list[str], selection: str) -> DataFrame:
-    """Roots of the selected components of the level tree."""
-    parts = kept.select(*keys, "level", "root", "size").distinct()
-    up = kept.select(*keys, "cell", (F.col("level") + 1).alias("level"), F.col("root").alias("parent"))
-    tree = materialize(
-        kept.join(up, [*keys, "cell", "level"], "left").groupBy(*keys, "level", "root", "size").agg(F.max("parent").alias("parent"))
-    )
-    children = tree.filter(F.col("parent").isNotNull()).groupBy("parent").agg(
-        F.count(F.lit(1)).alias("kids")
+def _threshold(level: Column, min_samples: int) -> Column:
+    return F.lit(float(min_samples)) * F.pow(F.lit(2.0), level)
+
+
+def _clusters_of_levels(tagged: DataFrame, min_cluster_size: int, min_samples: int) -> DataFrame:
+    """Cells of the components that are large enough and rise out of the noise where they split off."""
+    saddle = F.when(F.col("level") == 0, F.lit(0.0)).otherwise(_threshold(F.col("level"), min_samples))
+    sizes = tagged.groupBy("level", "root").agg(F.sum("n").alias("size"), F.max("density").alias("peak"))
+    rising = 2 * (F.sqrt("peak") - F.sqrt(saddle)) >= ERRORS
+    return tagged.join(sizes.filter((F.col("size") >= min_cluster_size) & rising).select("root", "size"), "root")
+
+
+def _chains(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Each cell and level with the cluster (`chain`, named by its first component) and the cluster it split from.
+
+    A component with one successor is the same cluster, thinned out; with several it has split.
+    """
+    up = Window.partitionBy(*keys, "cell").orderBy("level")  # a cell has one row per level
+    placed = kept.withColumn("parent", F.lag("root").over(up))
+    parts = placed.select("level", "root", "parent").distinct()
+    split = parts.filter("parent IS NOT NULL").groupBy("parent").agg((F.count(F.lit(1)) > 1).alias("split"))
+    marked = placed.join(split, "parent", "left").withColumn("born", F.coalesce("split", F.lit(True)))
+    path = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = marked.withColumn("chain", F.last(F.when(F.col("born"), F.col("root")), ignorenulls=True).over(path))
+    named = named.withColumn("depth", F.sum(F.col("born").cast("int")).over(path))
+    return named.withColumn("mother", F.when(F.col("born"), F.lag("chain").over(up))).select(
+        *keys, "cell", "level", "root", "size", "chain", "depth", "born", "mother"
     )
-    if selection == "leaf":
-        # an only child is the same cluster, thinned out: it counts from where it split off
-        lone = tree.join(children, tree.parent == children.parent, "left").select(
-            tree["*"], (F.coalesce("kids", F.lit(0)) == 1).alias("lone")
-        )
-        edges = lone.filter("lone").select(F.col("root").alias("a"), F.col("parent").alias("b"))
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        chains = connected(parts.select(F.col("root").alias("node")), both)
-        linked = tree.join(chains.select(F.col("node").alias("root"), F.col("root").alias("chain")), "root")
-        splitting = children.filter("kids > 1").select(F.col("parent").alias("root"))
-        inner = linked.join(splitting, "root", "left_semi").select("chain").distinct()
-        leaves = linked.join(inner, "chain", "left_anti")
-        return materialize(leaves.groupBy("chain").agg(F.min_by("root", "level").alias("root")).select("root"))
-    # stability: points times the levels they persist; a parent stays if it beats its children
-    depth = tree.agg(F.max("level")).first()[0]
-    if depth is None:
-        return tree.select("root")
-    state = tree.select("root", "parent", "level", F.col("size").cast("double").alias("own"))
-    best = state.filter(F.col("level") == depth).select("root", "parent", F.col("own").alias("score"), F.lit(True).alias("keep"))
-    verdicts = best
-    for level in range(depth - 1, -1, -1):
-        below = best.groupBy(F.col("parent").alias("p")).agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("kids"))
-        here = state.filter(F.col("level") == level).join(below, F.col("root") == F.col("p"), "left")
-        below_sum = F.coalesce("sum", F.lit(0.0))
-        mine = F.col("own") + F.when(F.col("kids") == 1, below_sum).otherwise(0.0)
-        best = here.select(
-            "root", "parent", F.greatest(mine, below_sum).alias("score"), (mine >= below_sum).alias("keep")
-        )
-        best = materialize(best)
-        verdicts = verdicts.unionByName(best)
-    # walk down: the first kept component on each path wins
-    chosen = tree.filter(F.col("parent").isNull()).select("root")
-    picked = None
-    for _ in range(depth + 1):
-        marked = chosen.join(verdicts.select("root", "keep"), "root")
-        wins = marked.filter("keep").select("root")
-        picked = wins if picked is None else picked.unionByName(wins)
-        open_roots = marked.filter(~F.col("keep")).select(F.col("root").alias("parent"))
-        chosen = tree.join(open_roots, "parent", "left_semi").select("root")
-    return materialize(picked)
+
+
+def _leaves(chains: DataFrame) -> DataFrame:
+    mothers = chains.filter("mother IS NOT NULL").select(F.col("mother").alias("chain")).distinct()
+    return chains.select("chain").distinct().join(mothers, "chain", "left_anti")
+
+
+def _most_mass(chains: DataFrame, keys: list[str], min_samples: int) -> DataFrame:
+    """Clusters with more mass above their birth than what they split into: points times the rise of density."""
+    parts = chains.select("chain", "depth", "level", "root", "size").distinct()
+    lower = F.when(F.col("level") == 0, F.lit(0.0)).otherwise(_threshold(F.col("level") - 1, min_samples))
+    rise = _threshold(F.col("level"), min_samples) - lower
+    own = parts.groupBy("chain", "depth").agg(F.sum(F.col("size") * rise).alias("own"))
+    mothers = chains.filter("mother IS NOT NULL").select("chain", "mother").distinct()
+    known = materialize(own.join(mothers, "chain", "left"))
+    deepest = known.agg(F.max("depth")).first()[0] or 0  # splits on top of each other, a few
+    scores, below = None, None
+    for depth in range(deepest, 0, -1):
+        here = known.filter(F.col("depth") == depth)
+        if below is None:
+            here = here.withColumn("sum", F.lit(0.0))
+        else:
+            here = here.join(below, "chain", "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
+        here = materialize(here.select("chain", "mother", (F.col("own") >= F.col("sum")).alias("keep"), F.greatest("own", "sum").alias("score")))
+        below = here.groupBy(F.col("mother").alias("chain")).agg(F.sum("score").alias("sum"))
+        scores = here if scores is None else scores.unionByName(here)
+    if scores is None:
+        return known.select("chain")
+    # of the kept clusters on a cell's path the first one wins
+    path = Window.partitionBy(*keys, "cell").orderBy("depth")
+    births = chains.filter("born").join(scores.filter("keep").select("chain"), "chain", "left_semi")
+    first = births.withColumn("place", F.row_number().over(path)).filter("place = 1")
+    return first.select("chain").distinct()
 
 
 def _numbered(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,7 +16,6 @@ from callweave.plans.store import Store
 from callweave.session import materialize
 from callweave.sources.documents import Config
 
-GRID_DIMENSIONS = 4
 HASHED_SIZE = 64
 
 
@@ -39,7 +38,7 @@ def model_topics(
     grid, words = settings["hdbscan"], settings["vectorizer"]
     embedded = sentences if "embedding" in sentences.columns else _embedded(sentences, "cleaned_text", encoder, size)
     embedded = materialize(embedded)
-    dims = min(GRID_DIMENSIONS, settings["umap"]["n_components"])
+    dims = min(size, settings["umap"]["n_components"])
     reduced = density.reduce_dimensions(embedded, "embedding", dims)
     clusters = density.density_clusters(
         reduced, ["firm_id"], "sentence_id", "reduced", dims, grid["min_cluster_size"], grid["min_samples"],
@@ -153,7 +152,7 @@ def process_themes(
         return
     cleaned = docs.withColumn("words", text.content_tokens(F.col("document"), []))
     embedded = materialize(_embedded(cleaned.withColumn("_text", F.array_join("words", " ")), "_text", encoder, size))
-    dims = min(GRID_DIMENSIONS, settings["umap"]["n_components"])
+    dims = min(size, settings["umap"]["n_components"])
     clusters = density.density_clusters(
         density.reduce_dimensions(embedded, "embedding", dims), [], "id", "reduced", dims,
         grid["min_cluster_size"], grid["min_samples"], grid["cluster_selection_method"],

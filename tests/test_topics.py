@@ -63,7 +63,7 @@ def _blobs(spark, seed=0, firms=2):
 @pytest.mark.parametrize("selection", ["leaf", "eom"])
 def test_density_finds_the_blobs(spark, selection):
     points = _blobs(spark)
-    got = density.density_clusters(points, ["firm"], "id", "v", 2, min_cluster_size=15, min_samples=3, selection=selection, bins=3.0, levels=3)
+    got = density.density_clusters(points, ["firm"], "id", "v", 2, min_cluster_size=15, min_samples=3, selection=selection)
     both = got.join(points, ["firm", "id"]).toPandas()
     assert len(both) == 442
     assert (both[both.label == -1].cluster == -1).all()
@@ -77,6 +77,34 @@ def test_density_finds_the_blobs(spark, selection):
         density.density_clusters(points, ["firm"], "id", "v", 2, selection="best")
 
 
+def _rand_index(a, b):
+    """Adjusted Rand index of two labellings."""
+    pairs = lambda counts: float((counts * (counts - 1) / 2).sum())
+    table = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(table, (a, b), 1)
+    both, one, other = pairs(table), pairs(table.sum(axis=1)), pairs(table.sum(axis=0))
+    expected = one * other / (len(a) * (len(a) - 1) / 2)
+    return (both - expected) / ((one + other) / 2 - expected)
+
+
+@pytest.mark.parametrize("selection", ["leaf", "eom"])
+@pytest.mark.parametrize("n", [400, 4_000, 40_000])
+@pytest.mark.parametrize("dims", [2, 4])
+def test_clusters_do_not_depend_on_the_number_of_points(spark, selection, n, dims):
+    rng = np.random.default_rng(n)
+    centers = np.array([[0, 0], [8, 0], [0, 8], [8, 8]])
+    label = rng.integers(0, 4, n)
+    found = rng.normal(0, 1, (n, dims))
+    found[:, :2] += centers[label]
+    points = spark.createDataFrame(
+        spark.sparkContext.parallelize([(i, [float(x) for x in v]) for i, v in enumerate(found)], 4), "id long, v array<double>"
+    )
+    got = density.density_clusters(points, [], "id", "v", dims, min_cluster_size=15, min_samples=3, selection=selection).toPandas()
+    cluster = got.sort_values("id")["cluster"].to_numpy()
+    assert set(cluster) - {-1} == {0, 1, 2, 3}
+    assert _rand_index(label, cluster + 1) > 0.9
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2)) if a != b] + [(i, i + 1) for i in range(200, 260)]
