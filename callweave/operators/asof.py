@@ -21,13 +21,13 @@ def asof_join(
     strict: bool = False,
     within_days: int | None = None,
     direction: str = "backward",
-    limit: int | None = scan.MAX_GROUP_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Left join of the nearest right row by time, with ``take`` = {right column: output name}.
 
     Among right rows of one key and instant the greatest `tie` wins. `strict` leaves out equal
-    instants. `within_days` drops matches further away. NULL keys never match. `limit` is the
-    largest group one task may scan, None where both sides are bounded by construction.
+    instants. `within_days` drops matches further away. NULL keys never match. `bounded` says that both
+    sides have few rows per key by construction.
     """
     by = list(by)
     if direction not in ("backward", "forward"):
@@ -50,7 +50,7 @@ def asof_join(
     hit_type = source.schema["_hit"].dataType
     right_rows = source.withColumn("_side", F.lit(right_side))
 
-    if scan.fits(left.select(*by).unionAll(source.select(*by)), by, limit):
+    if bounded:
         packed = left.select(
             *by, F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(left_side).alias("_side")
         )
@@ -71,7 +71,7 @@ def asof_join(
             {"_side": F.lit(left_side), "_hit": F.lit(None).cast(hit_type)}
         )
         both = instants.unionByName(right_rows)
-        found = scan.running(both, by, time_order("_side"), limit, _found=scan.latest(F.col("_hit")))
+        found = scan.running(both, by, time_order("_side"), _found=scan.latest(F.col("_hit")))
         found = found.filter(F.col("_side") == left_side).select(
             *[F.col(k).alias(f"_f_{k}") for k in by], F.col("_t"), "_found"
         )

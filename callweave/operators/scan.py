@@ -1,9 +1,9 @@
 """Ordered scans inside groups that stay correct when one group is huge.
 
-A Spark window sends a whole group to one task. That is the right plan while groups are
-small, so every operator here first checks the largest group (one narrow aggregate). Above
-the limit it sorts globally by range instead, scans each range on its own and adds the
-totals carried over from the ranges before it; no task then sees more than one range.
+A Spark window sends a whole group to one task. The operators here sort globally by range instead,
+scan each range on its own and add the totals carried over from the ranges before it, so no
+task sees more than one range, whatever the group. Only where groups are bounded by
+construction (`bounded=True`, say one row per permno and trading day) is a plain window used.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from callweave.session import materialize
 
-MAX_GROUP_ROWS = 1_000_000
+BLOCK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -44,12 +44,6 @@ def latest(column: Column) -> Running:
     return Running("latest", column)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def _over(run: Running, ordered: WindowSpec) -> Column:
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if run.kind == "rows":
@@ -87,27 +81,16 @@ def _combine(run: Running, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
-def fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
-    """Whether every group is small enough for one task; None says it is so by construction."""
-    return limit is None or largest_group(df, keys) <= limit
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    limit: int | None = MAX_GROUP_ROWS,
-    sized: DataFrame | None = None,
+    bounded: bool = False,
     **outs: Running,
 ) -> DataFrame:
-    """Add running values over `keys` in `order`, which must be a total order.
-
-    `limit` is the largest group a single task may scan; pass a smaller one for wide rows and
-    None where the groups are bounded by construction. `sized` is a cheaper frame whose
-    groups are at least as large, to be measured in place of `df`.
-    """
+    """Add running values over `keys` in `order`, which must be a total order."""
     keys = list(keys)
-    if fits(df if sized is None else sized, keys, limit):
+    if bounded:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: _over(r, ordered) for n, r in outs.items()})
 
@@ -153,11 +136,12 @@ def trailing(
     order: Sequence[Column],
     preceding: int,
     outs: dict[str, Callable[[WindowSpec, WindowSpec], Column]],
-    limit: int | None = MAX_GROUP_ROWS,
+    bounded: bool = False,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Values over the current row and up to `preceding` rows before it.
 
-    Each `outs` entry gets the ordered window and the framed one. Huge groups are cut into
+    Each `outs` entry gets the ordered window and the framed one. Groups are cut into
     blocks of rows that also carry the last `preceding` rows of the block before.
     """
     keys = list(keys)
@@ -166,11 +150,11 @@ def trailing(
         frame = ordered.rowsBetween(-preceding, Window.currentRow)
         return frame_df.withColumns({n: f(ordered, frame) for n, f in outs.items()})
 
-    if fits(df, keys, limit):
+    if bounded:
         return evaluate(df, Window.partitionBy(*keys).orderBy(*order))
 
-    block = max(limit, preceding + 1)
-    numbered = running(df, keys, order, limit, _rn=rows())
+    block = max(block_rows, preceding + 1)
+    numbered = running(df, keys, order, _rn=rows())
     index = F.col("_rn") - 1
     own = F.floor(index / block)
     spill = F.pmod(index, F.lit(block)) >= block - preceding
@@ -198,7 +182,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], limit: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bounded: bool = False
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, NULL values skipped.
 
@@ -208,7 +192,7 @@ def quantiles(
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
     counted = materialize(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    scanned = running(counted, keys, [F.col(value)], limit, _upto=total(F.col("_n")))
+    scanned = running(counted, keys, [F.col(value)], bounded, _upto=total(F.col("_n")))
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size")).select(
         "_size", *[F.col(k).alias(f"_s_{k}") for k in keys]
     )
@@ -242,13 +226,13 @@ def ordered_lists(
     value: Column,
     out: str = "members",
     part_rows: int = 10_000,
-    limit: int = MAX_GROUP_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Ordered member lists, cut into parts of `part_rows` so that no list is unbounded.
 
     Groups up to `part_rows` give one row with part 0; larger ones continue in part 1, 2, ...
     """
-    numbered = running(df.withColumn("_v", value), keys, order, limit, _rn=rows())
+    numbered = running(df.withColumn("_v", value), keys, order, bounded, _rn=rows())
     return (
         numbered.withColumn("part", F.floor((F.col("_rn") - 1) / part_rows))
         .groupBy(*keys, "part")

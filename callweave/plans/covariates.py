@@ -165,7 +165,7 @@ def event_covariates(study: Study, factors: DataFrame, events: DataFrame) -> Dat
     tie = ["fyearq", "fqtr", "gvkey", "ticker"]
     # one row per permno and date on both sides, as equal statement dates are merged
     joined = asof_join(
-        study.event_date, factors, ["permno"], "edate", "datadate", take, tie=tie, strict=True, limit=None
+        study.event_date, factors, ["permno"], "edate", "datadate", take, tie=tie, strict=True, bounded=True
     )
     columns = ["permno", "edate", "datadate", "ticker", "comnam", *COVARIATES, "cret", "car", "bhar"]
     complete = nulls.finite_rows(joined.select(*columns))

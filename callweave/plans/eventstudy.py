@@ -18,11 +18,6 @@ from callweave.operators.intervals import interval_join
 
 EVENT = ["permno", "edate"]
 ALL_FACTORS = ["smb", "hml", "mktrf", "umd"]
-ADDED = [
-    "cret", "cexpret", "car", "sar", "scar", "bhar",
-    "cret_edate", "car_edate", "scar_edate", "sar_edate", "bhar_edate",
-    "pat_scale", "pat_scale_edate",
-]
 
 
 @dataclass(frozen=True)
@@ -156,7 +151,10 @@ def event_study(
         (F.col("td") - off.est_start).alias("first_td"),
         (F.col("td") + off.evt_end).alias("last_td"),
     )
-    rows = daily_returns(returns, factors, delistings, days)
+    # only the events' firms and the dates their windows touch
+    firms = dated.groupBy("permno").agg(F.min("estwin1").alias("_from"), F.max("evtwin2").alias("_to"))
+    needed = returns.join(firms, "permno").filter(F.col("date").between(F.col("_from"), F.col("_to"))).select(*returns.columns)
+    rows = daily_returns(needed, factors, delistings, days)
     met = interval_join(rows, spans, ["permno"], "td", "first_td", "last_td", width=256, floor=0, ceiling=2**31)
     rel = F.col("td") - F.col("etd")
     isest = rel.between(-off.est_start, -off.est_end)
@@ -201,7 +199,7 @@ def _expected(fitted: DataFrame, model: str) -> DataFrame:
         fitted = fitted.withColumns({"rsq": F.lit(0.0), "p_count": F.lit(1), "edf": F.col("nobs") - 1})
     else:
         if model != "m":
-            fitted = fitted.withColumn("fit", leastsq.fit("fit_n", "fit_means", "fit_cov")).withColumns(
+            fitted = fitted.withColumn("fit", leastsq.fit_only("fit_n", "fit_means", "fit_cov")).withColumns(
                 {
                     "alpha": F.col("fit.coef")[0],
                     "betas": F.slice("fit.coef", 2, len(names)),

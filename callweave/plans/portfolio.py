@@ -26,16 +26,25 @@ def event_days(
     calendar long); each event looks up its first row and meets only the cells it touches.
     """
     series = Window.partitionBy("permno").orderBy("date")
-    numbered = returns.select("permno", "date", "prc", "ret", "shrout").withColumn(
-        "rn", F.row_number().over(series)
+    # only the events' firms, from their first event on; the numbering may start anywhere
+    firms = events.groupBy("permno").agg(F.min("edate").alias("first"))
+    numbered = (
+        returns.select("permno", "date", "prc", "ret", "shrout")
+        .join(firms, "permno")
+        .filter(F.col("date") >= F.col("first"))
+        .drop("first")
+        .withColumn("rn", F.row_number().over(series))
+    )
+    # a theme goes by its id and carries the first of its names
+    ends = events.groupBy("theme_id").agg(
+        F.date_add(F.max("edate"), pull_days).alias("pull_end"), F.min("theme_name").alias("theme_name")
     )
-    ends = events.groupBy("theme_id").agg(F.date_add(F.max("edate"), pull_days).alias("pull_end"))
     # distinct dates of a permno are bounded by the calendar, so no size check is needed
     starts = asof_join(
         events.select("permno", "edate").distinct(), numbered, ["permno"], "edate", "date", {"rn": "rn0"},
-        direction="forward", limit=None,
+        direction="forward", bounded=True,
     ).filter(F.col("rn0").isNotNull())
-    located = events.join(ends, "theme_id").join(starts, ["permno", "edate"])
+    located = events.drop("theme_name").join(ends, "theme_id").join(starts, ["permno", "edate"])
     spans = located.withColumn("rn_end", F.col("rn0") + days)
     met = interval_join(numbered, spans, ["permno"], "rn", "rn0", "rn_end", width=128, floor=0, ceiling=2**31)
     return met.filter(F.col("date") <= F.col("pull_end")).select(
@@ -80,10 +89,14 @@ def portfolio_returns(
 
 
 def with_day_zero(daily: DataFrame) -> DataFrame:
-    keys = [*THEME, "bucket"]
-    have = daily.filter("days_from_event = 0").select(*keys)
-    absent = daily.select(*keys).distinct().join(have, keys, "left_anti")
-    return daily.unionByName(absent.withColumns({"days_from_event": F.lit(0).cast("long"), "vw_return": F.lit(0.0)}))
+    """The series with a row for day 0 in each, found in one pass over its at most `days` rows."""
+    series = Window.partitionBy(*THEME, "bucket")
+    own = F.struct("days_from_event", "vw_return")
+    zero = F.struct(F.lit(0).cast("long").alias("days_from_event"), F.lit(0.0).alias("vw_return"))
+    first = F.col("days_from_event") == F.min("days_from_event").over(series)
+    lacking = first & (F.count_if(F.col("days_from_event") == 0).over(series) == 0)
+    rows = daily.withColumn("_rows", F.when(lacking, F.array(own, zero)).otherwise(F.array(own)))
+    return rows.select(*THEME, "bucket", F.inline("_rows"))
 
 
 def compound(daily: DataFrame) -> DataFrame:

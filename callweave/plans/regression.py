@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import leastsq, text
@@ -13,16 +13,16 @@ from callweave.operators import scan
 from callweave.session import materialize
 
 
-def fit_groups(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """OLS of `y` on a constant and `xs` per group, from sums merged before the shuffle."""
-    sums = df.groupBy(*keys).agg(*leastsq.moments(F.col(y), [F.col(x) for x in xs]))
+def fit_groups(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], carry: dict[str, Column] | None = None) -> DataFrame:
+    """OLS of `y` on a constant and `xs` per group, from sums merged before the shuffle; `carry` adds aggregates."""
+    sums = df.groupBy(*keys).agg(*leastsq.moments(F.col(y), [F.col(x) for x in xs]), *[f.alias(n) for n, f in (carry or {}).items()])
     return sums.withColumn("fit", leastsq.fit("fit_n", "fit_means", "fit_cov")).select(
-        *keys, F.col("fit_n").alias("n_obs"), "fit.*"
+        *keys, *(carry or {}), F.col("fit_n").alias("n_obs"), "fit.*"
     )
 
 
 def theme_regressions(results: DataFrame, covariates: Sequence[str] = COVARIATES, y: str = "car") -> DataFrame:
-    return fit_groups(results, ["theme_id", "theme_name"], y, ["sentiment", *covariates])
+    return fit_groups(results, ["theme_id"], y, ["sentiment", *covariates], {"theme_name": F.min("theme_name")})
 
 
 def coefficient_table(fits: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from callweave.functions import text
 from callweave.operators import scan
 
-# component rows carry whole texts, so a task scans fewer of them
-COMPONENT_LIMIT = 50_000
-
 
 def sentences(
     components: DataFrame,
@@ -20,21 +17,21 @@ def sentences(
     split: Callable[[Column], Column] = text.split_sentences,
     clean: Callable[[Column, Sequence[str]], Column] = text.clean,
     min_words: int = 2,
-    limit: int = COMPONENT_LIMIT,
 ) -> DataFrame:
     """One row per kept sentence, numbered from 0 inside each firm.
 
     Sentences with fewer than `min_words` cleaned words are dropped before numbering. Order is
-    transcript, component, text hash for equal component numbers, then place in the text.
+    transcript (by number, other ids after the numbers), component, text hash for equal component numbers, then
+    place in the text.
     `split` and `clean` take any column expression, so a tagger can stand in.
     """
     pieces = F.transform(split(F.col("text")), lambda s: F.struct(s.alias("raw"), clean(s, stopwords).alias("cleaned")))
     kept = F.filter(pieces, lambda s: F.size(F.split(F.trim(s["cleaned"]), r"\s+")) >= min_words)
     counted = components.withColumn("_kept", kept).withColumn("_n", F.size("_kept")).withColumn("_tie", F.xxhash64("text"))
-    counted = counted.filter("_n > 0").drop("text")
-    order = [F.col(c) for c in ("transcript_id", "component_order", "_tie")]
-    # the unfiltered components bound the group sizes without any text work
-    placed = scan.running(counted, ["firm_id"], order, limit, components, _upto=scan.total(F.col("_n")))
+    # no filter on the count: it would be pushed below and split the texts a second time
+    counted = counted.drop("text")
+    order = [F.col("transcript_id").try_cast("bigint").asc_nulls_last(), *[F.col(c) for c in ("transcript_id", "component_order", "_tie")]]
+    placed = scan.running(counted, ["firm_id"], order, _upto=scan.total(F.col("_n")))
     start = F.col("_upto") - F.col("_n")
     rows = placed.select(
         "firm_id", "transcript_id", "component_order", "speaker_type", start.alias("_start"),

@@ -1,4 +1,4 @@
-"""Ordered scans give the same answer on the one-task path and on the range path."""
+"""Ordered scans give the same answer in a plain window and over ranges."""
 
 from __future__ import annotations
 
@@ -25,10 +25,10 @@ def as_spark(spark, df):
     return spark.createDataFrame([(k, int(t), x) for k, t, x in rows], "k string, t long, x double")
 
 
-@pytest.mark.parametrize("limit", [None, 10_000, 20])
-def test_running(spark, frame, limit):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_running(spark, frame, bounded):
     got = scan.running(
-        as_spark(spark, frame), ["k"], [F.col("t")], limit,
+        as_spark(spark, frame), ["k"], [F.col("t")], bounded,
         rn=scan.rows(), total=scan.total(F.col("x")), growth=scan.product(1 + F.col("x")), last=scan.latest(F.col("x")),
     ).toPandas()
     want = frame.sort_values("t")
@@ -45,21 +45,21 @@ def test_running(spark, frame, limit):
         np.testing.assert_allclose(both[c].astype(float), both[f"{c}_w"].astype(float), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [None, 20])
-def test_running_without_keys_and_descending(spark, frame, limit):
-    got = scan.running(as_spark(spark, frame), [], [F.desc("t")], limit, rn=scan.rows()).toPandas()
+@pytest.mark.parametrize("bounded", [True, False])
+def test_running_without_keys_and_descending(spark, frame, bounded):
+    got = scan.running(as_spark(spark, frame), [], [F.desc("t")], bounded, rn=scan.rows()).toPandas()
     assert (got["rn"] == 400 - got["t"]).all()
 
 
-@pytest.mark.parametrize("limit", [10_000, 15])
-def test_trailing_windows(spark, frame, limit):
+@pytest.mark.parametrize(("bounded", "block_rows"), [(True, 1), (False, 15), (False, 10_000)])
+def test_trailing_windows(spark, frame, bounded, block_rows):
     data = frame.dropna(subset=["k"])
     outs = {
         "total": lambda o, f: F.when(F.count("x").over(f) == 4, F.sum("x").over(f)),
         "filled": lambda o, f: F.last("x", ignorenulls=True).over(f),
         "before": lambda o, f: F.lag("x", 1).over(o),
     }
-    got = scan.trailing(as_spark(spark, data), ["k"], [F.col("t")], 3, outs, limit).toPandas()
+    got = scan.trailing(as_spark(spark, data), ["k"], [F.col("t")], 3, outs, bounded, block_rows).toPandas()
     want = data.sort_values("t")
     groups = want.groupby("k")["x"]
     want = want.assign(
@@ -73,10 +73,10 @@ def test_trailing_windows(spark, frame, limit):
         np.testing.assert_allclose(both[c].astype(float), both[f"{c}_w"].astype(float), atol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [10_000, 7])
-def test_quantiles(spark, frame, limit):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_quantiles(spark, frame, bounded):
     data = frame.dropna(subset=["k"])
-    got = scan.quantiles(as_spark(spark, data), ["k"], "x", {"q33": 0.33, "q67": 0.67}, limit).toPandas().set_index("k")
+    got = scan.quantiles(as_spark(spark, data), ["k"], "x", {"q33": 0.33, "q67": 0.67}, bounded).toPandas().set_index("k")
     want = data.groupby("k")["x"].quantile([0.33, 0.67]).unstack()
     np.testing.assert_allclose(got.loc[want.index, ["q33", "q67"]], want)
 
@@ -86,10 +86,10 @@ def test_quantile_without_keys(spark, frame):
     assert got == pytest.approx(frame["x"].median())
 
 
-@pytest.mark.parametrize("limit", [10_000, 20])
-def test_lists_continue_in_parts(spark, frame, limit):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_lists_continue_in_parts(spark, frame, bounded):
     data = as_spark(spark, frame.dropna(subset=["k"]))
-    got = scan.ordered_lists(data, ["k"], [F.col("t")], F.col("t"), "ts", 25, limit).toPandas()
+    got = scan.ordered_lists(data, ["k"], [F.col("t")], F.col("t"), "ts", 25, bounded).toPandas()
     hot = got[got.k == "hot"].sort_values("part")
     assert list(hot.part) == [0, 1, 2, 3, 4, 5]
     assert [len(v) for v in hot.ts] == [25] * 5 + [15]

@@ -19,11 +19,17 @@ def test_sentences_are_numbered_across_transcripts(spark):
         ("f2", "Two", "T9", 1, "CEO", "The and of."),
     ]
     comps = spark.createDataFrame(rows, "firm_id string, firm_name string, transcript_id string, component_order int, speaker_type string, text string")
-    for limit in (None, 2):
-        got = sentences.sentences(comps, ["the", "and", "of", "yes"], limit=limit).orderBy("position").collect()
-        assert [r.sentence_id for r in got] == [f"f1_{t}_{i:04d}" for i, t in enumerate(["T1", "T1", "T1", "T2", "T2"])]
-        assert [r.raw_text for r in got][:3] == ["First component text.", "Second component here.", "More words follow?"]
-        assert got[1].speaker_type is None and got[4].cleaned_text == "delta epsilon zeta"
+    got = sentences.sentences(comps, ["the", "and", "of", "yes"]).orderBy("position").collect()
+    assert [r.sentence_id for r in got] == [f"f1_{t}_{i:04d}" for i, t in enumerate(["T1", "T1", "T1", "T2", "T2"])]
+    assert [r.raw_text for r in got][:3] == ["First component text.", "Second component here.", "More words follow?"]
+    assert got[1].speaker_type is None and got[4].cleaned_text == "delta epsilon zeta"
+
+
+def test_transcripts_go_by_number(spark):
+    rows = [("f", "One", t, 1, "CEO", f"Words of {t} here.") for t in ("10", "9", "x", "100")]
+    comps = spark.createDataFrame(rows, "firm_id string, firm_name string, transcript_id string, component_order int, speaker_type string, text string")
+    got = sentences.sentences(comps, []).orderBy("position").collect()
+    assert [r.transcript_id for r in got] == ["9", "10", "100", "x"]
 
 
 def test_cleaning_drops_numbers_and_stop_words(spark):
