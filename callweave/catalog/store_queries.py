@@ -13,6 +13,10 @@ from callweave.streaming import resume
 
 
 def _hierarchy(spark, folder):
+    return store.hierarchy(*_tables(spark, folder))
+
+
+def _tables(spark, folder):
     """Regions as themes, nations as topics and firms, customers as sentences."""
     nation = inputs.table(spark, folder, "nation")
     themes = inputs.table(spark, folder, "region").select(
@@ -34,7 +38,7 @@ def _hierarchy(spark, folder):
         F.col("c_name").alias("raw_text"), F.col("c_mktsegment").alias("speaker_type"),
         F.col("c_custkey").alias("position"),
     )
-    return store.hierarchy(themes, topics, sentences, firms)
+    return themes, topics, sentences, firms
 
 
 def hierarchy_flat(spark, folder):
@@ -44,11 +48,27 @@ def hierarchy_flat(spark, folder):
 
 
 def hierarchy_nested(spark, folder):
-    nested = store.nested_topics(_hierarchy(spark, folder))
+    """With a topic without sentences beside every topic, and a theme without topics beside every theme."""
+    themes, topics, sentences, firms = _tables(spark, folder)
+    themes = themes.unionByName(themes.withColumns({"id": F.col("id") + 100, "name": F.lower("name")}))
+    topics = topics.unionByName(topics.withColumns({"id": F.col("id") + 100, "representation": F.lower("representation")}))
+    nested = store.nested_topics(themes, topics, sentences, firms)
     ids = F.transform("sentences", lambda s: s["sentence_id"].cast("string"))
     return nested.select("theme_name", "representation", "part", F.array_join(ids, ",").alias("sentence_ids"))
 
 
+def firm_topic_summary(spark, folder):
+    """Nations as firms, their customers as topics, the customers' orders as sentences."""
+    firms = inputs.table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    topics = inputs.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("firm_id"), F.col("c_name").alias("representation")
+    )
+    sentences = inputs.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("topic_id"))
+    found = store.firm_summary(firms, topics, sentences)
+    lines = F.transform("topics", lambda t: F.concat_ws(":", t["id"].cast("string"), t["representation"], t["n_sentences"].cast("string")))
+    return found.select("name", "part", "n_topics", "n_sentences", F.md5(F.array_join(lines, ",")).alias("topics_md5"))
+
+
 def export_contributions(spark, folder):
     names = inputs.table(spark, folder, "nation").select(
         F.col("n_nationkey").cast("long").alias("permno"), F.substring("n_name", 1, 3).alias("ticker"),
@@ -74,17 +94,19 @@ def firm_theme_distinct(spark, folder):
 
 def sentences_by_speaker(spark, folder):
     """Sentences of one speaker type by position."""
-    flat = _hierarchy(spark, folder)
-    return flat.filter("speaker_type = 'BUILDING'").orderBy("position").select("sentence_id", "position", "raw_text")
+    flat = _hierarchy(spark, folder).withColumnRenamed("sentence_id", "id")
+    return store.by_speaker(flat, "BUILDING").select(F.col("id").alias("sentence_id"), "position", "raw_text")
 
 
 def processed_firms(spark, folder):
     """Parts by whether they were ever shipped late enough to carry a date."""
     part = inputs.table(spark, folder, "part").select("p_partkey", "p_type")
-    late = inputs.table(spark, folder, "lineitem").filter(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp"))
-    marked = part.join(late.groupBy("l_partkey").agg(F.max("l_shipdate").alias("at")), F.col("p_partkey") == F.col("l_partkey"), "left")
-    state = F.when(F.col("at").isNotNull(), "processed").otherwise("unprocessed")
-    return marked.groupBy("p_type", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    late = F.when(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp"), F.col("l_shipdate"))
+    shipped = inputs.table(spark, folder, "lineitem").groupBy("l_partkey").agg(F.max(late).alias("processed_at"))
+    firms = part.join(shipped, F.col("p_partkey") == F.col("l_partkey"), "left")
+    by_state = {s: store.in_state(firms, s == "processed").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")) for s in ("processed", "unprocessed")}
+    rows = [found.select("p_type", F.lit(s).alias("state"), "n") for s, found in by_state.items()]
+    return rows[0].unionByName(rows[1])
 
 
 def left_count(spark, folder):
@@ -113,7 +135,8 @@ def ilike_distinct_count(spark, folder):
 
 def orphan_anti_join(spark, folder):
     customer = inputs.table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), "c_name")
-    used = inputs.table(spark, folder, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    pending = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey"))
+    used = inputs.table(spark, folder, "orders").select(pending.alias("key"))
     return relational.missing_from(customer, used, ["key"])
 
 
@@ -166,12 +189,13 @@ def table_counts(spark, folder):
 def upsert_new(spark, folder):
     docs = inputs.table(spark, folder, "documents").select("doc_id", "source")
     known = inputs.table(spark, folder, "labels").select("doc_id")
-    return relational.upsert_new(known, docs, ["doc_id"])
+    return relational.upsert_new(known, docs, ["doc_id"], [F.col("source")])
 
 
 def resume_point(spark, folder):
     customer = inputs.table(spark, folder, "customer").select(F.col("c_custkey").alias("key"))
-    done = inputs.table(spark, folder, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    pending = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey"))
+    done = inputs.table(spark, folder, "orders").select(pending.alias("key"))
     return resume.resume_index(customer, done, "key", "key")
 
 
@@ -223,8 +247,9 @@ def interval_join_left(spark, folder):
 def _asof(spark, folder, **options):
     orders = inputs.table(spark, folder, "orders").withColumn("order_date", F.to_date("o_orderdate"))
     left = orders.select("o_orderkey", "o_custkey", "order_date")
-    right = orders.filter("o_orderstatus = 'F'").select(
-        "o_custkey", F.col("order_date").alias("f_date"), F.col("o_orderkey").alias("f_key"), F.col("o_totalprice").alias("f_price")
+    # rows without a date never match
+    right = orders.select(
+        "o_custkey", F.when(F.col("o_orderstatus") == "F", F.col("order_date")).alias("f_date"), F.col("o_orderkey").alias("f_key"), F.col("o_totalprice").alias("f_price")
     )
     take = {"f_date": "match_date", "f_price": "match_price"}
     return asof_join(left, right, ["o_custkey"], "order_date", "f_date", take, tie=["f_key"], **options)
@@ -280,7 +305,7 @@ def backfilled_dates(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        hierarchy_flat, sentences_by_speaker, processed_firms, hierarchy_nested, export_contributions, firm_theme_distinct, left_count, coverage_pct,
+        hierarchy_flat, firm_topic_summary, sentences_by_speaker, processed_firms, hierarchy_nested, export_contributions, firm_theme_distinct, left_count, coverage_pct,
         topic_coverage, ilike_distinct_count, orphan_anti_join, orphan_checks, top_k_groups, top_k_per_group,
         pivot_fill_zero, median_by_group, table_counts, upsert_new, resume_point, pending_firms, duplicate_groups,
         latest_per_key, interval_join_inner, interval_join_left, asof_tolerance, asof_strict, asof_forward,
@@ -326,10 +351,23 @@ ORACLE = {
         GROUP BY 1, 2""",
     "hierarchy_nested": """
         SELECT r_name AS theme_name, n_name AS representation, (rn - 1) // 10000 AS part,
-               string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS sentence_ids
+               coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey), '') AS sentence_ids
         FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS rn
-              FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey)
-        GROUP BY 1, 2, 3""",
+              FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey)
+        GROUP BY 1, 2, 3
+        UNION ALL SELECT r_name, lower(n_name), 0, '' FROM region JOIN nation ON n_regionkey = r_regionkey
+        UNION ALL SELECT lower(r_name), NULL, 0, '' FROM region
+        UNION ALL SELECT r_name, NULL, 0, '' FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)""",
+    "firm_topic_summary": """
+        WITH t AS (
+            SELECT c_nationkey, c_custkey, c_name, count(o_orderkey) AS n,
+                   row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn
+            FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+        whole AS (SELECT c_nationkey, count(*) AS topics, CAST(sum(n) AS BIGINT) AS sentences FROM t GROUP BY 1)
+        SELECT n_name AS name, coalesce((rn - 1) // 10000, 0) AS part, coalesce(any_value(topics), 0) AS n_topics,
+               coalesce(any_value(sentences), 0) AS n_sentences,
+               md5(coalesce(string_agg(c_custkey || ':' || c_name || ':' || n, ',' ORDER BY c_custkey), '')) AS topics_md5
+        FROM nation LEFT JOIN t ON t.c_nationkey = n_nationkey LEFT JOIN whole ON whole.c_nationkey = n_nationkey GROUP BY 1, 2""",
     "export_contributions": """
         SELECT printf('theme_%03d', r_regionkey) AS theme_id, r_name AS theme_name, 'C' || n_nationkey AS firm_id, n_name AS firm_name,
                (SELECT CAST(x.n_nationkey AS BIGINT) FROM nation x

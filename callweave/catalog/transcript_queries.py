@@ -43,9 +43,7 @@ def operator_filter_null_safe(spark, folder):
 
 
 def date_range_inclusive(spark, folder):
-    rows = inputs.table(spark, folder, "orders").filter(
-        F.col("o_orderdate").between(F.lit("1997-01-01").cast("timestamp"), F.lit("1997-12-31").cast("timestamp"))
-    )
+    rows = relational.between_dates(inputs.table(spark, folder, "orders"), F.col("o_orderdate"), "1997-01-01", "1997-12-31")
     return rows.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n_orders"), F.min("o_orderdate").cast("date").alias("first_date"),
         F.max("o_orderdate").cast("date").alias("last_date"), F.round(F.sum("o_totalprice"), 2).alias("total"),
@@ -156,7 +154,7 @@ def entity_explode(spark, folder):
 
 def row_shares(spark, folder):
     e = inputs.table(spark, folder, "embeddings").select(
-        "vec_id", F.slice(F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0))), 1, 3).alias("v")
+        "vec_id", F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0))).alias("v")
     )
     shares = e.select("vec_id", F.posexplode(vectors.row_shares(F.col("v"))).alias("place", "share"))
     return shares.select("vec_id", F.col("place").cast("long").alias("place"), F.round("share", 6).alias("share"))
@@ -263,7 +261,7 @@ ORACLE = {
             SELECT companyid, transcriptid, componentorder, role, unnest(s) AS raw, generate_subscripts(s, 1) AS i FROM pieces),
         cleaned AS (SELECT *, {_tokens("raw")} AS w FROM each),
         kept AS (
-            SELECT *, row_number() OVER (PARTITION BY companyid ORDER BY transcriptid, componentorder, i) - 1 AS position
+            SELECT *, row_number() OVER (PARTITION BY companyid ORDER BY TRY_CAST(transcriptid AS BIGINT) NULLS LAST, transcriptid, componentorder, i) - 1 AS position
             FROM cleaned WHERE len(w) > 1)
         SELECT companyid || '_' || transcriptid || '_' || printf('%04d', position) AS sentence_id, companyid AS firm_id,
                role AS speaker_type, position, raw AS raw_text, array_to_string(w, ' ') AS cleaned_text
@@ -331,9 +329,9 @@ ORACLE = {
         UNION ALL SELECT o_orderkey, 'STATUS', lower(o_orderstatus), CAST(0.25 AS DOUBLE) FROM orders""",
     "row_shares": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding[1:3], lambda x: greatest(CAST(x AS DOUBLE), 0.0)) AS v FROM embeddings)
-        SELECT vec_id, unnest([0, 1, 2])::BIGINT AS place,
-               round(unnest(list_transform(v, lambda x: CASE WHEN list_sum(v) = 0 THEN 1.0 / 3 ELSE x / list_sum(v) END)), 6) AS share
+            SELECT vec_id, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0.0)) AS v FROM embeddings)
+        SELECT vec_id, unnest(range(0, len(v)))::BIGINT AS place,
+               round(unnest(list_transform(v, lambda x: CASE WHEN list_sum(v) = 0 THEN 1.0 / len(v) ELSE x / list_sum(v) END)), 6) AS share
         FROM v""",
     "complete_rows": """
         SELECT l_linenumber, count(*) AS n, round(avg(l_extendedprice / l_discount), 4) AS avg_ratio,

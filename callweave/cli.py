@@ -118,6 +118,8 @@ def main(arguments: Sequence[str] | None = None) -> int:
     if options.command == "topics":
         config = documents.Config.load(options.config, source=options.source, store=options.store)
         source = transcripts.TranscriptCsv(spark, config.source)
+        if config.first_firms:
+            source = transcripts.LimitedConnector(source, first=config.first_firms)
         rows = transcripts.as_components(source.fetch(config.firm_ids, config.start, config.end))
         upstream.run(rows, store.Store(spark, config.store), options.batch, config, F.lit(options.run_date).cast("date"))
     elif options.command == "export":
@@ -127,10 +129,10 @@ def main(arguments: Sequence[str] | None = None) -> int:
         export.write_export(export.contributions(flat, names), options.output)
     elif options.command == "backfill":
         held = store.Store(spark, options.store)
-        filled = materialize(store.backfilled_dates(held.table("firms"), market.ParquetMarket(spark, options.market).table("fundq")))
+        filled = materialize(store.backfilled_dates(held.batched("firms"), market.ParquetMarket(spark, options.market).table("fundq")))
         print("firms with a date:", filled.filter(F.col("earnings_call_date").isNotNull()).count())
         if not options.dry_run:
-            held.replace("firms", filled)
+            held.replace_batches("firms", filled)
     else:
         tables = market.ParquetMarket(spark, options.market)
         stages = getattr(options, "stages", [options.command])

@@ -43,9 +43,9 @@ def missing_from(df: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(known.select(*on), list(on), "left_anti")
 
 
-def upsert_new(existing: DataFrame, incoming: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of `incoming` whose key is not stored yet, one per key."""
-    return missing_from(incoming.dropDuplicates(list(on)), existing, on)
+def upsert_new(existing: DataFrame, incoming: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows of `incoming` whose key is not stored yet, the first in `order` per key."""
+    return latest_per_key(missing_from(incoming, existing, on), on, order)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -51,12 +51,28 @@ class Store:
         stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())]))
         return stored.parquet(self._at(name)).select(*schema.names)
 
+    def batched(self, name: str) -> DataFrame:
+        """A table with the batch of each row."""
+        schema = T.StructType([*schemas.STORE[name].fields, T.StructField("batch", T.StringType())])
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._at(name))
+
+    def replace_batches(self, name: str, rows: DataFrame) -> None:
+        """Replace the batches that `rows`, which must not read from the table any more, name in `batch`."""
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.STORE[name].fields], "batch")
+        writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch").parquet(self._at(name))
+
     def write(self, name: str, rows: DataFrame, batch: str) -> None:
-        """Replace one batch of a table; other batches stay."""
+        """Replace one batch of a table; other batches stay. Without rows the batch is emptied too."""
         shaped = rows.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.STORE[name].fields],
             F.lit(batch).alias("batch"),
         )
+        if shaped.isEmpty():
+            self._forget(name, batch)
+            return
         (
             shaped.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -64,6 +80,12 @@ class Store:
             .parquet(self._at(name))
         )
 
+    def _forget(self, name: str, batch: str) -> None:
+        """Drop the files of one batch; a dynamic overwrite leaves a partition that gets no rows."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name), f"batch={batch}")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(place, True)
+
     def write_firms(
         self, batch: str, firms: DataFrame, topics: DataFrame, sentences: DataFrame, entities: DataFrame | None = None
     ) -> None:
@@ -108,7 +130,8 @@ class Store:
 
     def add_firms(self, incoming: DataFrame, batch: str) -> None:
         """Insert the firms that are not stored yet."""
-        fresh = relational.upsert_new(self.table("firms"), incoming, ["company_id"])
+        order = [F.col("processed_at").desc_nulls_last(), F.col("name")]
+        fresh = relational.upsert_new(self.table("firms"), incoming, ["company_id"], order)
         self.write("firms", fresh.withColumn("id", key("company_id")), batch)
 
     def drop(self, names: Sequence[str] = tuple(schemas.STORE)) -> None:
@@ -125,7 +148,10 @@ class Store:
         rows = self.table("sentences")
         rows = rows if firm_id is None else rows.filter(F.col("firm_id") == firm_id)
         rows = rows if topic_id is None else rows.filter(F.col("topic_id") == topic_id)
-        return rows.orderBy("position", "id")
+        return in_order(rows)
+
+    def sentences_by_speaker(self, speaker: str) -> DataFrame:
+        return by_speaker(self.table("sentences"), speaker)
 
     def topics_of(self, firm_id: int | None = None, theme_id: int | None = None) -> DataFrame:
         """Topics of a firm or a theme by their local number."""
@@ -135,8 +161,7 @@ class Store:
         return rows.orderBy("local_topic_id", "id")
 
     def firms_by_state(self, processed: bool) -> DataFrame:
-        at = F.col("processed_at")
-        return self.table("firms").filter(at.isNotNull() if processed else at.isNull())
+        return in_state(self.table("firms"), processed)
 
     def unprocessed(self, available: DataFrame) -> DataFrame:
         """Available firm ids without a marker, in order."""
@@ -163,11 +188,49 @@ def hierarchy(themes: DataFrame, topics: DataFrame, sentences: DataFrame, firms:
     return t.join(p, "theme_id").join(f, "firm_id").join(s, "topic_id")
 
 
-def nested_topics(flat: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Sentences of each topic as lists by position, long topics in further parts."""
-    keys = ["theme_id", "theme_name", "firm_id", "firm_name", "topic_id", "representation"]
+def in_order(sentences: DataFrame) -> DataFrame:
+    return sentences.orderBy("position", "id")
+
+
+def by_speaker(sentences: DataFrame, speaker: str) -> DataFrame:
+    """Sentences of one speaker type by position."""
+    return in_order(sentences.filter(F.col("speaker_type") == speaker))
+
+
+def in_state(firms: DataFrame, processed: bool) -> DataFrame:
+    at = F.col("processed_at")
+    return firms.filter(at.isNotNull() if processed else at.isNull())
+
+
+def nested_topics(themes: DataFrame, topics: DataFrame, sentences: DataFrame, firms: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """Themes with their topics and these with their sentences as lists by position.
+
+    Themes without topics and topics without sentences stay, with an empty list; long topics continue in further parts.
+    """
+    t = themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme_name"))
+    p = topics.select(F.col("id").alias("topic_id"), "theme_id", "firm_id", "representation")
+    f = firms.select(F.col("id").alias("firm_id"), F.col("name").alias("firm_name"))
+    named = sentences.select("topic_id", F.col("id").alias("sentence_id"), "raw_text", "speaker_type", "position")
     sentence = F.struct("sentence_id", "raw_text", "speaker_type", "position")
-    return scan.ordered_lists(flat, keys, [F.col("position"), F.col("sentence_id")], sentence, "sentences", part_rows)
+    placed = named.filter(F.col("topic_id").isNotNull())
+    lists = scan.ordered_lists(placed, ["topic_id"], [F.col("position"), F.col("sentence_id")], sentence, "sentences", part_rows)
+    whole = t.join(p, "theme_id", "left").join(f, "firm_id", "left").join(lists, "topic_id", "left")
+    return whole.withColumns({"part": F.coalesce("part", F.lit(0)), "sentences": F.coalesce("sentences", F.array())})
+
+
+def firm_summary(firms: DataFrame, topics: DataFrame, sentences: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """Firm with its topic and sentence counts and its topics by id, 0 included; long lists continue in further parts."""
+    counts = sentences.groupBy(F.col("topic_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    sized = topics.join(counts, "id", "left").withColumn("n_sentences", F.coalesce("n", F.lit(0)))
+    totals = sized.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n_topics"), F.sum("n_sentences").alias("n_sentences"))
+    topic = F.struct("id", "representation", "n_sentences")
+    lists = scan.ordered_lists(sized.filter(F.col("firm_id").isNotNull()), ["firm_id"], [F.col("id")], topic, "topics", part_rows)
+    named = firms.select(F.col("id").alias("firm_id"), "name")
+    zero = F.lit(0).cast("long")
+    return named.join(totals, "firm_id", "left").join(lists, "firm_id", "left").withColumns(
+        {"part": F.coalesce("part", zero), "n_topics": F.coalesce("n_topics", zero), "n_sentences": F.coalesce("n_sentences", zero),
+         "topics": F.coalesce("topics", F.array())}
+    )
 
 
 def firm_themes(firms: DataFrame, topics: DataFrame, themes: DataFrame) -> DataFrame:
@@ -214,7 +277,8 @@ def upper_ticker_permno(lookups: DataFrame, stocknames: DataFrame) -> DataFrame:
     ).distinct()
     names = stocknames.select(F.upper("ticker").alias("ticker"), "permno", "namedt", "nameendt")
     valid = interval_join(asked, names, ["ticker"], "date", "namedt", "nameendt")
-    best = valid.groupBy("ticker", "date").agg(F.max_by("permno", F.struct("namedt", "permno")).alias("permno"))
+    # the last one per task goes on, so a common ticker's names do not meet in one
+    best = scan.top_k(valid, ["ticker", "date"], [F.desc("namedt"), F.desc("permno")], 1).select("ticker", "date", "permno")
     return asked.join(best, ["ticker", "date"], "left")
 
 
@@ -225,7 +289,7 @@ def ticker_permno(lookups: DataFrame, stocknames: DataFrame) -> DataFrame:
     asked = lookups.select(F.upper("ticker").alias("ticker"), "date").dropna().distinct()
     names = stocknames.select(F.upper("ticker").alias("ticker"), "permno", "namedt", "nameendt")
     valid = interval_join(asked, names, ["ticker"], "date", "namedt", "nameendt")
-    return valid.groupBy("ticker").agg(F.max_by("permno", F.struct("namedt", "permno")).alias("permno"))
+    return scan.top_k(valid, ["ticker"], [F.desc("namedt"), F.desc("permno")], 1).select("ticker", "permno")
 
 
 def backfilled_dates(firms: DataFrame, fundq: DataFrame) -> DataFrame:

@@ -52,6 +52,8 @@ async def _answer(generate: Generate, prompt: str, gate: asyncio.Semaphore, time
                 failure = Unavailable()
             except Unavailable as error:
                 failure = error
+            except Exception:  # any other fault of a client costs its own answer only
+                return None
             if not failure.passing:
                 return None
             if attempt + 1 < tries:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +29,20 @@ class TranscriptCsv:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        if "://" not in path and not os.path.exists(path):
-            raise FileNotFoundError(path)
         self._spark, self._path = spark, path
+        self._named = self._read()
 
-    def components(self) -> DataFrame:
+    def _read(self) -> DataFrame:
         options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-        named = widen(self._spark.read.options(**options).csv(self._path))
+        try:
+            return self._spark.read.options(**options).csv(self._path)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(self._path) from error
+            raise
+
+    def components(self) -> DataFrame:
+        named = widen(self._named)
         wanted = {f.name: f.dataType.simpleString() for f in schemas.TRANSCRIPTS.fields}
         full = nulls.with_columns(named, **wanted)
         return full.select(*[F.col(n).try_cast(t).alias(n) for n, t in wanted.items()])
@@ -45,8 +52,7 @@ class TranscriptCsv:
         if firm_ids is not None:
             rows = relational.in_list(rows, "companyid", [str(i) for i in firm_ids])
         if start is not None and end is not None:
-            dated = rows.filter(F.col("mostimportantdateutc").isNotNull()).limit(1).count() > 0
-            if dated:
+            if "mostimportantdateutc" in (c.lower() for c in self._named.columns):
                 rows = relational.between_dates(rows, F.col("mostimportantdateutc"), start, end)
         return relational.without_role(rows, "speakertypename", "operator")
 

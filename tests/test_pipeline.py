@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from callweave import cli
 from callweave.functions import nulls, text
 from callweave.operators import relational
-from callweave.plans import charts, export, sentiment, store, upstream
+from callweave.plans import charts, export, sentiment, store, summaries, upstream
 from callweave.sinks import writers
 from callweave.sources import documents, market, transcripts
 
@@ -283,3 +283,78 @@ def test_command_line_downstream(spark, tmp_path, monkeypatch):
     with pytest.raises(SystemExit) as stop:
         cli.main(["--help"])
     assert stop.value.code == 0
+
+
+FIRM_COLUMNS = "company_id string, name string, ticker string, quarter string, earnings_call_date date, processed_at timestamp"
+
+
+def test_a_batch_without_rows_is_emptied(spark, tmp_path):
+    held = store.Store(spark, str(tmp_path / "s"))
+    row = spark.createDataFrame([("1", "A", "aa", "2023-Q1", None, None)], FIRM_COLUMNS).withColumn("id", F.lit(1))
+    for batch in ("b1", "b2"):
+        held.write("firms", row, batch)
+    held.write("firms", row.limit(0), "b1")
+    assert [r.batch for r in held.batched("firms").collect()] == ["b2"]
+    held.write("firms", row.limit(0), "b9")
+    assert held.table("firms").count() == 1
+
+
+def test_backfill_keeps_the_batches(spark, tmp_path, monkeypatch):
+    held = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("1", "A", "aa", "2023-Q1", None, None)], FIRM_COLUMNS).withColumn("id", store.key("company_id"))
+    held.write("firms", rows, "b1")
+    reports = spark.createDataFrame([("AA", "2023Q1", date(2023, 5, 1))], "tic string, datacqtr string, rdq date")
+    reports.write.parquet(str(tmp_path / "market" / "fundq"))
+    monkeypatch.setattr(cli, "build_session", lambda **_: spark)
+    monkeypatch.setattr(market.ParquetMarket, "table", lambda self, name: spark.read.parquet(str(tmp_path / "market" / name)))
+    assert cli.main(["backfill", "--store", str(tmp_path / "s"), "--market", str(tmp_path / "market")]) == 0
+    held.write("firms", rows, "b1")  # the batch was lost before its markers and runs again
+    assert held.table("firms").count() == 1
+
+
+def test_upsert_takes_the_first_in_order(spark):
+    known = spark.createDataFrame([(1, "x")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b")], "k int, v string")
+    assert [tuple(r) for r in relational.upsert_new(known, new, ["k"], [F.col("v")]).collect()] == [(2, "b")]
+
+
+def test_dates_decide_where_the_column_exists(spark, tmp_path):
+    head = "companyid,companyname,transcriptid,componenttext,componentorder,mostimportantdateutc\n"
+    (tmp_path / "a.csv").write_text(head + "1,A,T1,Some words here.,1,\n2,B,T2,Some words here.,1,\n")
+    assert transcripts.TranscriptCsv(spark, str(tmp_path / "a.csv")).fetch(None, "2023-01-01", "2023-02-01").count() == 0
+    assert transcripts.TranscriptCsv(spark, f"file://{tmp_path}/a.csv").fetch().count() == 2
+
+
+def test_first_firms_limit_the_run(spark, tmp_path, csv_path, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(cli, "build_session", lambda **_: spark)
+    monkeypatch.setattr(upstream, "run", lambda rows, *_: seen.update(firms={r.firm_id for r in rows.select("firm_id").collect()}))
+    (tmp_path / "c.json").write_text(json.dumps({"first_firms": 1}))
+    options = ["topics", "--source", csv_path, "--store", str(tmp_path / "s"), "--batch", "b", "--run-date", "2024-01-01"]
+    assert cli.main([*options, "--config", str(tmp_path / "c.json")]) == 0
+    assert seen["firms"] == {"1001"}
+
+
+def test_any_client_fault_gives_null(spark):
+    def factory():
+        async def generate(prompt):
+            if prompt == "bad":
+                raise KeyError("choices")
+            return prompt.upper()
+
+        return generate
+
+    rows = spark.createDataFrame([("good",), ("bad",)], "p string")
+    got = {r.p: r.a for r in summaries.generated(rows, "p", factory, "a", wait=0.0).collect()}
+    assert got == {"good": "GOOD", "bad": None}
+
+
+def test_firm_summary_and_nested_form_keep_empty_ones(spark):
+    themes = spark.createDataFrame([(1, "t"), (2, "none")], "id long, name string")
+    topics = spark.createDataFrame([(10, 1, 5, "a"), (11, 1, 5, "b")], "id long, theme_id long, firm_id long, representation string")
+    firms = spark.createDataFrame([(5, "F"), (6, "G")], "id long, name string")
+    said = spark.createDataFrame([(10, 1, "x", "CEO", 0)], "topic_id long, id long, raw_text string, speaker_type string, position int")
+    nested = {(r.theme_name, r.topic_id): [s.raw_text for s in r.sentences] for r in store.nested_topics(themes, topics, said, firms).collect()}
+    assert nested == {("t", 10): ["x"], ("t", 11): [], ("none", None): []}
+    found = {r.name: (r.n_topics, r.n_sentences, [(t.id, t.n_sentences) for t in r.topics]) for r in store.firm_summary(firms, topics, said).collect()}
+    assert found == {"F": (2, 1, [(10, 1), (11, 0)]), "G": (0, 0, [])}
