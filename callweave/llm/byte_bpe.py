@@ -36,7 +36,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from callweave.llm.shared import spread, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 BATCH_BYTES = 4 << 20
 
 
@@ -66,15 +66,22 @@ def young_characters() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(f"[{low}\U00010000-\U0010ffff]"), re.compile(f"[{exact}]")
 
 
+@lru_cache(2)
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of each token by its rank; all that decoding needs."""
+    with open(path, "rb") as lines:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+    return [ranks.get(i, b"") for i in range(max(ranks, default=-1) + 1)]
+
+
 class ByteBpe:
-    """Encoder and decoder of one vocabulary file; made once per worker by `loaded`."""
+    """Encoder of one vocabulary file; made once per worker by `loaded`."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {token: rank for rank, token in enumerate(token_bytes(path)) if token}
         characters = byte_characters()
         name = {token: "".join([characters[b] for b in token]) for token in ranks}
         merges: list[tuple[str, str]] = []
@@ -87,9 +94,6 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.quick, self.exact = young_characters()
         self.library_split = pre_tokenizers.Split(Regex(pattern), "isolated")
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
         self.known: dict[str, array] = {}
 
     def split(self, text: str) -> list[str]:
@@ -123,8 +127,8 @@ class ByteBpe:
             at += len(piece)
         return spans
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+def decoded(ids: list[int], tokens: list[bytes]) -> bytes:
+    return b"".join([tokens[i] for i in ids])
 
 
 @lru_cache(2)
@@ -217,8 +221,8 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", vocabulary: str
     path = public_tokenizers.path(vocabulary)
 
     def make(column: pa.Array) -> list[pa.Array]:
-        bpe = loaded(path, public_tokenizers.PATTERN)
-        return [pa.array([bpe.decode(v) for v in _lists(column)], pa.binary())]
+        known = token_bytes(path)
+        return [pa.array([decoded(v, known) for v in _lists(column)], pa.binary())]
 
     return _replaced(df, ids, {out: "binary"}, 4, make)
 
@@ -228,8 +232,8 @@ def decode_text(df: DataFrame, ids: str = "ids", out: str = "text", vocabulary:
     path = public_tokenizers.path(vocabulary)
 
     def make(column: pa.Array) -> list[pa.Array]:
-        bpe = loaded(path, public_tokenizers.PATTERN)
-        return [pa.array([bpe.decode(v).decode("utf-8", "replace") for v in _lists(column)], pa.string())]
+        known = token_bytes(path)
+        return [pa.array([decoded(v, known).decode("utf-8", "replace") for v in _lists(column)], pa.string())]
 
     return _replaced(df, ids, {out: "string"}, 4, make)
 

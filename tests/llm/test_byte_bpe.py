@@ -33,7 +33,7 @@ def test_ids_on_odd_texts(reference, bpe):
     for text in texts:
         ids = list(bpe.encode(text))
         assert ids == reference.encode_ordinary(text)
-        assert bpe.decode(ids) == text.encode()
+        assert byte_bpe.decoded(ids, byte_bpe.token_bytes(public_tokenizers.path(byte_bpe.VOCABULARY))) == text.encode()
 
 
 def test_every_character(reference, bpe):
@@ -79,7 +79,8 @@ def test_slices_decode_to_parts_of_characters(spark, bpe):
     ids = list(bpe.encode("🙂"))
     assert len(ids) > 1
     df = spark.createDataFrame([(1, ids), (2, ids[:1]), (3, None), (4, [ids[0], None, *ids[1:]]), (5, [])], "k int, ids array<int>")
-    assert {r.k: bytes(r.bytes) for r in byte_bpe.decode(df).collect()}[2] == bpe.decode(ids[:1])
+    known = byte_bpe.token_bytes(public_tokenizers.path(byte_bpe.VOCABULARY))
+    assert {r.k: bytes(r.bytes) for r in byte_bpe.decode(df).collect()}[2] == known[ids[0]]
     assert {r.k: r.text for r in byte_bpe.decode_text(df).collect()} == {1: "🙂", 2: "�", 3: "", 4: "🙂", 5: ""}
 
 
