@@ -146,33 +146,30 @@ def term_counts(
     """Term counts per topic, for terms that at least `min_df` topics of the `scope` use.
 
     A topic's texts count as one document, as in class-based weighting. Terms are counted
-    map-side before the only full shuffle, and the counts are written once, so that the
-    totals derived from them never read the texts again.
+    map-side before the first shuffle; the second brings the topics of a term together (one row each),
+    for their number and the term's total. Only the terms that stay are written, once.
     """
     listed = docs.select(*keys, words.alias("_words"))
     grams = listed.select(*keys, F.explode(text.ngrams(F.col("_words"), low, high)).alias("term"))
-    counted = materialize(grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
-    if min_df <= 1:
-        return counted
-    spread = counted.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_topics"))
-    common = spread.filter(F.col("_topics") >= min_df).select(*scope, "term")
-    return counted.join(common, [*scope, "term"], "left_semi").select(*keys, "term", "tf")
+    counted = grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    topics_of_term = Window.partitionBy(*scope, "term")
+    totals = {"_topics": F.count(F.lit(1)).over(topics_of_term), "term_total": F.sum("tf").over(topics_of_term)}
+    return materialize(counted.withColumns(totals).filter(F.col("_topics") >= min_df).select(*keys, "term", "tf", "term_total"))
 
 
 def class_tfidf(counts: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """Weight tf * ln(1 + A / f): f is the term's total count, A the mean words per class.
 
-    `scope` names the keys inside which classes are compared (a firm); () compares all.
+    `counts` is what `term_counts` gives. `scope` names the keys inside which classes are compared (a firm); () compares all.
     """
     scope = list(scope)
-    per_term = counts.groupBy(*scope, "term").agg(F.sum("tf").alias("_f"))
     per_class = counts.groupBy(*keys).agg(F.sum("tf").alias("_words"))
     if scope:
         average = per_class.groupBy(*scope).agg(F.avg("_words").alias("_a"))
-        weighed = counts.join(per_term, [*scope, "term"]).join(average, scope)
+        weighed = counts.join(average, scope)
     else:
-        weighed = counts.join(per_term, "term").withColumn("_a", per_class.agg(F.avg("_words")).scalar())
-    return weighed.select(*keys, "term", "tf", (F.col("tf") * F.ln(1 + F.col("_a") / F.col("_f"))).alias("weight"))
+        weighed = counts.withColumn("_a", per_class.agg(F.avg("_words")).scalar())
+    return weighed.select(*keys, "term", "tf", (F.col("tf") * F.ln(1 + F.col("_a") / F.col("term_total"))).alias("weight"))
 
 
 def top_terms(weights: DataFrame, keys: Sequence[str], k: int = TOPIC_KEYWORDS) -> DataFrame:
