@@ -44,6 +44,16 @@ def event_study_market(spark, folder):
     return _window_rows(spark, folder, "m")
 
 
+def event_study_delisted(spark, folder):
+    """Every fifth firm ends on its last day with a delisting return."""
+    series = inputs.daily(spark, folder)
+    ended = series.groupBy("permno").agg(F.max("date").alias("dlstdt")).withColumn("dlret", F.when(F.col("permno") % 5 == 0, F.lit(-0.3)))
+    study = eventstudy.event_study(
+        _events(spark, folder), series, inputs.calendar(spark, folder), inputs.factors(series), ended, model="madj", **WINDOW
+    )
+    return _rounded(study.event_window, ["permno", "edate", "rdate", "evttime"], ["ret", "abret"], 9)
+
+
 def event_study_ff3(spark, folder):
     return _window_rows(spark, folder, "ff")
 
@@ -190,11 +200,15 @@ def full_theme_regression(spark, folder):
 
 
 def significance_summary(spark, folder):
-    return regression.significance_summary(_theme_fits(spark, folder))
+    rows = regression.significance_summary(_theme_fits(spark, folder))
+    values = ["Sentiment_Coef", "Std_Error", "t_Statistic", "p_Value", "R_Squared", "Adj_R_Squared"]
+    return _rounded(rows, ["Theme_ID", "Theme_Name", "Significance", "N_Observations", "rank"], values, 5)
 
 
 def significance_totals(spark, folder):
-    return regression.summary_stats(regression.significance_summary(_theme_fits(spark, folder)))
+    rows = regression.summary_stats(regression.significance_summary(_theme_fits(spark, folder)))
+    values = ["pct_below_05", "pct_below_01", "pct_below_001", "mean_r_squared", "mean_abs_coef"]
+    return _rounded(rows, ["n_themes", "n_below_05", "n_below_01", "n_below_001", "n_positive", "n_negative"], values, 5)
 
 
 def sentiment_slopes(spark, folder):
@@ -256,7 +270,7 @@ def sentiment_medians(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        event_study_madj, event_study_market, event_study_ff3, event_study_ff4, trading_windows, event_stats, event_date_final,
+        event_study_madj, event_study_market, event_study_delisted, event_study_ff3, event_study_ff4, trading_windows, event_stats, event_date_final,
         event_window_rows, rejected_events, sentiment_events, sentiment_distribution, sentiment_firm_details,
         sentiment_by_quality, lexicon_sentiment, studied_once, theme_study_results, rolling_features, covariate_ratios,
         event_covariates, theme_regression, full_theme_regression, significance_summary, significance_totals,
@@ -285,7 +299,10 @@ _BASE = f"""WITH {sql("daily", "days", "factors", "labelled", "scored")},
 
 
 def _least_squares(source: str, keys: str, y: str, xs: list[str], name: str) -> str:
-    """CTEs that solve the normal equations by Gauss-Jordan steps; the last is `name` with b0..bk."""
+    """CTEs that solve the normal equations by Gauss-Jordan steps; the last is `name` with b0..bk.
+
+    `left_over` is the variance of the last variable that the others leave over, for its standard error.
+    """
     k = len(xs)
     series = [*xs, y]
     first = ", ".join(
@@ -304,7 +321,7 @@ def _least_squares(source: str, keys: str, y: str, xs: list[str], name: str) ->
     slopes = [f"a{i}_{i}" for i in range(k)]
     coefs = ", ".join(f"a{i}_{k} / {slopes[i]} AS b{i + 1}" for i in range(k))
     intercept = f"m{k} - " + " - ".join(f"m{i} * a{i}_{k} / {slopes[i]}" for i in range(k))
-    steps.append(f"{name} AS (SELECT {keys}, n, vy, {intercept} AS b0, {coefs} FROM {name}_{k})")
+    steps.append(f"{name} AS (SELECT {keys}, n, vy, {intercept} AS b0, {coefs}, a{k - 1}_{k - 1} AS left_over FROM {name}_{k})")
     return ",\n    ".join(steps)
 
 
@@ -426,6 +443,27 @@ _SHOWN = "round(vw_return, 6) AS vw_return, round(cumulative_return, 6) AS cumul
 _SCORE = """count(*) FILTER (label = 'positive') AS positive_count, count(*) FILTER (label = 'negative') AS negative_count,
     count(*) FILTER (label = 'neutral') AS neutral_count, count(*) AS total_count"""
 
+# Student's t with whole degrees of freedom has a finite series; x is the squared cosine of its angle
+_SUMMARY = f"""{_RESULTS},
+    {_least_squares("results", "theme_id", "car", ['"Firm_Size"', '"Book_Leverage"', "sentiment"], "b")},
+    fitted AS (
+        SELECT theme_id, any_value(n) AS n, any_value(b3) AS b3, any_value(left_over) AS left_over, any_value(vy) AS vy,
+               sum(pow(car - (b0 + b1 * "Firm_Size" + b2 * "Book_Leverage" + b3 * sentiment), 2)) AS sse
+        FROM results JOIN b USING (theme_id) GROUP BY 1),
+    scaled AS (
+        SELECT *, n - 4 AS dof, 1 - sse / (vy * (n - 1)) AS rsq, sqrt(sse / (n - 4) / ((n - 1) * left_over)) AS se FROM fitted),
+    angled AS (
+        SELECT *, dof / (dof + pow(b3 / se, 2)) AS x, abs(b3 / se) / sqrt(dof + pow(b3 / se, 2)) AS sine FROM scaled),
+    tested AS (
+        SELECT *, 'Theme ' || CAST(substr(theme_id, 7) AS INT) AS theme_name, 1 - CASE
+            WHEN dof % 2 = 0 THEN sine * list_sum([
+                exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(x, j) for j in range(0, CAST(dof / 2 AS BIGINT))])
+            ELSE 2 / pi() * (asin(sine) + sine * sqrt(x) * coalesce(list_sum([
+                exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(x, j) for j in range(0, CAST((dof - 1) / 2 AS BIGINT))]), 0))
+            END AS p
+        FROM angled)"""
+_STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
+
 ORACLE = {
     "event_study_madj": _rows_sql("madj"),
     "event_study_market": _rows_sql("m"),
@@ -508,6 +546,27 @@ ORACLE = {
         SELECT theme_id, unnest([0, 1, 2, 3])::BIGINT AS position, unnest(['const', 'sentiment', 'Firm_Size', 'Book_Leverage']) AS term,
                n AS n_obs, round(unnest([b0, b1, b2, b3]), 5) AS coef, round(rsq, 5) AS rsq
         FROM b JOIN quality USING (theme_id)""",
+    "significance_summary": f"""{_SUMMARY}
+        SELECT theme_id AS "Theme_ID", theme_name AS "Theme_Name", {_STARS} AS "Significance", n AS "N_Observations",
+               row_number() OVER (ORDER BY p, theme_id) AS rank, round(b3, 5) AS "Sentiment_Coef", round(se, 5) AS "Std_Error",
+               round(b3 / se, 5) AS "t_Statistic", round(p, 5) AS "p_Value", round(rsq, 5) AS "R_Squared",
+               round(1 - (n - 1) / dof * (1 - rsq), 5) AS "Adj_R_Squared"
+        FROM tested""",
+    "significance_totals": f"""{_SUMMARY}
+        SELECT count(*) AS n_themes, count(*) FILTER (p < 0.05) AS n_below_05, count(*) FILTER (p < 0.01) AS n_below_01,
+               count(*) FILTER (p < 0.001) AS n_below_001, count(*) FILTER (b3 > 0) AS n_positive, count(*) FILTER (b3 < 0) AS n_negative,
+               round(100.0::DOUBLE * count(*) FILTER (p < 0.05) / count(*), 5) AS pct_below_05,
+               round(100.0::DOUBLE * count(*) FILTER (p < 0.01) / count(*), 5) AS pct_below_01,
+               round(100.0::DOUBLE * count(*) FILTER (p < 0.001) / count(*), 5) AS pct_below_001,
+               round(avg(rsq), 5) AS mean_r_squared, round(avg(abs(b3)), 5) AS mean_abs_coef
+        FROM tested""",
+    "event_study_delisted": _windows("madj")
+    .replace("JOIN daily d ON", "JOIN delisted d ON")
+    .replace("evs AS (", """delisted AS (
+        SELECT permno, date, (1 + ret) * (1 + CASE WHEN permno % 5 = 0 AND date = max(date) OVER (PARTITION BY permno) THEN -0.3 ELSE 0 END) - 1 AS ret
+        FROM daily),
+    evs AS (""")
+    + " SELECT permno, edate, rdate, CAST(rel AS INTEGER) AS evttime, round(ret, 9) AS ret, round(abret, 9) AS abret FROM w",
     "sentiment_slopes": f"""{_THEMED}
         SELECT permno, count(*) AS n_obs, round(regr_slope(car, sentiment), 5) AS slope, round(regr_intercept(car, sentiment), 5) AS alpha,
                round(sqrt((regr_syy(car, sentiment) - regr_slope(car, sentiment) * regr_sxy(car, sentiment)) / (count(*) - 2)

@@ -130,7 +130,8 @@ def diverse_keywords(spark, folder):
 def hashed_embeddings(spark, folder):
     docs = inputs.texts(spark, folder, "conversations").select("conv_id", "turn", "text")
     found = topics.hashed_embeddings(docs, text.content_tokens(F.col("text"), STOPWORDS), 32)
-    return found.select("conv_id", "turn", F.posexplode("embedding").alias("place", "x"))
+    spread = found.select("conv_id", "turn", F.posexplode("embedding").alias("place", "x"))
+    return spread.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def _letter_shares(spark, folder):
@@ -247,6 +248,18 @@ _SHARES = "SELECT doc_id AS id, doc_id % 3 AS firm_id, [" + ", ".join(
     f"(length(text) - length(replace(text, '{c}', ''))) / length(text)" for c in LETTERS
 ) + "] AS v FROM documents WHERE text <> ''"
 
+
+
+def _hashed(words: str, size: int) -> str:
+    """SQL for the hashed counts of a word list."""
+    places = f"[CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {size} for w in {words}]"
+    return f"[CAST(len([p for p in {places} if p = i]) AS DOUBLE) for i in range(0, {size})]"
+
+
+def _unit(counts: str) -> str:
+    return f"[CAST(CASE WHEN list_sum({counts}) = 0 THEN 0 ELSE x / sqrt(list_dot_product({counts}, {counts})) END AS FLOAT) for x in {counts}]"
+
+
 ORACLE = {
     "topic_members": f"""
         WITH {_POINTS}
@@ -302,6 +315,22 @@ ORACLE = {
         FROM (SELECT lang, term, min(place) AS place FROM places GROUP BY 1, 2) GROUP BY 1""",
     "density_clusters": density_sql.clusters(_SHARES, "firm_id", 4, 6, 2, "leaf", "k AS firm_id, id AS doc_id"),
     "density_themes": density_sql.clusters(_SHARES, "0", 4, 20, 6, "eom", "id AS doc_id"),
+    "hashed_embeddings": f"""
+        WITH w AS (SELECT conv_id, turn, {_tokens("text")} AS w FROM conversations),
+        counts AS (SELECT conv_id, turn, {_hashed("w", 32)} AS c FROM w)
+        SELECT conv_id, turn, unnest(range(0, 32)) AS place, round(CAST(unnest({_unit("c")}) AS DOUBLE), 5) AS x FROM counts""",
+    "similar_keywords": f"""
+        WITH {_GRAMS},
+        vectors AS (SELECT lang, {_unit("c")} AS v FROM (SELECT lang, {_hashed("w", 64)} AS c FROM words)),
+        center AS (
+            SELECT lang, list(x ORDER BY i) AS m FROM (
+                SELECT lang, i, avg(x) AS x FROM (
+                    SELECT lang, CAST(unnest(v) AS DOUBLE) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY lang, i) GROUP BY lang),
+        near AS (
+            SELECT r.lang, term, coalesce(list_cosine_similarity([CAST(x AS DOUBLE) for x in {_unit("c")}], m), 0) AS similarity
+            FROM (SELECT lang, term, {_hashed("string_split(term, ' ')", 64)} AS c FROM ranked WHERE rank <= 30) r JOIN center USING (lang))
+        SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, term) AS rank, round(similarity, 6) AS similarity
+        FROM near""",
     "theme_groups": f"WITH {_THEMES} SELECT theme, n_topics, n_firms, round(dominance, 6) AS dominance FROM groups",
     "theme_validation": f"WITH {_THEMES} SELECT theme, n_topics, n_firms, round(dominance, 6) AS dominance FROM valid",
     "theme_ids": f"""

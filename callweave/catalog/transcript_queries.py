@@ -129,6 +129,13 @@ def ngram_counts(spark, folder):
     return grams.groupBy("lang").agg(F.count(F.lit(1)).alias("n_grams"), F.count_distinct("term").alias("n_terms"))
 
 
+def float_ids(spark, folder):
+    """Ids that a frame reader turned into floats."""
+    k = F.col("o_orderkey")
+    as_read = F.concat(k.cast("string"), F.when(k % 3 == 0, ".0").when(k % 3 == 1, ".5").otherwise(""))
+    return inputs.table(spark, folder, "orders").select("o_orderkey", text.whole_id(as_read).alias("transcript_id"))
+
+
 def summary_fallback(spark, folder):
     """Empty and missing summaries give way to the representation."""
     d = inputs.table(spark, folder, "documents").select(
@@ -218,7 +225,7 @@ QUERIES = {
     for f in (
         sentence_split, token_clean, firm_transcript_meta, operator_filter_null_safe, date_range_inclusive,
         firm_in_list, limited_connector, sorted_firm_ids, firm_id_by_name, name_formats, date_formats, json_props,
-        prompt_texts, ngram_counts, summary_fallback, entity_explode, row_shares, complete_rows,
+        prompt_texts, ngram_counts, float_ids, summary_fallback, entity_explode, row_shares, complete_rows,
         significance_stars, key_value_items, merged_frames,
     )
 }
@@ -321,6 +328,8 @@ ORACLE = {
             UNION ALL
             SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words)
         SELECT lang, count(*) AS n_grams, count(DISTINCT term) AS n_terms FROM grams GROUP BY 1""",
+    "float_ids": """
+        SELECT o_orderkey, o_orderkey || CASE WHEN o_orderkey % 3 = 1 THEN '.5' ELSE '' END AS transcript_id FROM orders""",
     "summary_fallback": """
         SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN source END, lang || ', ' || source) AS summary FROM documents""",
     "entity_explode": """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -38,13 +37,18 @@ def check_backend(name: str) -> str:
 
 
 def hashed_embeddings(docs: DataFrame, words: Column, size: int = 64, out: str = "embedding") -> DataFrame:
-    """Unit-length hashed term counts; stands in where no encoder is supplied."""
-    counted = HashingTF(numFeatures=size, inputCol="_words", outputCol="_counts").transform(
-        docs.withColumn("_words", words)
+    """Unit-length hashed term counts; stands in where no encoder is supplied.
+
+    A word's place is the number in its leading MD5 digits modulo `size`, which any engine can repeat.
+    """
+    place = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % size)
+    placed = docs.withColumn("_places", F.coalesce(place, F.array().cast("array<bigint>")))
+    count = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")),
+        lambda i: (F.size("_places") - F.size(F.array_remove("_places", i))).cast("double"),
     )
-    unit = vectors.unit(vector_to_array("_counts"))
     zero = F.array_repeat(F.lit(0.0), size)
-    return counted.withColumn(out, F.coalesce(unit, zero).cast("array<float>")).drop("_words", "_counts")
+    return placed.withColumn(out, F.coalesce(vectors.unit(count), zero).cast("array<float>")).drop("_places")
 
 
 def encoded(docs: DataFrame, column: str, encoder, size: int, out: str = "embedding") -> DataFrame:
