@@ -6,14 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import vectors
 from callweave.operators import scan
 
-MAX_BROADCAST_QUERIES = 4096
-TILE_ROWS = 8192
+# rows of a tile on either side: a block of similarities takes 8 bytes for each pair, 32 MB in all
+TILE_ROWS = 2048
 
 
 def _best(ids, sims: np.ndarray, query_ids, k: int) -> pd.DataFrame:
@@ -21,65 +21,45 @@ def _best(ids, sims: np.ndarray, query_ids, k: int) -> pd.DataFrame:
     ids = np.asarray(ids)
     order = np.argsort(ids, kind="stable")
     ids, sims = ids[order], sims[:, order]
-    keep = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(sims.shape[0]), keep.shape[1])
-    flat = keep.ravel()
-    return pd.DataFrame({"query_id": np.asarray(query_ids)[rows], "item_id": ids[flat], "similarity": sims[rows, flat]})
+    k = min(k, sims.shape[1])
+    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
+    rows, columns = np.nonzero(sims >= least[:, None])  # k of each row and what ties with the last
+    values = sims[rows, columns]
+    order = np.lexsort((columns, -values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < k
+    return pd.DataFrame({"query_id": np.asarray(query_ids)[rows[kept]], "item_id": ids[columns[kept]], "similarity": values[kept]})
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, query: str, item: str, vector: str = "embedding") -> DataFrame:
     """The k most similar items of every query by cosine, exactly.
 
-    Up to `MAX_BROADCAST_QUERIES` queries (counted first) go to every task, which keeps k rows per
-    query of its share. More queries are cut into tiles that meet item tiles pairwise, each
-    tile again passing on k rows per query.
+    Both sides are dealt by hash to tiles of about `TILE_ROWS` rows. Every query tile meets every item tile in
+    one task, which passes on k rows per query.
     """
     q = queries.select(F.col(query).cast("long").alias("query_id"), vectors.unit(F.col(vector)).alias("u"))
     q = q.filter(F.col("u").isNotNull())
     x = items.select(F.col(item).cast("long").alias("item_id"), vectors.unit(F.col(vector)).alias("v"))
     x = x.filter(F.col("v").isNotNull())
     schema = "query_id long, item_id long, similarity double"
-    n_queries = q.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n_queries == 0:
-        return queries.sparkSession.createDataFrame([], schema + ", rank long")
-    if n_queries <= MAX_BROADCAST_QUERIES:
-        rows = q.orderBy("query_id").collect()
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (np.array([r.query_id for r in rows]), np.array([r.u for r in rows], dtype=float))
-        )
-
-        def share(batches):
-            query_ids, matrix = shared.value
-            held = None
-            for batch in batches:
-                if len(batch) == 0:
-                    continue
-                block = _best(batch["item_id"], matrix @ np.stack(batch["v"]).T, query_ids, k)
-                held = block if held is None else pd.concat([held, block], ignore_index=True)
-                held = held.sort_values(["query_id", "similarity", "item_id"], ascending=[True, False, True])
-                held = held.groupby("query_id", sort=False).head(k)
-            if held is not None:
-                yield held
-
-        found = x.mapInPandas(share, schema)
-    else:
-        n_q = max(1, -(-q.count() // TILE_ROWS))
-        n_x = max(1, -(-x.count() // TILE_ROWS))
-        tiled_q = q.select(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("tq"), F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("tx"), "query_id", "u"
-        )
-        tiled_x = x.select(
-            F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("tq"), F.pmod(F.xxhash64("item_id"), F.lit(n_x)).alias("tx"), "item_id", "v"
-        )
-        cast = {"tq": F.col("tq").cast("long"), "tx": F.col("tx").cast("long")}
-
-        def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if len(a) == 0 or len(b) == 0:
-                return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-            return _best(b["item_id"], np.stack(a["u"]) @ np.stack(b["v"]).T, a["query_id"], k)
-
-        left = tiled_q.withColumns(cast).groupBy("tq", "tx")
-        found = left.cogroup(tiled_x.withColumns(cast).groupBy("tq", "tx")).applyInPandas(tile, schema)
+    n_q, n_x = (max(1, -(-side.count() // TILE_ROWS)) for side in (q, x))
+
+    def own(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    tiled_q = q.select(own("query_id", n_q).alias("tq"), all_of(n_x).alias("tx"), "query_id", "u")
+    tiled_x = x.select(all_of(n_q).alias("tq"), own("item_id", n_x).alias("tx"), "item_id", "v")
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+        return _best(b["item_id"], np.stack(a["u"]) @ np.stack(b["v"]).T, a["query_id"], k)
+
+    found = tiled_q.groupBy("tq", "tx").cogroup(tiled_x.groupBy("tq", "tx")).applyInPandas(tile, schema)
     return scan.top_k(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
 
 

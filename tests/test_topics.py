@@ -124,13 +124,11 @@ def test_connected_components(spark):
     assert {r.node: r.root for r in got.collect()} == root
 
 
-@pytest.mark.parametrize("tiled", [False, True])
-def test_neighbors_are_exact(spark, monkeypatch, tiled):
+@pytest.mark.parametrize("tile_rows", [2048, 20])
+def test_neighbors_are_exact(spark, monkeypatch, tile_rows):
     rng = np.random.default_rng(6)
     data, asked = rng.normal(size=(90, 8)), rng.normal(size=(25, 8))
-    if tiled:
-        monkeypatch.setattr(neighbors, "MAX_BROADCAST_QUERIES", 3)
-        monkeypatch.setattr(neighbors, "TILE_ROWS", 20)
+    monkeypatch.setattr(neighbors, "TILE_ROWS", tile_rows)
     items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "i long, embedding array<double>")
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "q long, embedding array<double>")
     got = neighbors.nearest(queries, items, 4, "q", "i").toPandas().sort_values(["query_id", "rank"])
@@ -138,6 +136,13 @@ def test_neighbors_are_exact(spark, monkeypatch, tiled):
     assert got.item_id.tolist() == np.argsort(-sims, axis=1)[:, :4].ravel().tolist()
 
 
+def test_equal_items_go_by_id(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i > 5)]) for i in range(12)], "i long, embedding array<double>")
+    asked = spark.createDataFrame([(3, [1.0, 0.0])], "q long, embedding array<double>")
+    got = neighbors.nearest(asked, items, 8, "q", "i").orderBy("rank").collect()
+    assert [r.item_id for r in got] == list(range(8))
+
+
 def test_approximate_index(spark):
     rng = np.random.default_rng(6)
     items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 8)))], "i long, embedding array<double>")
