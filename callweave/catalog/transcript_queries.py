@@ -107,6 +107,7 @@ def date_formats(spark, folder):
         "o_orderkey", dates.parse_date(written).alias("parsed"), dates.us_date(F.col("d")).alias("us_date"),
         dates.event_id(F.col("d"), F.col("o_custkey")).alias("event_id"), F.date_add("d", 120).alias("plus_120"),
         dates.theme_id(F.col("d"), F.pmod("o_custkey", F.lit(50))).alias("theme_id"),
+        dates.utc_stamp(F.col("o_orderdate")).alias("stamp"),
     )
 
 
@@ -129,6 +130,13 @@ def ngram_counts(spark, folder):
     return grams.groupBy("lang").agg(F.count(F.lit(1)).alias("n_grams"), F.count_distinct("term").alias("n_terms"))
 
 
+def map_default(spark, folder):
+    """Names by language where known, a numbered name otherwise."""
+    known = F.create_map(F.lit("en"), F.lit("English"), F.lit("fr"), F.lit("French"))
+    docs = inputs.table(spark, folder, "documents")
+    return docs.select("doc_id", nulls.map_get(known, F.col("lang"), F.concat(F.lit("Topic "), F.col("source"))).alias("name"))
+
+
 def float_ids(spark, folder):
     """Ids that a frame reader turned into floats."""
     k = F.col("o_orderkey")
@@ -225,7 +233,7 @@ QUERIES = {
     for f in (
         sentence_split, token_clean, firm_transcript_meta, operator_filter_null_safe, date_range_inclusive,
         firm_in_list, limited_connector, sorted_firm_ids, firm_id_by_name, name_formats, date_formats, json_props,
-        prompt_texts, ngram_counts, float_ids, summary_fallback, entity_explode, row_shares, complete_rows,
+        prompt_texts, ngram_counts, float_ids, map_default, summary_fallback, entity_explode, row_shares, complete_rows,
         significance_stars, key_value_items, merged_frames,
     )
 }
@@ -311,7 +319,8 @@ ORACLE = {
     "date_formats": """
         SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN d END AS parsed, strftime(d, '%m/%d/%Y') AS us_date,
                upper(strftime(d, '%d%b%Y')) || o_custkey AS event_id, CAST(d + INTERVAL 120 DAY AS DATE) AS plus_120,
-               'theme_' || strftime(d, '%Y%m%d') || '_' || printf('%03d', o_custkey % 50) AS theme_id
+               'theme_' || strftime(d, '%Y%m%d') || '_' || printf('%03d', o_custkey % 50) AS theme_id,
+               strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp
         FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)""",
     "json_props": """
         SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n, round(avg(value), 6) AS avg_value
@@ -328,6 +337,8 @@ ORACLE = {
             UNION ALL
             SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words)
         SELECT lang, count(*) AS n_grams, count(DISTINCT term) AS n_terms FROM grams GROUP BY 1""",
+    "map_default": """
+        SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE 'Topic ' || source END AS name FROM documents""",
     "float_ids": """
         SELECT o_orderkey, o_orderkey || CASE WHEN o_orderkey % 3 = 1 THEN '.5' ELSE '' END AS transcript_id FROM orders""",
     "summary_fallback": """

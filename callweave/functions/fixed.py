@@ -45,17 +45,15 @@ TOPIC_KEYWORDS = 10
 LABEL_TERMS = 8
 LABEL_PER_SOURCE = 3
 STORED_KEYWORDS = 20
+CANDIDATE_TERMS = 30
 
 TOPIC_DEFAULTS = {
-    "embedding_model": "all-mpnet-base-v2",
-    "device": "cpu",
-    "umap": {"n_neighbors": 15, "n_components": 10, "min_dist": 0.0, "metric": "cosine", "random_state": 42},
+    "umap": {"n_components": 10},
     "hdbscan": {
         "min_cluster_size": 6,
         "min_samples": 2,
-        "metric": "euclidean",
         "cluster_selection_method": "leaf",
     },
     "vectorizer": {"ngram_range": [1, 2], "min_df": 2},
-    "representation": {"mmr_diversity": 0.3, "pos_model": "en_core_web_sm"},
+    "representation": {"mmr_diversity": 0.3},
 }

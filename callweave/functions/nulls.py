@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def no_nan(c: Column) -> Column:
-    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+def map_get(entries: Column, key: Column, default: Column) -> Column:
+    """Value of a map under `key`, or the default where there is none."""
+    return F.coalesce(F.try_element_at(entries, key), default)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -68,13 +68,49 @@ def summary_stats(summary: DataFrame) -> DataFrame:
     )
 
 
-def summary_lines(summary: DataFrame) -> DataFrame:
-    """The ranked table as text lines, one row each, to be written in rank order."""
-    return summary.select(
-        "rank",
-        F.format_string(
-            "%-6d %-50s %+10.6f %10.4f %5s %6d %8.4f",
-            "rank", text.shorten(F.col("Theme_Name")), "Sentiment_Coef", "p_Value", "Significance",
-            "N_Observations", "R_Squared",
-        ).alias("line"),
+RULE = "-" * 100
+HEADING = [
+    "Sentiment coefficients by p-value",
+    "Themes in the order in which their sentiment explains cumulative abnormal returns.",
+    "*** p < 0.001, ** p < 0.01, * p < 0.05",
+    RULE,
+]
+
+
+def summary_report(summary: DataFrame) -> DataFrame:
+    """The text report as lines (section, rank, part, line): heading, ranked table, statistics and the first three themes."""
+    spark = summary.sparkSession
+    columns = F.format_string("%-6s %-50s %10s %10s %5s %6s %8s", *[F.lit(c) for c in ("Rank", "Theme", "Coef", "p", "Sig", "N", "R2")])
+    heading = spark.range(1).select(F.array(*[F.lit(t) for t in HEADING], columns, F.lit(RULE)).alias("lines"))
+    name = text.shorten(F.col("Theme_Name"))
+    table = F.format_string(
+        "%-6d %-50s %+10.6f %10.4f %5s %6d %8.4f",
+        "rank", name, "Sentiment_Coef", "p_Value", "Significance", "N_Observations", "R_Squared",
     )
+
+    def share(label: str, count: str) -> Column:
+        n = F.col("n_themes")
+        return F.format_string(f"  {label}: %d (%.1f%%)", count, F.coalesce(F.try_divide(100.0 * F.col(count), n), F.lit(0.0)))
+
+    totals = [
+        F.lit(RULE), F.lit("Statistics"),
+        F.format_string("  Themes: %d", "n_themes"),
+        share("p < 0.05", "n_below_05"), share("p < 0.01", "n_below_01"), share("p < 0.001", "n_below_001"),
+        share("Positive coefficients", "n_positive"), share("Negative coefficients", "n_negative"),
+        F.format_string("  Mean R2: %.4f", F.coalesce("mean_r_squared", F.lit(0.0))),
+        F.format_string("  Mean absolute coefficient: %.6f", F.coalesce("mean_abs_coef", F.lit(0.0))),
+        F.lit(RULE), F.lit("Most significant themes"),
+    ]
+    best = [
+        F.format_string("  %d. %s", "rank", "Theme_Name"),
+        F.format_string("     coefficient %+.6f%s, p %.6f, t %+.4f", "Sentiment_Coef", "Significance", "p_Value", "t_Statistic"),
+        F.format_string("     R2 %.4f, N %d", "R_Squared", "N_Observations"),
+    ]
+    sections = [
+        heading.withColumn("rank", F.lit(0).cast("long")),
+        summary.select(F.array(table).alias("lines"), "rank"),
+        summary_stats(summary).select(F.array(*totals).alias("lines"), F.lit(0).cast("long").alias("rank")),
+        summary.filter(F.col("rank") <= 3).select(F.array(*best).alias("lines"), "rank"),
+    ]
+    parts = [s.select(F.lit(n).alias("section"), "rank", F.posexplode("lines").alias("part", "line")) for n, s in enumerate(sections)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])

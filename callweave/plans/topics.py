@@ -18,8 +18,13 @@ NOISE = -1
 
 
 def merged_config(config: Mapping | None = None) -> dict:
-    """Given settings over the defaults, nested groups merged key by key."""
-    given = config or {}
+    """Given settings over the defaults, nested groups merged key by key; settings that nothing reads are refused."""
+    given = dict(config or {})
+    given.pop("model", None)
+    unread = [k for k in given if k not in TOPIC_DEFAULTS]
+    unread += [f"{k}.{n}" for k, v in given.items() if isinstance(v, dict) for n in v if n not in TOPIC_DEFAULTS.get(k, v)]
+    if unread:
+        raise ValueError(f"settings without effect here: {', '.join(sorted(unread))}")
     out = {}
     for key, default in TOPIC_DEFAULTS.items():
         value = given.get(key, default)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave import schemas
 from callweave.functions import text
+from callweave.functions.fixed import CANDIDATE_TERMS
 from callweave.operators import density
 from callweave.plans import sentences as sentence_plan
 from callweave.plans import summaries, themes, topics
@@ -58,7 +59,7 @@ def _described(assigned: DataFrame, words: dict, representation: dict, hashed: i
     kept = assigned.filter(F.col("topic_id") != topics.NOISE)
     low, high = words["ngram_range"]
     counts = topics.term_counts(kept, group, F.split("cleaned_text", " "), low, high, words["min_df"], ["firm_id"])
-    ranked = materialize(topics.top_terms(topics.class_tfidf(counts, group, ["firm_id"]), group, 30))
+    ranked = materialize(topics.top_terms(topics.class_tfidf(counts, group, ["firm_id"]), group, CANDIDATE_TERMS))
     keywords = topics.keyword_lists(ranked.filter(F.col("rank") <= topics.TOPIC_KEYWORDS), group)
     sources = [F.col("keywords")]
     sized = kept.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))

@@ -21,14 +21,14 @@ def by_theme_csv(df: DataFrame, path: str, stem: str, limit: int | None = None)
     df.withColumns({"file": name, **day}).write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
 
 
-def lines(df: DataFrame, path: str, order: str = "rank") -> None:
+def lines(df: DataFrame, path: str, order: list[str]) -> None:
     """Text lines in order: sorted by range, so part files follow each other."""
-    df.orderBy(order).select("line").write.mode("overwrite").text(path)
+    df.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
 def significance(summary: DataFrame, path: str) -> None:
     csv(summary, f"{path}/regression_significance_summary_csv")
-    lines(regression.summary_lines(summary), f"{path}/regression_significance_summary_txt")
+    lines(regression.summary_report(summary), f"{path}/regression_significance_summary_txt", ["section", "rank", "part"])
 
 
 def study(frames: dict[str, DataFrame], output: str, path: str | None = None):
@@ -38,7 +38,9 @@ def study(frames: dict[str, DataFrame], output: str, path: str | None = None):
     if output == "print":
         for name, df in frames.items():
             print(name)
-            df.show(50, truncate=False)
+            print("\t".join(df.columns))
+            for row in df.toLocalIterator():  # all rows, a partition at a time
+                print("\t".join(map(str, row)))
         return None
     if output in ("json", "csv"):
         if path is None:

@@ -71,7 +71,7 @@ class Config:
     firm_model: dict = field(default_factory=dict)
     theme_model: dict = field(
         default_factory=lambda: {
-            "umap": {"n_neighbors": 30, "n_components": 15, "min_dist": 0.025},
+            "umap": {"n_components": 15},
             "hdbscan": {"min_cluster_size": 20, "min_samples": 6, "cluster_selection_method": "eom"},
             "vectorizer": {"min_df": 3},
             "representation": {"mmr_diversity": 0.4},

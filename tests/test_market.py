@@ -202,8 +202,12 @@ def test_summary_ranks_and_formats(spark):
     totals = regression.summary_stats(summary).first()
     assert (totals.n_below_05, totals.n_below_001, totals.n_positive, totals.n_negative) == (2, 1, 1, 1)
     assert totals.mean_abs_coef == pytest.approx(0.35)
-    lines = [r.line for r in regression.summary_lines(summary).orderBy("rank").collect()]
+    report = regression.summary_report(summary).orderBy("section", "rank", "part").collect()
+    lines = [r.line for r in report if r.section == 1]
     assert "N" * 47 + "..." in lines[1] and "+0.500000" in lines[0]
+    text = "\n".join(r.line for r in report)
+    assert "Themes: 2" in text and "p < 0.001: 1 (50.0%)" in text and text.index("  1. Name") < text.index("  2. NNN")
+    assert regression.summary_report(summary.limit(0)).filter("section IN (1, 3)").count() == 0
 
 
 def _portfolio_by_hand(events, dsf, weighting):

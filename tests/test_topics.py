@@ -182,9 +182,12 @@ def test_diverse_terms_match_the_greedy_definition(spark):
 
 
 def test_settings_merge():
-    merged = topics.merged_config({"hdbscan": {"min_cluster_size": 20}, "device": "cuda"})
+    merged = topics.merged_config({"hdbscan": {"min_cluster_size": 20}})
     assert merged["hdbscan"]["min_cluster_size"] == 20 and merged["hdbscan"]["min_samples"] == 2
-    assert merged["device"] == "cuda" and topics.merged_config()["device"] == "cpu"
+    assert topics.merged_config()["hdbscan"]["min_cluster_size"] == 6
+    for unread in ({"device": "cuda"}, {"umap": {"min_dist": 0.1}}):
+        with pytest.raises(ValueError, match="without effect"):
+            topics.merged_config(unread)
 
 
 def test_theme_rules(spark):
