@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from callweave.llm.shared import spread, table
+from callweave.llm.shared import alone, kept_by, sha256_hex, small_batches, spread, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 150_000
@@ -95,6 +95,7 @@ class ByteBpe:
         self.quick, self.exact = young_characters()
         self.library_split = pre_tokenizers.Split(Regex(pattern), "isolated")
         self.known: dict[str, array] = {}
+        self.old: dict[str, array] = {}
 
     def split(self, text: str) -> list[str]:
         """Matches of the pattern; by the library itself where Unicode versions could matter."""
@@ -103,10 +104,14 @@ class ByteBpe:
         return self.pattern.findall(text)
 
     def _learn(self, pieces: set[str]) -> None:
+        """Know these pieces; two generations, so that common pieces outlive rare ones."""
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        if new and len(self.known) + len(new) > REMEMBERED // 2:
+            self.old, self.known = self.known, {}
+            new = list(pieces)
+        fresh = [p for p in new if p not in self.old]
+        self.known.update((p, self.old[p]) for p in new if p in self.old)
+        for piece, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.known[piece] = array("i", found.ids)
 
     def encode(self, text: str) -> array:
@@ -136,6 +141,9 @@ def loaded(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+kept_by("byte_bpe", loaded.cache_clear)
+
+
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about BATCH_BYTES by `sizes`, one row at least."""
     part = (np.cumsum(sizes) - sizes) // BATCH_BYTES
@@ -202,17 +210,31 @@ def _parse(df: DataFrame, kind: str) -> DataType:
 
 def encode(
     df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN,
-    offsets: str | None = None,
+    offsets: str | None = None, decoded_sha256: str | None = None,
 ) -> DataFrame:
-    """`df` with the token ids in place of the text; `offsets` names a further column of (start, end) spans."""
+    """`df` with the token ids in place of the text.
+
+    `offsets` names a further column of (start, end) spans, `decoded_sha256` one of the digest of the bytes that the ids
+    decode to.
+    """
     path = public_tokenizers.path(vocabulary)
 
     def make(column: pa.Array) -> list[pa.Array]:
+        alone("byte_bpe")
         bpe, texts = loaded(path, pattern), column.to_pylist()
-        ids = _id_lists([bpe.encode(t or "") for t in texts])
-        return [ids] if offsets is None else [ids, _span_lists([bpe.offsets(t or "") for t in texts])]
-
-    outs = {out: "array<int>"} | ({offsets: "array<struct<start: int, end: int>>"} if offsets else {})
+        ids = [bpe.encode(t or "") for t in texts]
+        made = [_id_lists(ids)]
+        if offsets is not None:
+            made.append(_span_lists([bpe.offsets(t or "") for t in texts]))
+        if decoded_sha256 is not None:
+            known = token_bytes(path)
+            made.append(pa.array([sha256_hex(decoded(i, known)) for i in ids], pa.string()))
+        return made
+
+    outs = {out: "array<int>"}
+    outs |= {offsets: "array<struct<start: int, end: int>>"} if offsets else {}
+    outs |= {decoded_sha256: "string"} if decoded_sha256 else {}
+    small_batches(df.sparkSession)
     return _replaced(df.withColumn(text, F.col(text).cast("string")), text, outs, 1, make)
 
 

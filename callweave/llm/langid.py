@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from callweave.llm.shared import remainder, spread, table
+from callweave.llm.shared import alone, kept_by, remainder, small_batches, spread, table
 from callweave.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,7 +40,7 @@ DOCS_PER_LANGUAGE = 300
 ROUNDS = 4
 SMOOTHING = 0.1
 LONGEST_TRAINED = 48
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 CHARACTERS_AT_ONCE = 1_000_000
 RESCALE_EVERY = 16
 WORDS_AT_ONCE = 20_000
@@ -196,29 +196,38 @@ def _round(counts: DataFrame, languages: tuple[str, ...], path: str, probability
 
 
 class Scorer:
-    """Log-likelihoods of texts; remembers a bounded number of words, which changes time only."""
+    """Log-likelihoods of texts.
+
+    Remembers about REMEMBERED words in two generations, so that common words outlive rare ones. That changes time only.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         self.index = pieces(model.path)
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)))
+        self.old, self.old_rows = self.known, self.rows
+
+    def _learn(self, listed: set[str]) -> None:
+        new = [w for w in listed if w not in self.known]
+        if not new:
+            return
+        if len(self.known) + len(new) > REMEMBERED // 2 and self.known:
+            self.old, self.old_rows, self.known, self.rows = self.known, self.rows, {}, self.rows[:0]
+            new = list(listed)
+        seen = [w for w in new if w in self.old]
+        fresh = [w for w in new if w not in self.old]
+        found = [self.old_rows[[self.old[w] for w in seen]], log_marginals(_coded(fresh), self.index, self.model.probability)]
+        self.known.update(zip([*seen, *fresh], range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.rows = np.vstack([self.rows, *found])
 
     def likelihood(self, listed: list[str]) -> np.ndarray:
-        new = [w for w in set(listed) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.rows = {}, self.rows[:0]
-            new = list(set(listed))
-        if new:
-            self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.vstack([self.rows, log_marginals(_coded(new), self.index, self.model.probability)])
+        self._learn(set(listed))
         return self.rows[[self.known[w] for w in listed]].sum(axis=0)
 
     def prefetch(self, texts: list[list[str]]) -> None:
         """Learn the words of several texts at once; words of one length share a pass."""
-        new = list({w for listed in texts for w in listed if w not in self.known})
-        if new and len(new) < REMEMBERED:
-            self.likelihood(new)
+        self._learn({w for listed in texts for w in listed})
 
     def predict(self, listed: list[str]) -> tuple[str, float]:
         if not listed or not self.model.languages:
@@ -229,6 +238,7 @@ class Scorer:
 
 
 _scorers: dict[str, Scorer] = {}
+kept_by("langid", _scorers.clear)
 
 
 def _scorer(model: Model) -> Scorer:
@@ -243,6 +253,7 @@ def predicted(text: Column, model: Model) -> Column:
 
     @pandas_udf("lang string, score double")
     def of_texts(texts: pd.Series) -> pd.DataFrame:
+        alone("langid")
         scorer, out = _scorer(model), []
         part = (texts.str.len().fillna(0).cumsum() // CHARACTERS_AT_ONCE).to_numpy()
         edges = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(texts)]
@@ -257,6 +268,7 @@ def predicted(text: Column, model: Model) -> Column:
 
 def predict(docs: DataFrame, model: Model, out: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
     """`docs` with the predicted language and its score."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, predicted(F.col(text), model)).withColumns({score: F.col(out)["score"], out: F.col(out)["lang"]})
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,28 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have whole texts sent to Python in batches of `rows` at most, unless the session asks for fewer."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, rows)
+
+
+def kept_by(owner: str, forget: Callable[[], object]) -> None:
+    """Name what an operator keeps in a Python worker between batches."""
+    KEPT[owner] = forget
+
+
+def alone(owner: str) -> None:
+    """Have this Python worker drop what other operators keep; workers outlive the stage that began them."""
+    for other, forget in KEPT.items():
+        if other != owner:
+            forget()
+
+
 def remainder(id_column: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo `divisor`: the fold of a document."""
     return F.crc32(id_column.cast("string").cast("binary")) % divisor

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from callweave.llm.components import components
-from callweave.llm.shared import free_name, spread, table, with_row_ids
+from callweave.llm.shared import alone, free_name, small_batches, spread, table, with_row_ids
 from callweave.session import materialize
 
 SHINGLE = 4
@@ -65,6 +65,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 def fingerprints(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
     @pandas_udf("long")
     def of_texts(texts: pd.Series) -> pd.Series:
+        alone("simhash")
         return pd.Series([fingerprint(t, shingle, seed) for t in texts], dtype="int64")
 
     return of_texts(text.cast("string").cast("binary"))
@@ -159,6 +160,7 @@ def _signed(value: int) -> int:
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, print (long) and component_id of every row."""
+    small_batches(docs.sparkSession)
     whole = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     printed = materialize(whole.select("doc_id", fingerprints(F.col("text")).alias("print")))
     nodes = materialize(printed.groupBy("print").agg(F.min("doc_id").alias("node")))

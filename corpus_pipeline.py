@@ -46,10 +46,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text, and the digest of the text that they decode to."""
-    ids, decoded, count = (free_name(docs.columns, n) for n in ("ids", "decoded", "n_tokens"))
-    encoded = byte_bpe.encode(spread(docs), out=ids).withColumn(count, F.size(ids).cast("long"))
-    copied = encoded.withColumn(decoded, F.col(ids))
-    return byte_bpe.decode(copied, decoded, decoded).withColumn(decoded, F.sha2(decoded, 256)).withColumnRenamed(decoded, f"{decoded}_sha256")
+    ids, digest, count = (free_name(docs.columns, n) for n in ("ids", "decoded_sha256", "n_tokens"))
+    return byte_bpe.encode(spread(docs), out=ids, decoded_sha256=digest).withColumn(count, F.size(ids).cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -48,6 +48,7 @@ def test_forgetting_changes_nothing(reference, bpe, monkeypatch):
     text = cases.prose(300, 9)
     assert list(bpe.encode(text)) == reference.encode_ordinary(text)
     assert len(bpe.known) <= len(set(text.split())) + 1
+    assert list(bpe.encode(text + " again")) == reference.encode_ordinary(text + " again")
 
 
 def test_query_digests(spark, reference):
