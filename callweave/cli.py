@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import importlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import dates
-from callweave.functions.fixed import MODEL_FACTORS
+from callweave.functions.fixed import MODEL_FACTORS, STUDY_WINDOW
 from callweave.plans import charts, covariates, eventstudy, export, portfolio, regression, sentiment, store, upstream
 from callweave.session import build_session, materialize
 from callweave.sinks import writers
@@ -18,25 +19,37 @@ from callweave.sources import documents, market, transcripts
 STAGES = ("sentiment", "event-study", "portfolio")
 
 
+def factory(place: str | None) -> Callable | None:
+    """The factory at `module:name`, which the executors must be able to import too."""
+    if place is None:
+        return None
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _load_events(spark: SparkSession, path: str) -> DataFrame:
     rows = sentiment.with_themes(documents.sentiment_scores(spark, path))
     return rows.withColumn("edate", dates.parse_date(F.col("edate"))).filter(F.col("edate").isNotNull())
 
 
-def score_themes(spark: SparkSession, themes_path: str, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
+def score_themes(
+    spark: SparkSession, themes_path: str, positive: Sequence[str], negative: Sequence[str], classifier: Callable | None = None
+) -> DataFrame:
     """Sentences of a themes file (one document or exported lines) to events, rejected ones included."""
     single = themes_path.endswith(".json")
     read = documents.themes(spark, themes_path) if single else documents.theme_rows(spark, themes_path)
     rows = sentiment.theme_sentences(read)
+    if classifier is not None:
+        return sentiment.theme_events(sentiment.classified(rows, classifier))
     label, score = sentiment.lexicon_label(F.col("text"), positive, negative)
     return sentiment.theme_events(rows.withColumns({"label": label, "score": score}))
 
 
-def study_themes(events: DataFrame, tables, output: str, model: str = "madj") -> DataFrame:
+def study_themes(events: DataFrame, tables, output: str, model: str = "madj", windows: dict[str, int] | None = None) -> DataFrame:
     """Event study, covariates and theme regressions; returns the ranked summary."""
     study = eventstudy.event_study(
         sentiment.study_events(events), tables.table("dsf"), tables.table("dsi"), tables.table("factors_daily"),
-        tables.table("dsedelist"), model=model,
+        tables.table("dsedelist"), model=model, **(windows or {}),
     )
     pulled = covariates.fundamentals(
         events, *[tables.table(t) for t in ("fundq", "funda", "ccmxpf_linktable", "stocknames", "ibcrsphist", "statsum_epsus", "msf")]
@@ -81,6 +94,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--batch", required=True)
     sub.add_argument("--run-date", required=True, help="yyyy-MM-dd, part of the theme ids")
     sub.add_argument("--config")
+    sub.add_argument("--encoder", help="module:factory of a sentence encoder")
+    sub.add_argument("--generator", help="module:factory of a text service for summaries")
     sub = command("export", "stored themes to the input of the sentiment stage")
     sub.add_argument("--store", required=True)
     sub.add_argument("--output", required=True)
@@ -96,6 +111,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--output", required=True)
     sub.add_argument("--stages", nargs="+", choices=STAGES, default=list(STAGES))
     sub.add_argument("--weighting", choices=("value", "equal"), default="value")
+    sub.add_argument("--classifier", help="module:factory of a sentiment classifier; the word lists are used without one")
+    window_options(sub)
     sub.add_argument("--positive", nargs="+", default=["growth", "improved", "increase", "record", "strong"])
     sub.add_argument("--negative", nargs="+", default=["challenge", "decline", "decrease", "loss", "weak"])
     for name in ("event-study", "portfolio"):
@@ -107,9 +124,25 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--weighting", choices=("value", "equal"), default="value")
         else:
             sub.add_argument("--model", choices=tuple(MODEL_FACTORS), default="madj")
+            window_options(sub)
     return top
 
 
+def window_options(sub: argparse.ArgumentParser) -> None:
+    for name, default in STUDY_WINDOW.items():
+        sub.add_argument(f"--{name}", type=int, default=default)
+
+
+def windows_of(options: argparse.Namespace) -> dict[str, int]:
+    """The study windows asked for, checked."""
+    found = {name: getattr(options, name) for name in STUDY_WINDOW}
+    if found["estwin"] < 1 or found["gap"] < 0 or found["minval"] < 1 or found["minval"] > found["estwin"]:
+        raise ValueError("estwin and minval must be at least 1, gap at least 0, minval at most estwin")
+    if found["evtwins"] > 0 or found["evtwine"] < 0:
+        raise ValueError("the event window must hold day 0")
+    return found
+
+
 def main(arguments: Sequence[str] | None = None) -> int:
     options = parser().parse_args(arguments)
     if options.command == "run" and not (options.themes or options.sentiment_file):
@@ -121,7 +154,7 @@ def main(arguments: Sequence[str] | None = None) -> int:
         if config.first_firms:
             source = transcripts.LimitedConnector(source, first=config.first_firms)
         rows = transcripts.as_components(source.fetch(config.firm_ids, config.start, config.end))
-        upstream.run(rows, store.Store(spark, config.store), options.batch, config, F.lit(options.run_date).cast("date"))
+        upstream.run(rows, store.Store(spark, config.store), options.batch, config, F.lit(options.run_date).cast("date"), factory(options.encoder), factory(options.generator))
     elif options.command == "export":
         held = store.Store(spark, options.store)
         flat = store.hierarchy(held.table("themes"), held.themed_topics(), held.table("sentences"), held.table("firms"))
@@ -139,13 +172,13 @@ def main(arguments: Sequence[str] | None = None) -> int:
         if options.sentiment_file:
             events = _load_events(spark, options.sentiment_file)
         else:
-            scored = materialize(score_themes(spark, options.themes, options.positive, options.negative))
+            scored = materialize(score_themes(spark, options.themes, options.positive, options.negative, factory(options.classifier)))
             events = sentiment.accepted(scored)
             if "sentiment" in stages:
                 writers.csv(scored, f"{options.output}/sentiment_scores")
                 writers.by_theme_csv(events, f"{options.output}/sentiment_by_theme", "sentiment")
         if "event-study" in stages:
-            study_themes(events, tables, options.output, getattr(options, "model", "madj"))
+            study_themes(events, tables, options.output, getattr(options, "model", "madj"), windows_of(options))
         if "portfolio" in stages:
             sort_portfolios(events, tables, options.output, options.weighting)
     return 0

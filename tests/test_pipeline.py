@@ -358,3 +358,25 @@ def test_firm_summary_and_nested_form_keep_empty_ones(spark):
     assert nested == {("t", 10): ["x"], ("t", 11): [], ("none", None): []}
     found = {r.name: (r.n_topics, r.n_sentences, [(t.id, t.n_sentences) for t in r.topics]) for r in store.firm_summary(firms, topics, said).collect()}
     assert found == {"F": (2, 1, [(10, 1), (11, 0)]), "G": (0, 0, [])}
+
+
+def test_factories_and_windows_come_from_the_command_line(spark, tmp_path):
+    def shout():
+        return lambda texts: [("POSITIVE" if "grew" in t else "NEGATIVE", 0.9) for t in texts]
+
+    assert cli.factory(None) is None and cli.factory("json:loads") is json.loads
+    theme = {
+        "theme_id": "t", "theme_name": "T",
+        "firm_contributions": [{
+            "firm_id": "f", "firm_name": "F", "permno": 1, "cluster_id": 1, "earnings_call_date": "2024-01-02",
+            "sentences": [{"text": "Sales grew again.", "speaker": "CEO"}, {"text": "Costs fell.", "speaker": "CEO"}],
+        }],
+    }
+    (tmp_path / "t.json").write_text(json.dumps({"themes": [theme]}))
+    scored = cli.score_themes(spark, str(tmp_path / "t.json"), [], [], shout).first()
+    assert (scored.sentiment, scored.n_sentences) == (0.0, 2)
+    given = ["event-study", "--sentiment-file", "s", "--market", "m", "--output", "o"]
+    assert cli.windows_of(cli.parser().parse_args([*given, "--gap", "3", "--evtwins", "-4"]))["gap"] == 3
+    for wrong in (["--estwin", "0"], ["--evtwins", "2"], ["--minval", "1000"]):
+        with pytest.raises(ValueError):
+            cli.windows_of(cli.parser().parse_args([*given, *wrong]))
