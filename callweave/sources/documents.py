@@ -82,8 +82,8 @@ class Config:
 
     @classmethod
     def load(cls, path: str | None = None, **over) -> Config:
-        """Settings from YAML or JSON over the defaults; CALLWEAVE_* variables override plain text
-        settings of the file, and keyword arguments win."""
+        """Settings from YAML or JSON over the defaults; CALLWEAVE_* variables override settings of the file
+        (plain text for texts, JSON for the others), and keyword arguments win."""
         given: dict = {}
         if path and Path(path).exists():
             body = Path(path).read_text()
@@ -95,8 +95,8 @@ class Config:
                 given = yaml.safe_load(body) or {}
             else:
                 given = json.loads(body)
-        text_fields = ("source", "start", "end", "store")
-        env = {f: os.environ[f"CALLWEAVE_{f.upper()}"] for f in text_fields if f"CALLWEAVE_{f.upper()}" in os.environ}
+        texts = {f: os.environ[f"CALLWEAVE_{f.upper()}"] for f in cls.__dataclass_fields__ if f"CALLWEAVE_{f.upper()}" in os.environ}
+        env = {f: v if cls.__dataclass_fields__[f].type == "str" else json.loads(v) for f, v in texts.items()}
         known = {k: v for k, v in {**given, **env, **over}.items() if k in cls.__dataclass_fields__ and v is not None}
         config = cls(**known)
         config.check()

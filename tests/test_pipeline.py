@@ -380,3 +380,13 @@ def test_factories_and_windows_come_from_the_command_line(spark, tmp_path):
     for wrong in (["--estwin", "0"], ["--evtwins", "2"], ["--minval", "1000"]):
         with pytest.raises(ValueError):
             cli.windows_of(cli.parser().parse_args([*given, *wrong]))
+
+
+def test_settings_from_the_environment(monkeypatch, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"min_firms": 3, "store": "a"}))
+    monkeypatch.setenv("CALLWEAVE_STORE", "7")
+    monkeypatch.setenv("CALLWEAVE_MIN_FIRMS", "5")
+    monkeypatch.setenv("CALLWEAVE_FIRM_MODEL", '{"hdbscan": {"min_cluster_size": 9}}')
+    config = documents.Config.load(str(tmp_path / "c.json"), max_dominance=0.5)
+    assert (config.store, config.min_firms, config.max_dominance) == ("7", 5, 0.5)
+    assert config.firm_model["hdbscan"]["min_cluster_size"] == 9
