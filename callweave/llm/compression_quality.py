@@ -24,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from callweave.llm.shared import remainder, spread, table
+from callweave.llm.shared import first_by_hash, remainder, spread, table
 from callweave.session import materialize
 
 SEGMENT = 1000
@@ -119,12 +119,7 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 
 def sample(docs: DataFrame, known: DataFrame, per_label: int) -> DataFrame:
     """(text, label, half) of the sampled documents; only identifiers are ranked."""
-    ranked = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = (
-        known.withColumn("place", F.row_number().over(ranked))
-        .filter(F.col("place") <= per_label)
-        .select("doc_id", "label", (F.col("place") % 2).alias("half"))
-    )
+    chosen = first_by_hash(known, "label", "doc_id", per_label).select("doc_id", "label", (F.col("place") % 2).alias("half"))
     return materialize(docs.select("doc_id", "text").join(materialize(chosen), "doc_id"))
 
 

@@ -28,11 +28,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from callweave.llm.shared import alone, kept_by, remainder, small_batches, spread, table
+from callweave.llm.shared import alone, first_by_hash, kept_by, remainder, small_batches, spread, table
 from callweave.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -146,14 +146,8 @@ def _coded(listed: list[str]) -> list[bytes]:
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(text, lang) of up to `per_language` documents a language; identifiers are ranked without their texts."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = (
-        docs.filter("lang IS NOT NULL").select("doc_id", "lang")
-        .withColumn("place", F.row_number().over(ranked))
-        .filter(F.col("place") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    labelled = docs.filter("lang IS NOT NULL").select("doc_id", "lang")
+    chosen = first_by_hash(labelled, "lang", "doc_id", per_language).select("doc_id", "lang").distinct()
     return docs.select("doc_id", "lang", "text").join(materialize(chosen), ["doc_id", "lang"])
 
 

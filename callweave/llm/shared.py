@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.session import materialize
@@ -66,6 +66,21 @@ def alone(owner: str) -> None:
             forget()
 
 
+SALTS = 64
+
+
+def first_by_hash(df: DataFrame, group: str, doc_id: str, k: int) -> DataFrame:
+    """The `k` rows of least identifier hash of each group, with their `place` from 1.
+
+    A group is cut by salt first, so what one task ranks in the end is at most 64 times `k` rows of a group of any size.
+    """
+    order = [F.xxhash64(F.col(doc_id).cast("string")), F.col(doc_id)]
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(doc_id).cast("string")), F.lit(SALTS)))
+    few = salted.withColumn("place", F.row_number().over(Window.partitionBy(group, "salt").orderBy(*order))).filter(F.col("place") <= k)
+    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.filter(F.col("place") <= k).drop("salt")
+
+
 def remainder(id_column: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo `divisor`: the fold of a document."""
     return F.crc32(id_column.cast("string").cast("binary")) % divisor
