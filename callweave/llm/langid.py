@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -47,7 +48,7 @@ WORDS_AT_ONCE = 20_000
 UNKNOWN = "und"
 FOLDS, HELD_OUT_FOLD = 4, 2
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str | None) -> list[str]:

@@ -65,7 +65,7 @@ def test_a_word_of_any_length_has_a_finite_likelihood(model):
 
 
 def test_languages_of_awkward_rows(spark, model):
-    rows = [*cases.documents(), (500, "the garden", None, None, 1), (501, "le jardin", None, None, 1), (502, "123 ... 456", "en", "a", 1)]
+    rows = [*cases.documents(), (500, "the garden", None, None, 1), (501, "le jardin", None, None, 1), (502, "123 ½² Ⅷ ... 456", "en", "a", 1)]
     got = langid.predict(cases.with_extra(spark, rows), model)
     assert got.columns[-1] == "component_id" and got.count() == len(rows)
     by_id = {r.doc_id: (r.lang_pred, r.score) for r in got.collect()}
