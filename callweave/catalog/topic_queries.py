@@ -260,6 +260,34 @@ def _unit(counts: str) -> str:
     return f"[CAST(CASE WHEN list_sum({counts}) = 0 THEN 0 ELSE x / sqrt(list_dot_product({counts}, {counts})) END AS FLOAT) for x in {counts}]"
 
 
+_NEAR = f"""{_GRAMS},
+        vectors AS (SELECT lang, {_unit("c")} AS v FROM (SELECT lang, {_hashed("w", 64)} AS c FROM words)),
+        center AS (
+            SELECT lang, list(x ORDER BY i) AS m FROM (
+                SELECT lang, i, avg(x) AS x FROM (
+                    SELECT lang, CAST(unnest(v) AS DOUBLE) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY lang, i) GROUP BY lang),
+        terms AS (
+            SELECT lang, term, [CAST(x AS DOUBLE) for x in {_unit("c")}] AS v
+            FROM (SELECT lang, term, {_hashed("string_split(term, ' ')", 64)} AS c FROM ranked WHERE rank <= 30)),
+        alike AS (SELECT lang, term, v, coalesce(list_cosine_similarity(v, m), 0) AS similarity FROM terms JOIN center USING (lang)),
+        near AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, term) AS rank FROM alike)"""
+
+
+def _greedy(k: int, diversity: float) -> str:
+    """CTEs that take one term after the other: similar to the centre, unlike those taken."""
+    steps = ["chosen1 AS (SELECT lang, term, v, 1 AS step FROM near QUALIFY row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, rank) = 1)"]
+    for i in range(2, k + 1):
+        steps.append(f"""open{i} AS (
+            SELECT n.lang, n.term, any_value(n.v) AS v, any_value(rank) AS rank,
+                   {1 - diversity} * any_value(similarity) - {diversity} * max(coalesce(list_cosine_similarity(n.v, c.v), 0)) AS score
+            FROM near n JOIN chosen{i - 1} c ON n.lang = c.lang GROUP BY n.lang, n.term HAVING count(*) FILTER (c.term = n.term) = 0),
+        chosen{i} AS (
+            SELECT * FROM chosen{i - 1} UNION ALL
+            SELECT lang, term, v, {i} FROM (
+                SELECT * FROM open{i} QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, rank) = 1))""")
+    return ",\n        ".join(steps)
+
+
 ORACLE = {
     "topic_members": f"""
         WITH {_POINTS}
@@ -319,18 +347,10 @@ ORACLE = {
         WITH w AS (SELECT conv_id, turn, {_tokens("text")} AS w FROM conversations),
         counts AS (SELECT conv_id, turn, {_hashed("w", 32)} AS c FROM w)
         SELECT conv_id, turn, unnest(range(0, 32)) AS place, round(CAST(unnest({_unit("c")}) AS DOUBLE), 5) AS x FROM counts""",
-    "similar_keywords": f"""
-        WITH {_GRAMS},
-        vectors AS (SELECT lang, {_unit("c")} AS v FROM (SELECT lang, {_hashed("w", 64)} AS c FROM words)),
-        center AS (
-            SELECT lang, list(x ORDER BY i) AS m FROM (
-                SELECT lang, i, avg(x) AS x FROM (
-                    SELECT lang, CAST(unnest(v) AS DOUBLE) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY lang, i) GROUP BY lang),
-        near AS (
-            SELECT r.lang, term, coalesce(list_cosine_similarity([CAST(x AS DOUBLE) for x in {_unit("c")}], m), 0) AS similarity
-            FROM (SELECT lang, term, {_hashed("string_split(term, ' ')", 64)} AS c FROM ranked WHERE rank <= 30) r JOIN center USING (lang))
-        SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, term) AS rank, round(similarity, 6) AS similarity
-        FROM near""",
+    "similar_keywords": f"WITH {_NEAR} SELECT lang, term, rank, round(similarity, 6) AS similarity FROM near",
+    "diverse_keywords": f"""
+        WITH {_NEAR}, {_greedy(10, 0.3)}
+        SELECT lang, string_agg(term, '|' ORDER BY step) AS terms FROM chosen10 GROUP BY lang""",
     "theme_groups": f"WITH {_THEMES} SELECT theme, n_topics, n_firms, round(dominance, 6) AS dominance FROM groups",
     "theme_validation": f"WITH {_THEMES} SELECT theme, n_topics, n_firms, round(dominance, 6) AS dominance FROM valid",
     "theme_ids": f"""
