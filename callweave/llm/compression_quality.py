@@ -2,15 +2,16 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled text. A whole text is cut into segments, every
 segment is compressed with either dictionary, and the difference of the summed sizes over the text's bytes says which
-dictionary knows the text better. A logistic curve turns the difference into the chance of the good label; it allows for a
-share of wrong labels, which would flatten it otherwise.
+dictionary knows the text better. A logistic curve turns the difference into the chance of the good label. A few bytes say
+little, so the difference counts by a weight that grows with the text's length, and the curve goes to the share of good texts
+among the shortest. It allows for a share of wrong labels, which would flatten it otherwise.
 
 Fitting is bounded: at most `per_label` labelled documents of each label (those with the least hash of their identifier), at most
 `segments` evenly spaced segments of each for the dictionaries. The curve must not see texts that the dictionaries have
 learned, so the sample is halved by a hash, each half is measured with dictionaries of the other half, and the final
 dictionaries come from both. The curve is shifted from the sample's share of good texts to that of all labels given. With too few segments for zstandard's training the segments themselves are the dictionary.
 
-Null and empty texts have the difference 0, hence the score of the curve there. With no labels of one kind every score is
+Null and empty texts have the weight 0, hence the curve's constant. With no labels of one kind every score is
 the share of good labels (0.5 if there are none at all). Documents labelled more than once count once per label; null labels
 do not count. Rows that repeat are scored alike; further columns pass through `score`, which replaces a clashing output column.
 """
@@ -36,6 +37,7 @@ LEVEL = 3
 DICTIONARY = 60_000
 PER_LABEL = 1500
 SEGMENTS = 8
+LENGTH = 200.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
 
@@ -52,8 +54,7 @@ class Dictionaries:
 @dataclass(frozen=True)
 class Model:
     dictionaries: Dictionaries
-    slope: float
-    intercept: float
+    weights: tuple[float, float, float]  # of the weighed difference, of the weight, constant
     noise: float
 
 
@@ -117,6 +118,12 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
     return labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").distinct()
 
 
+def weight(text: Column) -> Column:
+    """0 for no text towards 1 for a long one: how far its difference can be relied on."""
+    size = F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("double")
+    return size / (size + LENGTH)
+
+
 def sample(docs: DataFrame, known: DataFrame, per_label: int) -> DataFrame:
     """(text, label, half) of the sampled documents; only identifiers are ranked."""
     chosen = first_by_hash(known, "label", "doc_id", per_label).select("doc_id", "label", (F.col("place") % 2).alias("half"))
@@ -146,33 +153,33 @@ def _trained(frame: pd.DataFrame) -> Dictionaries:
     return Dictionaries(good, bad, uuid.uuid4().hex)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a one-variable logistic regression with a slight ridge, by Newton steps."""
-    spread_ = float(x.std()) or 1.0
-    design = np.column_stack([x / spread_, np.ones_like(x)])
-    weights = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression on the columns of `x` and a constant (last), with a slight ridge, by Newton steps."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    design = np.column_stack([x / scale, np.ones(len(x))])
+    weights = np.zeros(design.shape[1])
     for _ in range(rounds):
         chance = 1 / (1 + np.exp(-np.clip(design @ weights, -35, 35)))
         slope = design.T @ (chance - y) + ridge * weights
-        curve = (design * (chance * (1 - chance))[:, None]).T @ design + ridge * np.eye(2)
+        curve = (design * (chance * (1 - chance))[:, None]).T @ design + ridge * np.eye(len(weights))
         step = np.linalg.solve(curve, slope)
         weights = weights - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(weights[0] / spread_), float(weights[1])
+    return weights / np.append(scale, 1.0)
 
 
-def noisy_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float, float]:
-    """Slope, intercept and share of wrong labels; each round fits the curve to the labels believed so far."""
+def noisy_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and the share of wrong labels; each round fits the curve to the labels believed so far."""
     noise = 0.01
-    slope, intercept = logistic(x, y)
+    weights = logistic(x, y)
     for _ in range(rounds):
-        chance = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -35, 35)))
+        chance = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -35, 35)))
         for_one, for_zero = chance * np.where(y == 1, 1 - noise, noise), (1 - chance) * np.where(y == 1, noise, 1 - noise)
         believed = for_one / (for_one + for_zero)
         noise = float(np.clip(np.abs(believed - y).mean(), 1e-4, 0.2))
-        slope, intercept = logistic(x, believed)
-    return slope, intercept, noise
+        weights = logistic(x, believed)
+    return weights, noise
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, segments: int = SEGMENTS) -> Model:
@@ -186,21 +193,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
         F.when(F.col("half") == 0, differences(F.col("text"), halves[0]))
         .otherwise(differences(F.col("text"), halves[1]))
         .alias("difference"),
-    ).toPandas()  # two numbers for each sampled document
+        weight(F.col("text")).alias("weight"),
+    ).toPandas()  # three numbers for each sampled document
     good = int((measured["label"] == 1).sum())
     if good in (0, len(measured)):
         share = np.clip(good / len(measured) if len(measured) else 0.5, 1e-3, 1 - 1e-3)
-        return Model(_trained(frame), 0.0, float(np.log(share / (1 - share))), 0.0)
-    slope, intercept, noise = noisy_logistic(measured["difference"].to_numpy(), measured["label"].to_numpy(float))
-    # the sample has other shares than the labels; the intercept carries the difference
+        return Model(_trained(frame), (0.0, 0.0, float(np.log(share / (1 - share)))), 0.0)
+    features = np.column_stack([measured["difference"] * measured["weight"], measured["weight"]])
+    weights, noise = noisy_logistic(features, measured["label"].to_numpy(float))
+    # the sample has other shares than the labels; the constant carries the difference
     share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
     shift = np.log(share / (1 - share)) - np.log(good / (len(measured) - good))
-    return Model(_trained(frame), slope, intercept + float(shift), noise)
+    return Model(_trained(frame), (float(weights[0]), float(weights[1]), float(weights[2] + shift)), noise)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the chance, 0 to 1, that a text is good."""
-    raised = F.lit(model.intercept) + F.lit(model.slope) * differences(F.col(text), model.dictionaries)
+    by_difference, by_weight, constant = model.weights
+    raised = weight(F.col(text)) * (F.lit(by_difference) * differences(F.col(text), model.dictionaries) + F.lit(by_weight)) + F.lit(constant)
     return docs.withColumn(out, F.lit(model.noise) + F.lit(1 - 2 * model.noise) / (1 + F.exp(-raised)))
 
 
