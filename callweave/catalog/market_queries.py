@@ -160,6 +160,51 @@ def _statements(spark, folder):
     )
 
 
+def fundamentals_pull(spark, folder):
+    """Users as firms: daily totals as statements, joined to names, estimates and prices as the covariate pull joins them."""
+    day = F.to_date("ts")
+    days = inputs.table(spark, folder, "events").groupBy("user_id", day.alias("day")).agg(
+        F.sum("value").alias("v"), F.count(F.lit(1)).cast("double").alias("n"), F.max("value").alias("top")
+    )
+    firm, even = F.col("user_id").cast("string"), F.dayofmonth("day") % 2 == 0
+    formats = {"datafmt": F.when(F.col("n") > 3, "SUM").otherwise("STD"), "consol": F.lit("C"), "indfmt": F.lit("INDL")}
+    statements = days.select(
+        firm.alias("gvkey"), F.col("day").alias("datadate"), *[c.alias(k) for k, c in formats.items()], "v", "n", "top", even.alias("even"),
+    )
+    fundq = statements.select(
+        "gvkey", "datadate", *formats, F.lit(2024).alias("fyearq"), F.lit(1).alias("fqtr"), F.lit(12).alias("fyr"),
+        F.concat(F.lit("U"), "gvkey").alias("tic"), *[(F.col("v") * (i + 1)).alias(c) for i, c in enumerate(covariates.QUARTERLY)],
+    )
+    funda = statements.select("gvkey", "datadate", *formats, F.when(F.col("even"), F.col("top")).alias("sale"), F.col("n").alias("emp"))
+    spans = days.groupBy("user_id").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    user = F.col("user_id")
+    links = spans.select(
+        firm.alias("gvkey"), user.alias("lpermno"), F.date_add("first", 2).alias("linkdt"), F.when(user % 4 != 0, F.date_sub("last", 3)).alias("linkenddt"),
+        F.when(user % 7 == 0, "NU").otherwise("LU").alias("linktype"), F.lit("P").alias("linkprim"),
+    )
+    names = spans.select(
+        user.alias("permno"), F.concat(F.lit("T"), firm).alias("ticker"), F.concat(F.lit("Firm "), firm).alias("comnam"),
+        F.date_add("first", 4).alias("namedt"), F.lit(None).cast("date").alias("nameendt"),
+    )
+    ibes = spans.filter(user.isNotNull()).select(
+        user.alias("permno"), F.concat(F.lit("I"), firm).alias("ticker"), F.col("first").alias("sdate"), F.date_sub("last", F.when(user % 2 == 0, 6).otherwise(0)).alias("edate"),
+    )
+    estimates = days.select(
+        F.concat(F.lit("I"), firm).alias("ticker"), F.col("day").alias("fpedats"), F.explode(F.array(F.lit(9), F.lit(4))).alias("back"), "v", "n",
+    ).select(
+        "ticker", "fpedats", F.date_sub("fpedats", F.col("back")).alias("statpers"), F.lit(1).alias("numest"), (F.col("v") * F.col("back")).alias("meanest"),
+        F.col("v").alias("medest"), F.col("n").alias("actual"), F.lit("EPS").alias("measure"), F.when(F.col("n") > 2, "ANN").otherwise("QTR").alias("fiscalp"),
+    )
+    prices = days.filter(user.isNotNull()).select(
+        user.alias("permno"), F.lit("c").alias("cusip"), F.date_sub("day", F.when(even, 2).otherwise(1)).alias("date"), (-F.col("v")).alias("prc"),
+        (F.col("n") / 100).alias("ret"), F.col("top").alias("shrout"),
+    ).groupBy("permno", "cusip", "date").agg(*[F.min(c).alias(c) for c in ("prc", "ret", "shrout")])
+    events = spans.filter(user % 3 != 0).select(user.alias("permno"))
+    pulled = covariates.fundamentals(events, fundq, funda, links, names, ibes, estimates, prices)
+    keys = ["permno", "datadate", "ticker", "comnam", "tic", "date"]
+    return _rounded(pulled, keys, ["eps_q", "research_and_development_expense_q", "sale", "employees", "meanest", "medest", "actual"], 4)
+
+
 RATIOS = [
     "Return_on_Assets", "Book_Leverage", "Capital_Expenditures", "Research_and_Development", "Sales_Growth", "Firm_Size", "Cash",
     "Asset_Tangibility", "Market_to_Book", "Earnings_Surprise", "Delta_Employee_Change",
@@ -270,7 +315,7 @@ def sentiment_medians(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        event_study_madj, event_study_market, event_study_delisted, event_study_ff3, event_study_ff4, trading_windows, event_stats, event_date_final,
+        event_study_madj, fundamentals_pull, event_study_market, event_study_delisted, event_study_ff3, event_study_ff4, trading_windows, event_stats, event_date_final,
         event_window_rows, rejected_events, sentiment_events, sentiment_distribution, sentiment_firm_details,
         sentiment_by_quality, lexicon_sentiment, studied_once, theme_study_results, rolling_features, covariate_ratios,
         event_covariates, theme_regression, full_theme_regression, significance_summary, significance_totals,
@@ -567,6 +612,23 @@ ORACLE = {
         FROM daily),
     evs AS (""")
     + " SELECT permno, edate, rdate, CAST(rel AS INTEGER) AS evttime, round(ret, 9) AS ret, round(abret, 9) AS abret FROM w",
+    "fundamentals_pull": """
+        WITH days AS (
+            SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS v, CAST(count(*) AS DOUBLE) AS n, max(value) AS top FROM events GROUP BY 1, 2),
+        spans AS (SELECT user_id, min(day) AS first, max(day) AS last FROM days GROUP BY 1),
+        pulled AS (
+            SELECT d.user_id AS permno, day AS datadate, 'T' || d.user_id AS ticker, 'Firm ' || d.user_id AS comnam, 'U' || d.user_id AS tic,
+                   v AS eps_q, v * 10 AS research_and_development_expense_q, CASE WHEN day(day) % 2 = 0 THEN top END AS sale, n AS employees,
+                   CASE WHEN tracked AND n <= 2 THEN v * 4 END AS meanest, CASE WHEN tracked AND n <= 2 THEN v END AS medest,
+                   CASE WHEN tracked AND n <= 2 THEN n END AS actual
+            FROM (SELECT *, day BETWEEN first AND last - CASE WHEN user_id % 2 = 0 THEN 6 ELSE 0 END AS tracked FROM days JOIN spans USING (user_id)) d
+            WHERE n <= 3 AND user_id % 3 <> 0 AND user_id % 7 <> 0 AND day >= first + 4 AND (user_id % 4 = 0 OR day <= last - 3)),
+        prices AS (SELECT DISTINCT user_id AS permno, day - CASE WHEN day(day) % 2 = 0 THEN 2 ELSE 1 END AS date FROM days)
+        SELECT p.permno, datadate, ticker, comnam, tic,
+               (SELECT max(date) FROM prices x WHERE x.permno = p.permno AND x.date <= p.datadate AND x.date >= p.datadate - 31) AS date,
+               round(eps_q, 4) AS eps_q, round(research_and_development_expense_q, 4) AS research_and_development_expense_q, round(sale, 4) AS sale,
+               round(employees, 4) AS employees, round(meanest, 4) AS meanest, round(medest, 4) AS medest, round(actual, 4) AS actual
+        FROM pulled p""",
     "sentiment_slopes": f"""{_THEMED}
         SELECT permno, count(*) AS n_obs, round(regr_slope(car, sentiment), 5) AS slope, round(regr_intercept(car, sentiment), 5) AS alpha,
                round(sqrt((regr_syy(car, sentiment) - regr_slope(car, sentiment) * regr_sxy(car, sentiment)) / (count(*) - 2)

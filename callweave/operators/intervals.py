@@ -43,8 +43,9 @@ def interval_join(
     else:
         def axis(c: Column) -> Column:
             return c.cast("long")
-        lo = F.lit(floor if floor is not None else -(2**40))
-        hi = F.lit(ceiling if ceiling is not None else 2**40)
+        if floor is None or ceiling is None:
+            raise ValueError("an integer axis needs floor and ceiling, which bound the cells of an open span")
+        lo, hi = F.lit(floor), F.lit(ceiling)
         open_end = F.lit(2**62)
     end = F.coalesce(F.col(high), open_end)
     listed = (
