@@ -36,7 +36,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from callweave.llm.shared import alone, kept_by, sha256_hex, small_batches, spread, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 BATCH_BYTES = 4 << 20
 
 

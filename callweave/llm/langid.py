@@ -41,7 +41,7 @@ DOCS_PER_LANGUAGE = 300
 ROUNDS = 4
 SMOOTHING = 0.1
 LONGEST_TRAINED = 48
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 CHARACTERS_AT_ONCE = 1_000_000
 RESCALE_EVERY = 16
 WORDS_AT_ONCE = 20_000
