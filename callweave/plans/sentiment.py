@@ -115,9 +115,11 @@ def accepted(events: DataFrame) -> DataFrame:
 
 
 def with_themes(events: DataFrame) -> DataFrame:
-    """Events without theme columns form the single theme `all`."""
+    """Events without theme columns form the single theme `all`; a theme goes by its id and carries the first of its names."""
     if {"theme_id", "theme_name"} <= set(events.columns):
-        return events
+        names = events.groupBy(F.col("theme_id").alias("_id")).agg(F.min("theme_name").alias("_name"))
+        named = events.join(names, F.col("theme_id").eqNullSafe(F.col("_id")))
+        return named.withColumn("theme_name", F.col("_name")).select(*events.columns)
     return events.drop("theme_id", "theme_name").withColumns(
         {"theme_id": F.lit("all"), "theme_name": F.lit("all_themes")}
     )

@@ -390,3 +390,9 @@ def test_settings_from_the_environment(monkeypatch, tmp_path):
     config = documents.Config.load(str(tmp_path / "c.json"), max_dominance=0.5)
     assert (config.store, config.min_firms, config.max_dominance) == ("7", 5, 0.5)
     assert config.firm_model["hdbscan"]["min_cluster_size"] == 9
+
+
+def test_a_theme_goes_by_its_id(spark):
+    events = spark.createDataFrame([("t", "Beta", 1), ("t", "Alpha", 2), (None, "x", 3)], "theme_id string, theme_name string, permno long")
+    got = {r.permno: (r.theme_id, r.theme_name) for r in sentiment.with_themes(events).collect()}
+    assert got == {1: ("t", "Alpha"), 2: ("t", "Alpha"), 3: (None, "x")}
