@@ -66,13 +66,13 @@ def alone(owner: str) -> None:
             forget()
 
 
-SALTS = 64
+SALTS = 16
 
 
 def first_by_hash(df: DataFrame, group: str, doc_id: str, k: int) -> DataFrame:
     """The `k` rows of least identifier hash of each group, with their `place` from 1.
 
-    A group is cut by salt first, so what one task ranks in the end is at most 64 times `k` rows of a group of any size.
+    A group is cut by salt first, so what one task ranks in the end is at most 16 times `k` rows of a group of any size.
     """
     order = [F.xxhash64(F.col(doc_id).cast("string")), F.col(doc_id)]
     salted = df.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(doc_id).cast("string")), F.lit(SALTS)))
