@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import byte_bpe, exact_dedup, langid, mixing, simhash
+from callweave.llm import byte_bpe, exact_dedup, langid, mixing, shingle_dedup
 from callweave.llm.shared import free_name, spread, table
 from callweave.session import materialize
 
@@ -35,8 +35,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash fingerprints."""
-    return simhash.deduplicate(docs)
+    """One document of each group linked by SimHash fingerprints or by five-word shingles in common, at 0.8 or more of all."""
+    return shingle_dedup.deduplicate(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
