@@ -12,11 +12,14 @@ from callweave.llm import (
     exact_dedup,
     langid,
     licences,
+    line_dedup,
     mixing,
     page_diff,
     simhash,
     snapshot_chat,
+    spelling,
     voronoi_knn,
+    word_runs,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_word_runs": word_runs.op13_word_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -38,4 +44,5 @@ ORACLE: dict[str, str] = {
     "op7_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_licence_scan": licences.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
 }
