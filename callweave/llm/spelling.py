@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from callweave.llm.shared import alone, spread, table
 from callweave.session import materialize
 
-GROUPS = 11
+GROUPS = 16
 LEAST_CHARS = 7
 LEAST_COUNT = 2
 RATIO = 10
@@ -174,9 +174,23 @@ def _product(starts: np.ndarray, sizes: np.ndarray, row: np.ndarray, leaf: np.nd
         yield row[which], starts[leaf[which]] + at - (ends[which] - n[which])
 
 
+class Letters:
+    """Words as one matrix of letters per length."""
+
+    def __init__(self, words: list[bytes]):
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        self.row = np.zeros(len(words), np.int64)
+        self.matrix: dict[int, np.ndarray] = {}
+        for length in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == length)
+            self.row[at] = np.arange(len(at))
+            self.matrix[length] = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(len(at), length)
+
+
 def near_pairs(held: list[bytes], asking: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (asking, held in the trie's order) of the near pairs that `asking` has to find."""
     trie = Trie(held)
+    mine, theirs = Letters(asking), Letters(trie.words)
     sizes = np.diff(trie.starts)
     asked, of = np.unique(vectors(asking), axis=0, return_inverse=True)
     order = np.argsort(of.ravel(), kind="stable")
@@ -187,22 +201,22 @@ def near_pairs(held: list[bytes], asking: list[bytes]) -> Iterator[tuple[np.ndar
         for leaf_at, position in _product(firsts, counts, np.arange(len(row)), row):
             word = order[position]
             for at, other in _product(trie.starts, sizes, np.arange(len(word)), leaf[leaf_at]):
-                yield from _verified(trie.words, asking, word[at], other, equal)
-
-
-def _verified(held: list[bytes], asking: list[bytes], a: np.ndarray, b: np.ndarray, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    lengths = np.fromiter((len(asking[i]) for i in a), np.int64, len(a))
-    longer = np.fromiter((len(held[i]) for i in b), np.int64, len(b))
-    for length in np.unique(lengths):
-        mine = np.flatnonzero(lengths == length)
-        other = int(longer[mine[0]])
-        for part in np.array_split(mine, 1 + len(mine) * other // (1 << 22)):
-            x = np.frombuffer(b"".join([asking[i] for i in a[part]]), np.uint8).reshape(-1, length)
-            y = np.frombuffer(b"".join([held[i] for i in b[part]]), np.uint8).reshape(-1, other)
-            hit = part[near(x, y)]
-            if ordered:
-                hit = hit[[asking[i] < held[j] for i, j in zip(a[hit], b[hit], strict=True)]] if len(hit) else hit
-            yield a[hit], b[hit]
+                yield from _verified(mine, theirs, word[at], other, equal)
+
+
+def _verified(mine: Letters, theirs: Letters, a: np.ndarray, b: np.ndarray, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near ones of the pairs; with `ordered`, those whose first word is the smaller one."""
+    lengths, more = mine.length[a], theirs.length[b[0]] - mine.length[a[0]]
+    for length in np.unique(lengths).tolist():
+        same = np.flatnonzero(lengths == length) if (lengths != length).any() else np.arange(len(a))
+        for part in np.array_split(same, 1 + len(same) * length // (1 << 22)):
+            x, y = mine.matrix[length][mine.row[a[part]]], theirs.matrix[length + more][theirs.row[b[part]]]
+            hit = np.flatnonzero(near(x, y))
+            if ordered and len(hit):
+                differ = x[hit] != y[hit]
+                place = np.arange(len(hit)), differ.argmax(axis=1)
+                hit = hit[x[hit][place] < y[hit][place]]
+            yield a[part[hit]], b[part[hit]]
 
 
 class Directory:

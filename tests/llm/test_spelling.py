@@ -74,9 +74,9 @@ def test_query_matches_brute_force(spark, tmp_path):
     assert {tuple(r) for r in got.select("word", "form", "root", "n", "n_near", "form_n").collect()} == want
 
 
-@pytest.mark.parametrize(("alphabet", "length", "block"), [("ab", 9, 7), ("abcdefghijklmnop", 7, 25), ("lw", 8, 300), ("aàb\xff", 7, 40)])
+@pytest.mark.parametrize(("alphabet", "length", "block"), [("ab", 9, 7), ("abcdefghijklmnop", 7, 25), ("aq", 8, 300), ("aàb\xff", 7, 40)])
 def test_small_blocks_lose_no_pair(spark, alphabet, length, block):
-    """Subtrees of all depths, leaves in blocks and words in chunks; letters of one group (l, w) leave the vectors equal."""
+    """Subtrees of all depths, leaves in blocks and words in chunks; letters of one group (a, q) leave the vectors equal."""
     rnd = random.Random(block)
     words = sorted({"".join(rnd.choices(alphabet, k=length + rnd.randrange(3))) for _ in range(220)})
     frame = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, n long")
