@@ -274,7 +274,7 @@ def deduplicate(
 
 def op11_line_dedup(spark, folder: str) -> DataFrame:
     """Every document's lines before, lines dropped and digest of what stays."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     marked = _with_bitmaps(docs, "doc_id", "text", keep_bitmaps(docs), "keep")
     schema = StructType([docs.schema["doc_id"], StructField("n_lines", LongType()), StructField("n_dropped", LongType())]).add("kept_sha256", "string")
 
@@ -291,7 +291,7 @@ def op11_line_dedup(spark, folder: str) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return spread(marked).select("doc_id", F.col("text").cast("binary").alias("text"), "keep").mapInArrow(told, schema)
+    return marked.select("doc_id", F.col("text").cast("binary").alias("text"), "keep").mapInArrow(told, schema)
 
 
 ORACLE = r"""
