@@ -257,11 +257,12 @@ def significance_totals(spark, folder):
 
 
 def sentiment_slopes(spark, folder):
-    """One-variable fits by firm, with standard error and t-value."""
+    """One-variable fits by firm, with standard error; null for firms of three events or fewer, or of one sentiment."""
     rows = sentiment.theme_results(_study(spark, folder, "madj").event_date, _events(spark, folder))
-    fits = regression.fit_groups(rows, ["permno"], "car", ["sentiment"]).filter((F.col("rank") == 1) & (F.col("n_obs") > 3))
+    fits = regression.fit_groups(rows, ["permno"], "car", ["sentiment"])
+    shown = lambda c: F.when((F.col("rank") == 1) & (F.col("n_obs") > 3), c)
     return _rounded(
-        fits.select("permno", "n_obs", F.col("coef")[1].alias("slope"), F.col("coef")[0].alias("alpha"), F.col("se")[1].alias("se")),
+        fits.select("permno", "n_obs", *[shown(F.col(c)[i]).alias(n) for c, i, n in (("coef", 1, "slope"), ("coef", 0, "alpha"), ("se", 1, "se"))]),
         ["permno", "n_obs"], ["slope", "alpha", "se"], 5,
     )
 
@@ -292,10 +293,11 @@ def portfolio_spread(spark, folder):
 
 
 def day_zero_fill(spark, folder):
-    """Daily theme returns by event type, day 0 inserted where a series starts later."""
+    """Daily theme returns by event type, day 0 inserted where a series starts later, as the negative ones do."""
     first = F.lit("2024-01-01").cast("date")
-    rows = inputs.labelled(spark, folder).withColumn("days_from_event", F.datediff(F.to_date("earnings_call_date"), first).cast("long"))
-    daily = rows.filter((F.col("label") != "negative") | (F.col("days_from_event") > 3)).groupBy(
+    later = F.when(F.col("label") == "negative", 4).otherwise(0)
+    day = (F.datediff(F.to_date("earnings_call_date"), first) + later).cast("long")
+    daily = inputs.labelled(spark, folder).withColumn("days_from_event", day).groupBy(
         "theme_id", "theme_name", F.col("label").alias("bucket"), "days_from_event"
     ).agg((F.avg("score") / 10).alias("vw_return"))
     done = portfolio.compound(portfolio.with_day_zero(daily))
@@ -629,11 +631,15 @@ ORACLE = {
                round(eps_q, 4) AS eps_q, round(research_and_development_expense_q, 4) AS research_and_development_expense_q, round(sale, 4) AS sale,
                round(employees, 4) AS employees, round(meanest, 4) AS meanest, round(medest, 4) AS medest, round(actual, 4) AS actual
         FROM pulled p""",
-    "sentiment_slopes": f"""{_THEMED}
-        SELECT permno, count(*) AS n_obs, round(regr_slope(car, sentiment), 5) AS slope, round(regr_intercept(car, sentiment), 5) AS alpha,
-               round(sqrt((regr_syy(car, sentiment) - regr_slope(car, sentiment) * regr_sxy(car, sentiment)) / (count(*) - 2)
-                     / regr_sxx(car, sentiment)), 5) AS se
-        FROM themed GROUP BY 1 HAVING count(*) > 3 AND var_samp(sentiment) > 0""",
+    "sentiment_slopes": f"""{_THEMED},
+        fits AS (
+            SELECT permno, count(*) AS n_obs, count(*) > 3 AND var_samp(sentiment) > 0 AS good, regr_slope(car, sentiment) AS slope,
+                   regr_intercept(car, sentiment) AS alpha, regr_syy(car, sentiment) AS yy, regr_sxy(car, sentiment) AS xy,
+                   regr_sxx(car, sentiment) AS xx
+            FROM themed GROUP BY 1)
+        SELECT permno, n_obs, CASE WHEN good THEN round(slope, 5) END AS slope, CASE WHEN good THEN round(alpha, 5) END AS alpha,
+               CASE WHEN good THEN round(sqrt((yy - slope * xy) / (n_obs - 2) / xx), 5) END AS se
+        FROM fits""",
     "portfolio_value": f"{_portfolio_sql('value')} SELECT theme_id, theme_name, bucket, days_from_event, {_SHOWN} FROM folio",
     "portfolio_equal": f"{_portfolio_sql('equal')} SELECT theme_id, theme_name, bucket, days_from_event, {_SHOWN} FROM folio",
     "portfolio_combined": f"""{_portfolio_sql("value")}
@@ -648,10 +654,10 @@ ORACLE = {
         FROM hi LEFT JOIN folio l ON l.theme_id = hi.theme_id AND l.bucket = 'Low' AND l.days_from_event = last_day""",
     "day_zero_fill": f"""
         WITH {sql("labelled")},
-        d AS (SELECT *, date_diff('day', DATE '2024-01-01', edate) AS n FROM labelled),
+        d AS (
+            SELECT *, date_diff('day', DATE '2024-01-01', edate) + CASE WHEN label = 'negative' THEN 4 ELSE 0 END AS n FROM labelled),
         means AS (
-            SELECT theme_id, theme_name, label AS bucket, n, avg(score) / 10 AS r FROM d
-            WHERE label <> 'negative' OR n > 3 GROUP BY 1, 2, 3, 4),
+            SELECT theme_id, theme_name, label AS bucket, n, avg(score) / 10 AS r FROM d GROUP BY 1, 2, 3, 4),
         filled AS (
             SELECT * FROM means UNION ALL
             SELECT DISTINCT theme_id, theme_name, bucket, 0, 0 FROM means m

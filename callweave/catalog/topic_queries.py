@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from callweave.catalog import density_sql, inputs
 from callweave.catalog.transcript_queries import STOPWORDS, _tokens
 from callweave.functions import text, vectors
-from callweave.operators import density, neighbors, scan
-from callweave.plans import store, themes, topics
+from callweave.operators import density, hierarchy, neighbors, scan, spectral, vector_index
+from callweave.plans import store, themes, topics, upstream
+from callweave.session import drop_at_exit, scratch_dir
 
 
 LETTERS = "héüó"
@@ -83,6 +86,29 @@ def neighbors_per_topic(spark, folder):
     return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+def _index(spark, folder):
+    """Index over all vectors; it goes when the application ends."""
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    vector_index.build(inputs.table(spark, folder, "embeddings"), path, "vec_id")
+    return path
+
+
+def approximate_neighbors(spark, folder):
+    """The ten vectors nearest to every fiftieth one, from the index with its usual probes."""
+    asked = inputs.table(spark, folder, "embeddings").filter("vec_id % 50 = 0")
+    found = vector_index.search(asked, _index(spark, folder), 10, "vec_id")
+    return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+def index_neighbors(spark, folder):
+    """The five vectors nearest to each topic centroid, from the index with all lists probed, which is exact."""
+    centers = topics.centroids(_points(spark, folder), []).withColumnRenamed("centroid", "embedding")
+    rows = inputs.table(spark, folder, "embeddings").count()
+    found = vector_index.search(centers, _index(spark, folder), 5, "topic_id", probes=vector_index.MOST_LISTS, rerank=rows)
+    return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def _words(spark, folder):
     return inputs.texts(spark, folder, "documents").select("lang", text.content_tokens(F.col("text"), STOPWORDS).alias("words"))
 
@@ -154,6 +180,28 @@ def density_themes(spark, folder):
     return density.density_clusters(points, [], "doc_id", "shares", 4, min_cluster_size=20, min_samples=6, selection="eom")
 
 
+def tree_clusters(spark, folder):
+    """Clusters of all vectors of each of eleven firms in all 64 dimensions, most mass."""
+    found = hierarchy.tree_clusters(_points(spark, folder), ["firm_id"], "vec_id", "embedding", 5, 2, "eom")
+    return found.select("firm_id", "vec_id", "cluster")
+
+
+def spectral_layout(spark, folder):
+    """Two coordinates of every vector inside its firm."""
+    found = spectral.layout(_points(spark, folder), ["firm_id"], "vec_id", "embedding", 2)
+    return found.select("firm_id", "vec_id", F.round(F.col("reduced")[0], 4).alias("x"), F.round(F.col("reduced")[1], 4).alias("y"))
+
+
+def topic_model(spark, folder):
+    """Topics of all turns, the roles as firms: embedded, laid out, clustered, reassigned and described."""
+    turns = inputs.texts(spark, folder, "conversations").select(
+        F.col("role").alias("firm_id"), F.concat_ws(":", "conv_id", "turn").alias("sentence_id"), F.col("text").alias("raw_text"),
+        F.array_join(text.content_tokens(F.col("text"), STOPWORDS), " ").alias("cleaned_text"), F.col("turn").alias("position"),
+    )
+    _, described = upstream.model_topics(turns)
+    return described.select("firm_id", "topic_id", "size", "representation", F.array_join("keywords", "|").alias("keywords"))
+
+
 def _assigned(spark, folder):
     """Orders as topics: customers as themes, priorities as firms."""
     return inputs.table(spark, folder, "orders").select(
@@ -194,21 +242,21 @@ def topic_documents(spark, folder):
 
 
 def theme_heatmap(spark, folder):
-    """Vectors per firm and topic, absent cells 0."""
-    rows = _points(spark, folder).filter("topic_id >= 0").withColumn("one", F.lit(1).cast("long"))
-    from callweave.operators import relational
-
-    names = [str(i) for i in range(9)]
-    wide = relational.pivot_sum(rows, "firm_id", "topic_id", list(range(9)), "one")
-    return wide.select("firm_id", *[F.col(n).alias(f"topic_{n}") for n in names])
+    """Vectors per firm and topic, absent cells 0; the topics are those that the data have."""
+    points = _points(spark, folder)
+    counts = points.groupBy("firm_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.collect_set("topic_id")).scalar()
+    cells = points.select("firm_id").distinct().select("firm_id", F.explode(found).alias("topic_id"))
+    return cells.join(counts, ["firm_id", "topic_id"], "left").select("firm_id", "topic_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         topic_members, topics_per_firm_stats, topic_centroids, nearest_centroid, topic_distribution, similar_topics,
-        cosine_pairs, neighbors_per_topic, ctfidf_keywords, keyword_lists, topic_labels, similar_keywords,
-        diverse_keywords, hashed_embeddings, density_clusters, density_themes, theme_groups, theme_validation, theme_ids,
+        cosine_pairs, neighbors_per_topic, approximate_neighbors, index_neighbors, ctfidf_keywords, keyword_lists, topic_labels, similar_keywords,
+        diverse_keywords, hashed_embeddings, density_clusters, density_themes, tree_clusters,
+        spectral_layout, topic_model, theme_groups, theme_validation, theme_ids,
         theme_topics, topic_documents, theme_heatmap,
     )
 }
@@ -330,6 +378,12 @@ ORACLE = {
                    round(list_cosine_similarity(v, c), 6) AS similarity
             FROM points, centers c)
         WHERE rank <= 5""",
+    "index_neighbors": f"""
+        WITH {_POINTS}, {_centers("topic_id")}
+        SELECT CAST(c.topic_id AS BIGINT) AS query_id, vec_id AS item_id,
+               row_number() OVER (PARTITION BY c.topic_id ORDER BY list_cosine_similarity(v, c) DESC, vec_id) AS rank,
+               round(list_cosine_similarity(v, c), 6) AS similarity
+        FROM points, centers c QUALIFY rank <= 5""",
     "ctfidf_keywords": f"WITH {_GRAMS} SELECT lang, term, tf, rank, round(weight, 4) AS weight FROM ranked WHERE rank <= 10",
     "keyword_lists": f"WITH {_GRAMS} SELECT lang, string_agg(term, '|' ORDER BY rank) AS keywords FROM ranked WHERE rank <= 10 GROUP BY 1",
     "topic_labels": f"""
@@ -365,8 +419,9 @@ ORACLE = {
         SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN source END, CASE WHEN lang = 'fr' THEN '' ELSE lang END) AS document,
                CASE WHEN lang = 'fr' THEN '' ELSE lang END AS representation
         FROM documents WHERE lang <> 'fr'""",
-    "theme_heatmap": """
-        SELECT vec_id % 11 AS firm_id, """
-    + ", ".join(f"CAST(count(*) FILTER (label = {i + 1}) AS BIGINT) AS topic_{i}" for i in range(9))
-    + " FROM embeddings WHERE label >= 1 GROUP BY 1",
+    "theme_heatmap": f"""
+        WITH {_POINTS}
+        SELECT firm_id, topic_id, count(vec_id) AS n
+        FROM (SELECT DISTINCT firm_id FROM points) CROSS JOIN (SELECT DISTINCT topic_id FROM points)
+        LEFT JOIN points USING (firm_id, topic_id) GROUP BY 1, 2""",
 }

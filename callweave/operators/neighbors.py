@@ -1,11 +1,9 @@
-"""Exact nearest neighbours for many query vectors, and the approximate index."""
+"""Exact nearest neighbours for many query vectors."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +59,3 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query: str, item: str,
 
     found = tiled_q.groupBy("tq", "tx").cogroup(tiled_x.groupBy("tq", "tx")).applyInPandas(tile, schema)
     return scan.top_k(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
-
-
-def approximate_index(items: DataFrame, vector: str = "embedding", bucket: float = 0.5, tables: int = 8):
-    """Hash index over unit vectors; use `model.approxNearestNeighbors(indexed, key, k)`."""
-    unit = items.withColumn("unit", array_to_vector(vectors.unit(F.col(vector)))).filter(F.col("unit").isNotNull())
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42)
-    model = lsh.fit(unit)
-    return model, model.transform(unit)

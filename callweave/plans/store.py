@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from callweave import schemas
 from callweave.functions import text, vectors
-from callweave.operators import relational, scan
+from callweave.operators import relational, scan, stabbing
 
 
 def key(*parts: str | Column) -> Column:
@@ -268,28 +268,23 @@ def similar(rows: DataFrame, query: Column, k: int, item: str = "id", vector: st
     return scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), item).limit(k)
 
 
+def _valid_names(lookups: DataFrame, stocknames: DataFrame) -> DataFrame:
+    """Distinct (ticker, date) with the PERMNO and start of the valid name record that began last."""
+    asked = lookups.select(F.upper("ticker").alias("ticker"), "date")
+    names = stocknames.select(F.upper("ticker").alias("ticker"), "permno", "namedt", "nameendt")
+    return stabbing.latest_open(asked, names, "ticker", "date", "namedt", "nameendt", "permno")
+
+
 def upper_ticker_permno(lookups: DataFrame, stocknames: DataFrame) -> DataFrame:
     """PERMNO of each (ticker, date): the valid name record that began last, NULL when none."""
-    from callweave.operators.intervals import interval_join
-
-    asked = lookups.select(F.upper("ticker").alias("ticker"), "date").filter(
-        F.col("ticker").isNotNull() & F.col("date").isNotNull()
-    ).distinct()
-    names = stocknames.select(F.upper("ticker").alias("ticker"), "permno", "namedt", "nameendt")
-    valid = interval_join(asked, names, ["ticker"], "date", "namedt", "nameendt")
-    # the last one per task goes on, so a common ticker's names do not meet in one
-    best = scan.top_k(valid, ["ticker", "date"], [F.desc("namedt"), F.desc("permno")], 1).select("ticker", "date", "permno")
-    return asked.join(best, ["ticker", "date"], "left")
+    return _valid_names(lookups, stocknames).select("ticker", "date", "permno")
 
 
 def ticker_permno(lookups: DataFrame, stocknames: DataFrame) -> DataFrame:
     """One PERMNO per ticker: the newest name record valid on any of the ticker's dates."""
-    from callweave.operators.intervals import interval_join
-
-    asked = lookups.select(F.upper("ticker").alias("ticker"), "date").dropna().distinct()
-    names = stocknames.select(F.upper("ticker").alias("ticker"), "permno", "namedt", "nameendt")
-    valid = interval_join(asked, names, ["ticker"], "date", "namedt", "nameendt")
-    return scan.top_k(valid, ["ticker"], [F.desc("namedt"), F.desc("permno")], 1).select("ticker", "permno")
+    newest = F.max(F.struct("namedt", "permno")).alias("newest")
+    found = _valid_names(lookups, stocknames).filter(F.col("namedt").isNotNull())
+    return found.groupBy("ticker").agg(newest).select("ticker", F.col("newest.permno").alias("permno"))
 
 
 def backfilled_dates(firms: DataFrame, fundq: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callweave import schemas
 from callweave.functions import text
 from callweave.functions.fixed import CANDIDATE_TERMS
-from callweave.operators import density
+from callweave.operators import hierarchy, spectral
 from callweave.plans import sentences as sentence_plan
 from callweave.plans import summaries, themes, topics
 from callweave.plans.store import Store
@@ -31,8 +31,8 @@ def model_topics(
 ) -> tuple[DataFrame, DataFrame]:
     """Topic of every sentence, and the topics of every firm with keywords and label.
 
-    Stands in for UMAP and HDBSCAN with principal components and grid density; the settings of
-    cluster size, samples, selection, n-grams and diversity keep their meaning.
+    The reduction is a spectral layout of the neighbour graph, the clusters come from a condensed tree of mutual
+    reachability; the settings of cluster size, samples, selection, n-grams and diversity keep their meaning.
     """
     topics.check_backend((config or {}).get("model", "density"))
     settings = topics.merged_config(config)
@@ -40,11 +40,10 @@ def model_topics(
     embedded = sentences if "embedding" in sentences.columns else _embedded(sentences, "cleaned_text", encoder, size)
     embedded = materialize(embedded)
     dims = min(size, settings["umap"]["n_components"])
-    reduced = density.reduce_dimensions(embedded, "embedding", dims)
-    clusters = density.density_clusters(
-        reduced, ["firm_id"], "sentence_id", "reduced", dims, grid["min_cluster_size"], grid["min_samples"],
-        grid["cluster_selection_method"],
-    )
+    reduced = spectral.layout(embedded, ["firm_id"], "sentence_id", "embedding", dims)
+    clusters = hierarchy.tree_clusters(
+        reduced, ["firm_id"], "sentence_id", "reduced", grid["min_cluster_size"], grid["min_samples"], grid["cluster_selection_method"]
+    )
     raw = embedded.join(clusters.withColumnRenamed("cluster", "topic_id"), ["firm_id", "sentence_id"])
     placed = topics.nearest_topics(raw, ["firm_id"]).withColumn("topic_id", F.col("assigned_topic"))
     shared = topics.topic_shares(placed.drop("assigned_topic", "similarity"), ["firm_id"])
@@ -154,8 +153,8 @@ def process_themes(
     cleaned = docs.withColumn("words", text.content_tokens(F.col("document"), []))
     embedded = materialize(_embedded(cleaned.withColumn("_text", F.array_join("words", " ")), "_text", encoder, size))
     dims = min(size, settings["umap"]["n_components"])
-    clusters = density.density_clusters(
-        density.reduce_dimensions(embedded, "embedding", dims), [], "id", "reduced", dims,
+    clusters = hierarchy.tree_clusters(
+        spectral.layout(embedded, [], "id", "embedding", dims), [], "id", "reduced",
         grid["min_cluster_size"], grid["min_samples"], grid["cluster_selection_method"],
     )
     raw = embedded.join(clusters.withColumnRenamed("cluster", "theme"), "id")

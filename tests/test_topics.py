@@ -143,14 +143,6 @@ def test_equal_items_go_by_id(spark):
     assert [r.item_id for r in got] == list(range(8))
 
 
-def test_approximate_index(spark):
-    rng = np.random.default_rng(6)
-    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 8)))], "i long, embedding array<double>")
-    model, indexed = neighbors.approximate_index(items)
-    key = indexed.filter("i = 7").first().unit
-    assert model.approxNearestNeighbors(indexed, key, 3).orderBy("distCol").first().i == 7
-
-
 def test_members_and_outliers(spark):
     """Three topics of 3, 2 and 3 members by falling probability, two outliers."""
     topic = [0, 0, 0, 1, 1, 2, 2, 2, -1, -1]
