@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,27 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths of the intermediate tables written inside the block, for `drop_tables` when they have served."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete intermediate tables before the application ends; what reads them must have been written."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder once and read it back.
 
@@ -61,6 +84,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_exit(spark, path)
+    for made in _watching:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
