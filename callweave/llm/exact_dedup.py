@@ -70,17 +70,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
     """`docs` without the rows whose text, white space aside, a better row also has."""
     row = free_name(docs.columns, "row")
     placed = with_row_ids(docs, row)
-    kept = merge_runs(digests(placed, row, doc_id, text), runs, fan_in).select(F.col("keep_row").alias(row))
-    return placed.join(kept, row, "left_semi").select(*docs.columns)
+    entries = materialize(digests(placed, row, doc_id, text))
+    # the few rows that go are looked up, so that texts are not shuffled for those that stay
+    gone = materialize(_grouped(entries, merge_runs(entries, runs, fan_in), "row").filter(~F.col("kept")).select(F.col("row").alias(row)))
+    return placed.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def _stored(docs: DataFrame, row: str) -> DataFrame:
     return materialize(digests(docs.withColumn(row, F.monotonically_increasing_id()), row))
 
 
-def _grouped(entries: DataFrame, merged: DataFrame) -> DataFrame:
+def _grouped(entries: DataFrame, merged: DataFrame, *more: str) -> DataFrame:
     return entries.join(merged, KEY).select(
-        "doc_id", "keep_id", "group_size",
+        *more, "doc_id", "keep_id", "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

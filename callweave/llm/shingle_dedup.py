@@ -4,8 +4,15 @@ Two texts are linked if their fingerprints are (see `simhash`) or if their sets
 or more. Sets are held as 64-bit hashes. Candidates come from minima of 96 hash orders in 24 bands of four: a pair at 0.8 shares no band
 with probability (1 - 0.8^4)^24 = 3e-6, a closer one less. Every candidate is verified on the whole sets.
 
-A band's bucket is first compared with its least row. What that joins needs no further comparison, so only pairs of a bucket in
-different components, of sizes that allow the coefficient, are compared then: a group of near copies costs a row each, not one a pair.
+Texts with equal sets go in as one. A band's bucket is first compared with its least row. Where a bucket is left with several
+components, the rows outside its largest component are compared with all others of the bucket, so rows that are joined already never
+meet, and a group of near copies costs a row each, not one a pair.
+
+Before any text is read, a pair must pass what its sketches prove. A set's odd sketch has a bit for every residue of its hashes, set if an
+odd number of them fall on it; two sketches differ in no more bits than the sets have unlike members. At a coefficient j these
+are at most (1 - j) / (1 + j) of both sizes together, so a pair that differs in more bits cannot reach it: the test in the
+join condition drops pairs, never links. A sketch has as many bits as the set has members, rounded up to a power of two (64 at least),
+and a longer one is folded for a shorter one.
 
 Texts of fewer than five words are one shingle. Null, empty and wordless texts have none and are left to the fingerprints. Repeated
 rows fall in one group. Empty tables give empty results.
@@ -18,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm import simhash
@@ -72,18 +79,43 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Parity of the members on each residue, as longs."""
+    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def sketches(texts: DataFrame) -> DataFrame:
-    """node, number of distinct shingles and band keys of every text (columns node, text) with a word."""
+    """node, number of distinct shingles, hash of the set, band keys and odd sketch of every text (columns node, text) with a word."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             alone("shingles")
             sets = [shingles(t) for t in batch["text"]]
-            rows = [(n, len(s), band_keys(s)) for n, s in zip(batch["node"], sets, strict=True) if len(s)]
-            yield pd.DataFrame(rows, columns=["node", "size", "keys"])
+            rows = [
+                (n, len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s), odd_sketch(s))
+                for n, s in zip(batch["node"], sets, strict=True) if len(s)
+            ]
+            yield pd.DataFrame(rows, columns=["node", "size", "whole", "keys", "odd"])
 
     narrow = texts.select("node", F.col("text").cast("string").cast("binary").alias("text"))
-    return narrow.mapInPandas(sketched, "node long, size int, keys array<long>")
+    return narrow.mapInPandas(sketched, "node long, size int, whole binary, keys array<long>, odd array<long>")
+
+
+def _folded(longer: Column, shorter: Column) -> Column:
+    """A sketch at the length of one that has half or a quarter of its bits, or as it is."""
+    half = lambda v: F.zip_with(F.slice(v, 1, (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2 + 1).cast("int"), (F.size(v) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))  # noqa: E731, E501
+    return F.when(F.size(longer) <= F.size(shorter), longer).when(F.size(longer) == 2 * F.size(shorter), half(longer)).otherwise(half(half(longer)))
+
+
+def possible(least: float) -> Column:
+    """Whether sketches (size_a, odd_a, size_b, odd_b) leave room for the coefficient."""
+    both = F.col("size_a") + F.col("size_b")
+    fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
+    a, b = F.col("odd_a"), F.col("odd_b")
+    unlike = F.aggregate(F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return F.when(fits, unlike <= (1 - least) / (1 + least) * both + 1e-6).otherwise(F.lit(False))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -99,33 +131,53 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
                 kept.append(jaccard(own, shingles(y)) >= least)
             yield batch.loc[kept, ["a", "b"]]
 
-    sides = [texts.select(F.col("node").alias(s), F.col("text").cast("string").cast("binary").alias(f"text_{s}")) for s in "ab"]
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = materialize(texts.join(materialize(ends), "node", "left_semi"))
+    sides = [few.select(F.col("node").alias(s), F.col("text").cast("string").cast("binary").alias(f"text_{s}")) for s in "ab"]
     return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b").mapInPandas(compared, "a long, b long")
 
 
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns])
+
+
+def links(texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of texts (columns node, text) that reach the coefficient."""
+    if not 0.5 <= least <= 1:
+        raise ValueError("the bands find coefficients of one half and more, reliably from 0.8")
+    found = materialize(sketches(spread(texts)))
+    equal = found.groupBy("size", "whole").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
+    same = materialize(found.join(equal, ["size", "whole"]).filter("a < node").select("a", F.col("node").alias("b")))
+    alone_ = found.join(same.select(F.col("b").alias("node")), "node", "left_anti")
+    keyed = alone_.select("node", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
+    shared = materialize(keyed.join(met.select("key", "first"), "key"))
+    odd = materialize(found.select("node", "size", "odd").join(shared.select("node").distinct(), "node", "left_semi"))
+
+    first = shared.filter("first < node").select(F.col("first").alias("node_a"), F.col("node").alias("node_b")).distinct()
+    tried = materialize(first.join(_side(odd, "a"), "node_a").join(_side(odd, "b"), "node_b").filter(possible(least)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    linked = materialize(same.unionAll(verified(tried, texts, least)))
+    roots = components(linked)
+
+    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = materialize(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
+    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
+    rest = materialize(placed.join(open_.select("key", "largest"), "key").join(odd, "node"))
+    outside = _side(rest.filter("root <> largest").select("key", "node", "root", "size", "odd"), "a")
+    everyone = _side(rest.select("key", "node", "root", "size", "odd", (F.col("root") != F.col("largest")).alias("out")), "b")
+    once = ~F.col("out_b") | (F.col("node_a") < F.col("node_b"))
+    again = outside.join(everyone, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & once & possible(least))
+    pairs = again.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+    return linked.unionAll(materialize(verified(fresh, texts, least)))
+
+
 def groups(texts: DataFrame, least: float = LEAST) -> DataFrame:
     """node and component_id of every row of a stored table of texts (columns node: long and unique, text)."""
     small_batches(texts.sparkSession)
     printed = simhash.groups(texts, "node", "text").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    linked = materialize(printed)
-    keyed = materialize(sketches(spread(texts))).select("node", "size", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    shared = materialize(keyed.join(met.select("key", "first"), "key"))
-    few = materialize(texts.join(shared.select("node").distinct(), "node", "left_semi"))
-
-    with_first = materialize(shared.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = linked.filter("a <> b").unionAll(materialize(verified(with_first, few, least)))
-    found = components(links)
-
-    placed = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi"))
-    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root")]) for s in "ab")
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    fits = F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= least
-    met_again = left.join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart & fits)
-    pairs = met_again.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(with_first, ["a", "b"], "left_anti")
-    found = components(links.unionAll(materialize(verified(materialize(pairs), few, least))))
+    linked = materialize(printed.filter("a <> b"))
+    found = components(linked.unionAll(links(texts, least)))
     return texts.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component_id"))
 
 
@@ -133,8 +185,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """`docs` with one row of each group of near duplicates: the least identifier, nulls last."""
     row = free_name(docs.columns, "row")
     placed = with_row_ids(docs, row)
-    grouped = groups(placed.select(F.col(row).alias("node"), F.col(text).alias("text")), least)
+    grouped = materialize(groups(placed.select(F.col(row).alias("node"), F.col(text).alias("text")), least))
     named = grouped.join(placed.select(F.col(row).alias("node"), F.col(doc_id).alias("id")), "node")
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
-    kept = named.groupBy("component_id").agg(F.min_by("node", rank).alias(row)).select(row)
-    return placed.join(kept, row, "left_semi").select(*docs.columns)
+    kept = named.groupBy("component_id").agg(F.min_by("node", rank).alias("node"))
+    # the few rows that go are looked up, so that texts are not shuffled for those that stay
+    gone = materialize(grouped.select("node").join(kept, "node", "left_anti").select(F.col("node").alias(row)))
+    return placed.join(gone, row, "left_anti").select(*docs.columns)

@@ -13,8 +13,8 @@ for the first pair of segments that brings it within two bits.
 Equal fingerprints are linked through one entry, so a group of copies costs one row. Links become components.
 
 Null, empty and wordless texts have the fingerprint zero and are linked like any other. A null identifier
-never names a component; a component of null identifiers only is null. Repeated rows each get
-a row. Empty tables give empty results.
+never names a component, but its text links others; a component of null identifiers only is null. Unlike texts of one identifier
+are linked each by its own fingerprint. Repeated rows each get a row. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             rows, keys = fuzzy_keys(values)
             yield pd.DataFrame({"key": keys.astype(np.int32), "print": values[rows], "node": batch["node"].to_numpy(np.int64)[rows]})
 
-    keyed = materialize(prints.filter("node IS NOT NULL").select("print", "node").mapInPandas(listed, "key int, print long, node long"))
+    keyed = materialize(prints.select("print", "node").mapInPandas(listed, "key int, print long, node long"))
     left, right = (keyed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "print", "node")]) for s in "ab")
     apart = F.col("print_a").bitwiseXOR(F.col("print_b"))
     masks = [_mask(s) | _mask(t) for s, t in PAIRS]
@@ -163,10 +163,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits
     small_batches(docs.sparkSession)
     whole = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     printed = materialize(whole.select("doc_id", fingerprints(F.col("text")).alias("print")))
-    nodes = materialize(printed.groupBy("print").agg(F.min("doc_id").alias("node")))
+    least = printed.groupBy("print").agg(F.min("doc_id").alias("least"))
+    nodes = materialize(least.withColumn("node", F.monotonically_increasing_id()))
     found = components(materialize(links(nodes, max_bits)))
-    labelled = nodes.join(found, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
-    return printed.join(labelled, "print").select("doc_id", "print", "component_id")
+    rooted = materialize(nodes.join(found, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return printed.join(rooted.join(names, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

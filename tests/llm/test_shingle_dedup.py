@@ -69,3 +69,37 @@ def test_short_null_and_repeated_rows(spark):
     got = shingle_dedup.deduplicate(cases.frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in got) == [1, 3, 5]
     assert shingle_dedup.deduplicate(cases.frame(spark, [])).count() == 0
+
+
+def test_odd_sketches_never_lose_a_link(spark):
+    """What the sketches reject is below the limit, over sets of unlike sizes, and most of what is far below is rejected."""
+    rnd = np.random.default_rng(0)
+    rows = []
+    for i in range(400):
+        n = int(rnd.integers(1, 700))
+        base = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        other = np.concatenate([base[rnd.random(n) < rnd.choice([1, 0.97, 0.9, 0.8, 0.5])], rnd.integers(0, 1 << 63, int(n * rnd.choice([0, 0.03, 0.1, 0.3]))).astype(np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        if len(b):
+            both = len(np.intersect1d(a, b))
+            rows.append((i, both / (len(a) + len(b) - both), len(a), shingle_dedup.odd_sketch(a).tolist(), len(b), shingle_dedup.odd_sketch(b).tolist()))
+    pairs = spark.createDataFrame(rows, "i int, j double, size_a int, odd_a array<long>, size_b int, odd_b array<long>")
+    got = pairs.select("j", shingle_dedup.possible(0.8).alias("stays")).collect()
+    assert all(r.stays for r in got if r.j >= 0.8) and any(r.j >= 0.8 for r in got)
+    low = [r.stays for r in got if r.j < 0.6]
+    assert len(low) > 50 and sum(low) < 0.1 * len(low)
+
+
+def test_a_bucket_of_unlike_near_copies_makes_few_rows(spark, monkeypatch):
+    """Seven hundred texts at about 0.6 of each other: their pairs end in the join condition."""
+    base = cases.prose(200, 9)
+    rnd = np.random.default_rng(1)
+    rows = [(i, edited(base, [int(p) for p in rnd.choice(200, 8, replace=False)]).replace("new", f"new{i}x")) for i in range(700)]
+    seen = []
+    verified = shingle_dedup.verified
+    monkeypatch.setattr(shingle_dedup, "verified", lambda pairs, *a: (seen.append(pairs.count()), verified(pairs, *a))[1])
+    texts = spark.createDataFrame(rows, "node long, text string")
+    found = shingle_dedup.links(texts).count()
+    assert sum(seen) < 3 * len(rows) and found <= sum(seen)
+    near = [i for i in range(0, 700, 50) if plain_jaccard(rows[i][1], rows[0][1]) >= 0.8]
+    assert near == [0]

@@ -111,6 +111,16 @@ def test_components_match_union_find(spark, seed):
     assert {r.node: r.root for r in got.collect()} == want
 
 
+def test_a_null_identifier_is_a_bridge(spark, monkeypatch):
+    """Fingerprints 0, 15 and 255: the middle one has no identifier and links the other two."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, *_: text.cast("long"))
+    rows = [(9, "255"), (None, "15"), (5, "0"), (None, "1048575"), (7, "-1"), (7, "4398046511103")]
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r["print"]): r.component_id for r in got} == {
+        (9, 255): 5, (None, 15): 5, (5, 0): 5, (None, 1048575): None, (7, -1): 7, (7, 4398046511103): 7,
+    }
+
+
 def test_deduplicate(spark):
     docs = cases.with_extra(spark)
     got = simhash.deduplicate(docs)
