@@ -138,6 +138,13 @@ def topic_labels(spark, folder):
     return both.select("lang", name.alias("label"))
 
 
+def window_distribution(spark, folder):
+    """Shares of the languages as topics in every document, from windows of four words."""
+    words = text.content_tokens(F.col("text"), STOPWORDS)
+    rows = topics.window_shares(inputs.texts(spark, folder, "documents"), "doc_id", words, _weights(spark, folder), topic="lang")
+    return rows.select("doc_id", "lang", F.round("share", 5).alias("share"))
+
+
 def _candidates(spark, folder):
     top = topics.top_terms(_weights(spark, folder), ["lang"], 30)
     embedded = topics.hashed_embeddings(_words(spark, folder).withColumn("topic_id", F.lit(0)), F.col("words"))
@@ -254,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_members, topics_per_firm_stats, topic_centroids, nearest_centroid, topic_distribution, similar_topics,
-        cosine_pairs, neighbors_per_topic, approximate_neighbors, index_neighbors, ctfidf_keywords, keyword_lists, topic_labels, similar_keywords,
+        cosine_pairs, neighbors_per_topic, approximate_neighbors, index_neighbors, ctfidf_keywords, keyword_lists, topic_labels, similar_keywords, window_distribution,
         diverse_keywords, hashed_embeddings, density_clusters, density_themes, tree_clusters,
         spectral_layout, topic_model, theme_groups, theme_validation, theme_ids,
         theme_topics, topic_documents, theme_heatmap,
@@ -395,6 +402,29 @@ ORACLE = {
             QUALIFY row_number() OVER (PARTITION BY lang ORDER BY tf DESC, term DESC) <= 3)
         SELECT lang, string_agg(term, ', ' ORDER BY place) AS label
         FROM (SELECT lang, term, min(place) AS place FROM places GROUP BY 1, 2) GROUP BY 1""",
+    "window_distribution": f"""
+        WITH {_GRAMS},
+        docs AS (SELECT doc_id, {_tokens("text")} AS w FROM documents),
+        cuts AS (
+            SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS spot, w FROM docs),
+        pieces AS (SELECT doc_id, spot, w[spot:spot + 3] AS c FROM cuts),
+        terms AS (
+            SELECT doc_id, spot, unnest(c) AS term FROM pieces
+            UNION ALL
+            SELECT doc_id, spot, unnest(list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])) FROM pieces),
+        idf AS (SELECT term, max(weight / tf) AS idf FROM weights GROUP BY 1),
+        bags AS (SELECT doc_id, spot, term, count(*) * any_value(idf) AS x FROM terms JOIN idf USING (term) GROUP BY 1, 2, 3),
+        lengths AS (SELECT doc_id, spot, sqrt(sum(x * x)) AS l FROM bags GROUP BY 1, 2),
+        units AS (SELECT lang, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY lang)) AS u FROM weights),
+        sims AS (
+            SELECT doc_id, spot, lang, sum(x * u) / any_value(l) AS s
+            FROM bags JOIN units USING (term) JOIN lengths USING (doc_id, spot) GROUP BY 1, 2, 3 HAVING sum(x * u) / any_value(l) >= 0.1),
+        sums AS (SELECT doc_id, lang, sum(s) AS s FROM sims GROUP BY 1, 2),
+        cells AS (
+            SELECT doc_id, lang, coalesce(s, 0) AS s
+            FROM docs CROSS JOIN (SELECT DISTINCT lang FROM weights) LEFT JOIN sums USING (doc_id, lang))
+        SELECT doc_id, lang, round(CASE WHEN sum(s) OVER d > 0 THEN s / sum(s) OVER d ELSE 1.0 / count(*) OVER d END, 5) AS share
+        FROM cells WINDOW d AS (PARTITION BY doc_id)""",
     "density_clusters": density_sql.clusters(_SHARES, "firm_id", 4, 6, 2, "leaf", "k AS firm_id, id AS doc_id"),
     "density_themes": density_sql.clusters(_SHARES, "0", 4, 20, 6, "eom", "id AS doc_id"),
     "hashed_embeddings": f"""

@@ -181,6 +181,53 @@ def class_tfidf(counts: DataFrame, keys: Sequence[str], scope: Sequence[str] = (
     return weighed.select(*keys, "term", "tf", (F.col("tf") * F.ln(1 + F.col("_a") / F.col("term_total"))).alias("weight"))
 
 
+def window_shares(
+    docs: DataFrame,
+    item: str,
+    words: Column,
+    weights: DataFrame,
+    scope: Sequence[str] = (),
+    topic: str = "topic_id",
+    low: int = 1,
+    high: int = 2,
+    window: int = 4,
+    min_similarity: float = 0.1,
+) -> DataFrame:
+    """Topic shares of each text from sliding windows of `window` words: item, topic, share, one row per topic of the scope.
+
+    A window's terms, weighed like the topics' own (`weights` of `class_tfidf`), are compared with every topic that has one of them: the
+    terms meet an inverted index in an equi join, and products add up per window and topic. Similarities (cosine) below `min_similarity` count
+    as none; the others add up per text and are scaled to sum one. A text without any gets equal shares. Texts are `item` values, each once a
+    scope. A term's entry lists the topics of its scope, so a text's rows are bounded by its words times these.
+    """
+    scope = list(scope)
+    norms = weights.groupBy(*scope, topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
+    unit = weights.join(norms, [*scope, topic]).select(
+        *scope, topic, "term", (F.col("weight") / F.col("tf")).alias("_idf"), (F.col("weight") / F.col("_length")).alias("_unit")
+    )
+    index = unit.groupBy(*scope, "term").agg(F.max("_idf").alias("_idf"), F.collect_list(F.struct(F.col(topic).alias("topic"), F.col("_unit").alias("unit"))).alias("_topics"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - window + 1, F.lit(1)))
+    cut = docs.select(*scope, item, words.alias("_words")).select(*scope, item, F.posexplode(F.transform(starts, lambda i: F.slice("_words", i, window))).alias("_at", "_cut"))
+    grams = cut.select(*scope, item, "_at", text.ngrams(F.col("_cut"), low, high).alias("_grams"))
+    counted = F.transform(F.array_distinct("_grams"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_grams", lambda g: g == t)).alias("tf")))
+    terms = grams.select(*scope, item, "_at", F.inline(counted))
+    met = terms.join(index, [*scope, "term"]).withColumn("_x", F.col("tf") * F.col("_idf"))
+    # the window's own square stands beside its products, as the entry without a topic
+    own = F.struct(F.lit(None).cast(weights.schema[topic].dataType).alias("topic"), (F.col("_x") * F.col("_x")).alias("product"))
+    products = F.transform("_topics", lambda p: F.struct(p["topic"].alias("topic"), (F.col("_x") * p["unit"]).alias("product")))
+    added = met.select(*scope, item, "_at", F.inline(F.concat(F.array(own), products))).groupBy(*scope, item, "_at", "topic").agg(F.sum("product").alias("_sum"))
+    of_window = Window.partitionBy(*scope, item, "_at")  # a row per topic that the window touches
+    scored = added.withColumn("_square", F.max(F.when(F.col("topic").isNull(), F.col("_sum"))).over(of_window)).filter("topic IS NOT NULL")
+    near = scored.withColumn("_s", F.try_divide(F.col("_sum"), F.sqrt("_square"))).filter(F.col("_s") >= min_similarity)
+    sums = near.groupBy(*scope, item, F.col("topic").alias(topic)).agg(F.sum("_s").alias("_s"))
+    listed = norms.groupBy(*scope).agg(F.collect_list(topic).alias("_all"))
+    every = docs.select(*scope, item).join(listed, scope) if scope else docs.select(item).withColumn("_all", listed.scalar())
+    cells = every.select(*scope, item, F.explode("_all").alias(topic)).join(sums, [*scope, item, topic], "left")
+    of_text = Window.partitionBy(*scope, item)  # a row per topic of the scope
+    total, n = F.sum("_s").over(of_text), F.count(F.lit(1)).over(of_text)
+    return cells.select(*scope, item, topic, F.when(total > 0, F.coalesce("_s", F.lit(0.0)) / total).otherwise(1 / n).alias("share"))
+
+
 def top_terms(weights: DataFrame, keys: Sequence[str], k: int = TOPIC_KEYWORDS) -> DataFrame:
     return scan.top_k(weights, keys, [F.desc("weight"), F.col("term")], k)
 
