@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from callweave.functions import text, vectors
 from callweave.functions.fixed import LABEL_PER_SOURCE, LABEL_TERMS, TOPIC_DEFAULTS, TOPIC_KEYWORDS
 from callweave.operators import scan
+from callweave.operators.ball_tree import BallTree
 from callweave.session import materialize
 
 NOISE = -1
@@ -83,21 +86,52 @@ def centroids(points: DataFrame, keys: Sequence[str], topic: str = "topic_id", v
     )
 
 
-# centroids that one row carries; a key with more of them is compared part by part
+# centroids that one row carries, where they are too many for the tasks; a key with more of them is compared part by part
 CENTROIDS_PER_ROW = 500
+# bytes of centroids that all tasks may hold
+TREE_BYTES = 64 << 20
 
 
-def _centroid_parts(points: DataFrame, keys: Sequence[str], topic: str, vector: str) -> list[DataFrame]:
-    """Unit centroids of each key as lists of bounded length, one frame per part."""
+def _unit_centroids(points: DataFrame, keys: Sequence[str], topic: str, vector: str) -> DataFrame:
     unit = centroids(points, keys, topic, vector).withColumn("u", vectors.unit(F.col("centroid")))
+    return materialize(unit.filter(F.col("u").isNotNull()).select(*keys, topic, "u"))
+
+
+def _centroid_parts(unit: DataFrame, keys: Sequence[str], topic: str) -> list[DataFrame]:
+    """Unit centroids of each key as lists of bounded length, one frame per part."""
     entry = F.struct(F.col(topic).alias("topic"), F.col("u").alias("u"))
-    parts = materialize(
-        scan.ordered_lists(unit.filter(F.col("u").isNotNull()), keys, [F.col(topic)], entry, "_centroids", CENTROIDS_PER_ROW)
-    )
+    parts = materialize(scan.ordered_lists(unit, keys, [F.col(topic)], entry, "_centroids", CENTROIDS_PER_ROW))
     last = parts.agg(F.max("part")).first()[0] or 0
     return [parts.filter(F.col("part") == p).drop("part") for p in range(last + 1)]
 
 
+def _from_trees(points: DataFrame, unit: DataFrame, keys: Sequence[str], topic: str, vector: str) -> DataFrame:
+    """Points with `_best`, from a ball tree per key; one pass over the points, and no row moves."""
+    found: dict[tuple, list] = {}
+    for row in unit.collect():  # TREE_BYTES at most
+        found.setdefault(tuple(row[k] for k in keys), []).append((row[topic], row["u"]))
+    trees = {key: BallTree([t for t, _ in rows], np.array([u for _, u in rows])) for key, rows in found.items()}
+
+    @F.pandas_udf("struct<dot:double,minus:bigint>")
+    def best(group: pd.DataFrame, points_of: pd.Series) -> pd.DataFrame:
+        dot, minus = np.full(len(points_of), np.nan), np.full(len(points_of), np.nan)
+        keyed = group.groupby(list(group.columns), dropna=True).indices if keys else {(): np.arange(len(points_of))}
+        for key, rows in keyed.items():
+            tree = trees.get(key if isinstance(key, tuple) else (key,))
+            if tree is None:
+                continue
+            known = np.array([points_of.iat[i] is not None for i in rows], bool)
+            minus[rows[~known]] = -float(tree.ids[0])
+            if known.any():
+                who, product = tree.nearest(np.stack([points_of.iat[i] for i in rows[known]]).astype(np.float64))
+                dot[rows[known]], minus[rows[known]] = product, -tree.ids[who].astype(float)
+        table = pd.DataFrame({"dot": dot, "minus": pd.Series(minus).astype("Int64")})
+        return table.astype({"dot": object}).where(table["dot"].notna(), None)[["dot"]].join(table[["minus"]])
+
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
+    return points.withColumn("_best", best(group, F.col(vector)))
+
+
 def _beside(points: DataFrame, part: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Points with their key's list; without keys the single bounded row goes to every task."""
     if keys:
@@ -105,20 +139,31 @@ def _beside(points: DataFrame, part: DataFrame, keys: Sequence[str]) -> DataFram
     return points.withColumn("_centroids", part.scalar())
 
 
-def nearest_topics(
-    points: DataFrame, keys: Sequence[str], topic: str = "topic_id", vector: str = "embedding", only_noise: bool = True
-) -> DataFrame:
-    """Noise rows move to the topic of the most similar centroid (least id on ties)."""
+def _from_parts(points: DataFrame, unit: DataFrame, keys: Sequence[str], topic: str, vector: str) -> DataFrame:
+    """Points with `_best`, from lists of centroids that join them part by part; for any number of centroids."""
     # the point's own length does not change which centroid is nearest
     scored = F.transform(
         "_centroids",
         lambda c: F.struct(vectors.dot(F.col(vector), c["u"]).alias("dot"), (-c["topic"]).alias("minus")),
     )
     best = points.withColumn("_best", F.lit(None).cast("struct<dot:double,minus:bigint>"))
-    for part in _centroid_parts(points, keys, topic, vector):
+    for part in _centroid_parts(unit, keys, topic):
         here = F.array_max(scored).cast("struct<dot:double,minus:bigint>")
         best = _beside(best, part, keys).withColumn("_here", here)
         best = best.withColumn("_best", F.greatest("_best", "_here")).drop("_centroids", "_here")
+    return best
+
+
+def nearest_topics(
+    points: DataFrame, keys: Sequence[str], topic: str = "topic_id", vector: str = "embedding", only_noise: bool = True
+) -> DataFrame:
+    """Noise rows move to the topic of the most similar centroid (least id on ties)."""
+    unit = _unit_centroids(points, keys, topic, vector)
+    size = unit.agg(F.sum(F.size("u"))).first()[0] or 0
+    if 8 * size <= TREE_BYTES:
+        best = _from_trees(points, unit, keys, topic, vector)
+    else:
+        best = _from_parts(points, unit, keys, topic, vector)
     found = F.coalesce((-F.col("_best.minus")).cast("int"), F.col(topic))
     chosen = F.when(F.col(topic) == NOISE, found).otherwise(F.col(topic)) if only_noise else found
     similarity = F.try_divide(F.col("_best.dot"), vectors.norm(vectors.doubles(F.col(vector))))
@@ -133,7 +178,7 @@ def topic_shares(points: DataFrame, keys: Sequence[str], topic: str = "topic_id"
     )
     none = F.array()
     scored = points.withColumns({"topics": none.cast("array<int>"), "_dots": none.cast("array<double>")})
-    for part in _centroid_parts(points, keys, topic, vector):
+    for part in _centroid_parts(_unit_centroids(points, keys, topic, vector), keys, topic):
         listed = _beside(scored, part, keys)
         more = {
             "topics": F.concat("topics", F.coalesce("_centroids.topic", none.cast("array<int>"))),

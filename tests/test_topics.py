@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import text, vectors
 from callweave.operators import density, neighbors
+from callweave.operators.ball_tree import BallTree
 from callweave.plans import sentences, summaries, themes, topics
 
 
@@ -229,11 +230,30 @@ def test_encoder_runs_in_batches_and_checks_its_size(spark):
         topics.encoded(docs, "t", lambda: lambda ts: [[1.0, 1.0] for _ in ts], 3).collect()
 
 
+def test_ball_tree_is_exact():
+    """Fifty thousand centroids, with copies, zero points and a tree of one; most balls are not opened."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(400, 12))[rng.integers(0, 400, 50_000)] + 0.1 * rng.normal(size=(50_000, 12))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    centres[900] = centres[17]
+    ids = rng.permutation(50_000)
+    tree = BallTree(ids.tolist(), centres)
+    points = np.concatenate([centres[rng.integers(0, 50_000, 200)] * 3 + 0.1 * rng.normal(size=(200, 12)), centres[[17]], np.zeros((1, 12))])
+    who, dot = tree.nearest(points)
+    full = np.round(points / np.maximum(np.linalg.norm(points, axis=1), 1e-300)[:, None] @ centres.T, 12)
+    for i in range(len(points)):
+        best = np.flatnonzero(full[i] == full[i].max())
+        assert tree.ids[who[i]] == ids[best].min()
+    assert np.allclose(dot, (points * tree.vectors[who]).sum(axis=1))
+    assert BallTree([5], centres[:1]).nearest(points[:3])[0].tolist() == [0, 0, 0]
+
+
 @pytest.mark.parametrize("per_row", [500, 2])
 @pytest.mark.parametrize("keys", [[], ["firm"]])
 def test_nearest_topic_and_shares(spark, monkeypatch, per_row, keys):
-    """Long centroid lists are compared part by part with the same result."""
+    """Centroids that tasks cannot hold are compared part by part with the same result as trees."""
     monkeypatch.setattr(topics, "CENTROIDS_PER_ROW", per_row)
+    monkeypatch.setattr(topics, "TREE_BYTES", 64 << 20 if per_row > 2 else 0)
     rng = np.random.default_rng(11)
     v, topic, firm = rng.normal(size=(60, 5)), rng.integers(-1, 6, 60), rng.integers(0, 2, 60)
     rows = [(i, int(firm[i]), int(topic[i]), [float(x) for x in v[i]]) for i in range(60)]
