@@ -121,6 +121,21 @@ def lexicon_sentiment(spark, folder):
     return _rounded(rows, ["conv_id", "turn", "label"], ["score"])
 
 
+def quality_examples(spark, folder):
+    """Labelled documents with the fold (0 to 4) of their identifier; quality plays the sentiment."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    name = F.when(F.col("quality") == 1, sentiment.POSITIVE).otherwise(sentiment.NEGATIVE)
+    labels = inputs.table(spark, folder, "labels").select("doc_id", name.alias("label"))
+    return inputs.table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id").withColumn("fold", fold)
+
+
+def learned_sentiment(spark, folder):
+    """Labels of all documents from a model of the labelled ones outside fold 0."""
+    model = sentiment.word_model(quality_examples(spark, folder).filter("fold > 0"))
+    rows = sentiment.learned(inputs.table(spark, folder, "documents").select("doc_id", "text"), model)
+    return _rounded(rows.drop("text"), ["doc_id", "label"], ["score"], 4)
+
+
 def studied_once(spark, folder):
     return sentiment.study_events(_events(spark, folder))
 
@@ -319,7 +334,7 @@ QUERIES = {
     for f in (
         event_study_madj, fundamentals_pull, event_study_market, event_study_delisted, event_study_ff3, event_study_ff4, trading_windows, event_stats, event_date_final,
         event_window_rows, rejected_events, sentiment_events, sentiment_distribution, sentiment_firm_details,
-        sentiment_by_quality, lexicon_sentiment, studied_once, theme_study_results, rolling_features, covariate_ratios,
+        sentiment_by_quality, lexicon_sentiment, learned_sentiment, studied_once, theme_study_results, rolling_features, covariate_ratios,
         event_covariates, theme_regression, full_theme_regression, significance_summary, significance_totals,
         sentiment_slopes, portfolio_value, portfolio_equal, portfolio_combined, portfolio_spread, day_zero_fill,
         car_by_theme, sentiment_medians,

@@ -33,7 +33,8 @@ def _load_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_themes(
-    spark: SparkSession, themes_path: str, positive: Sequence[str], negative: Sequence[str], classifier: Callable | None = None
+    spark: SparkSession, themes_path: str, positive: Sequence[str], negative: Sequence[str], classifier: Callable | None = None,
+    training: str | None = None,
 ) -> DataFrame:
     """Sentences of a themes file (one document or exported lines) to events, rejected ones included."""
     single = themes_path.endswith(".json")
@@ -41,6 +42,9 @@ def score_themes(
     rows = sentiment.theme_sentences(read)
     if classifier is not None:
         return sentiment.theme_events(sentiment.classified(rows, classifier))
+    if training is not None:
+        model = sentiment.word_model(spark.read.parquet(training))
+        return sentiment.theme_events(sentiment.learned(rows, model))
     label, score = sentiment.lexicon_label(F.col("text"), positive, negative)
     return sentiment.theme_events(rows.withColumns({"label": label, "score": score}))
 
@@ -111,7 +115,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--output", required=True)
     sub.add_argument("--stages", nargs="+", choices=STAGES, default=list(STAGES))
     sub.add_argument("--weighting", choices=("value", "equal"), default="value")
-    sub.add_argument("--classifier", help="module:factory of a sentiment classifier; the word lists are used without one")
+    sub.add_argument("--classifier", help="module:factory of a sentiment classifier")
+    sub.add_argument("--training", help="Parquet of labelled sentences (text, label) to fit a classifier on; without either the word lists are used")
     window_options(sub)
     sub.add_argument("--positive", nargs="+", default=["growth", "improved", "increase", "record", "strong"])
     sub.add_argument("--negative", nargs="+", default=["challenge", "decline", "decrease", "loss", "weak"])
@@ -172,7 +177,7 @@ def main(arguments: Sequence[str] | None = None) -> int:
         if options.sentiment_file:
             events = _load_events(spark, options.sentiment_file)
         else:
-            scored = materialize(score_themes(spark, options.themes, options.positive, options.negative, factory(options.classifier)))
+            scored = materialize(score_themes(spark, options.themes, options.positive, options.negative, factory(options.classifier), options.training))
             events = sentiment.accepted(scored)
             if "sentiment" in stages:
                 writers.csv(scored, f"{options.output}/sentiment_scores")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,7 @@ def lexicon_label(sentence: Column, positive: Sequence[str], negative: Sequence[
     words = text.tokens(sentence)
 
     def hits(listed: Sequence[str]) -> Column:
-        known = F.array(*[F.lit(w) for w in listed])
-        return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+        return F.size(F.filter(words, lambda w: w.isin(*listed)))
 
     good, bad = hits(positive), hits(negative)
     label = F.when(good > bad, POSITIVE).when(bad > good, NEGATIVE).otherwise(NEUTRAL)
@@ -27,6 +30,34 @@ def lexicon_label(sentence: Column, positive: Sequence[str], negative: Sequence[
     return label, F.when(label == NEUTRAL, 1.0 - F.when(good + bad > 0, score).otherwise(0.0)).otherwise(score)
 
 
+def word_model(labelled: DataFrame, features: int = 1 << 15, penalty: float = 1e-5, text_column: str = "text", label: str = "label") -> PipelineModel:
+    """Classifier of sentences from labelled ones: multinomial logistic regression on the hashed counts of words and word pairs, at length one.
+
+    Rows without a label are left out. The fit sums gradients where the rows are; what it returns is one weight per feature and label.
+    """
+    known = _featured(labelled.filter(F.col(label).isNotNull()), features, text_column)
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
+    fit = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=penalty, standardization=False, probabilityCol="_share", predictionCol="_class", rawPredictionCol="_raw")
+    named = index.fit(known)
+    back = IndexToString(inputCol="_class", outputCol="_name", labels=named.labels)
+    return PipelineModel([named.setHandleInvalid("keep"), fit.fit(named.transform(known)), back])
+
+
+def _featured(rows: DataFrame, features: int, text_column: str) -> DataFrame:
+    words = text.ngrams(text.tokens(F.coalesce(F.col(text_column), F.lit(""))), 1, 2)
+    counted = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=features).transform(rows.withColumn("_grams", words))
+    return Normalizer(inputCol="_counts", outputCol="_features").transform(counted)
+
+
+def learned(sentences: DataFrame, model: PipelineModel, text_column: str = "text") -> DataFrame:
+    """`sentences` with the label that a `word_model` finds likeliest, and its probability as score; texts without words go by the labels' shares."""
+    fitted = model.stages[1]
+    rows = _featured(sentences.drop("label", "score"), fitted.numFeatures, text_column)
+    found = model.stages[2].transform(fitted.transform(rows))
+    likeliest = F.array_max(vector_to_array("_share"))
+    return found.select(*[c for c in sentences.columns if c not in ("label", "score")], F.col("_name").alias("label"), likeliest.alias("score"))
+
+
 def classified(sentences: DataFrame, classifier, batch: int = 32) -> DataFrame:
     """Labels from `classifier()`, a factory for predict(list[str]) -> [(label, score)], in batches."""
     schema = sentences.withColumns({"label": F.lit(""), "score": F.lit(0.0)}).schema

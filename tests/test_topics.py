@@ -137,6 +137,22 @@ def test_neighbors_are_exact(spark, monkeypatch, tile_rows):
     assert got.item_id.tolist() == np.argsort(-sims, axis=1)[:, :4].ravel().tolist()
 
 
+def test_bounds_skip_tiles_of_clustered_items(spark, monkeypatch):
+    """Exact, and fewer (query, tile) pairs than all; null and zero vectors take no part."""
+    rng = np.random.default_rng(2)
+    data = 6 * rng.normal(size=(12, 8))[rng.integers(0, 12, 600)] + 0.5 * rng.normal(size=(600, 8))
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 50)
+    pairs, reach = [], neighbors._reach
+    monkeypatch.setattr(neighbors, "_reach", lambda *a: (lambda f: (pairs.append(f.count()), f)[1])(reach(*a)))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    items = spark.createDataFrame([*rows, (900, None), (901, [0.0] * 8)], "i long, embedding array<double>")
+    got = neighbors.nearest(items.filter("i % 5 = 0").withColumnRenamed("i", "q"), items, 3, "q", "i").toPandas().sort_values(["query_id", "rank"])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    assert got.item_id.tolist() == np.argsort(-np.round(unit[::5] @ unit.T, 12), axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert pairs[0] == 120 and sum(pairs) < 0.6 * 120 * 12
+    assert neighbors.nearest(items, items.filter("i < 0"), 3, "i", "i").count() == 0
+
+
 def test_equal_items_go_by_id(spark):
     items = spark.createDataFrame([(i, [1.0, float(i > 5)]) for i in range(12)], "i long, embedding array<double>")
     asked = spark.createDataFrame([(3, [1.0, 0.0])], "q long, embedding array<double>")
