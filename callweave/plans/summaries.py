@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import asyncio
+import hashlib
+import uuid
 from collections.abc import Awaitable, Callable
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,35 @@ async def _answer(generate: Generate, prompt: str, gate: asyncio.Semaphore, time
         return None
 
 
+class AnswerLog:
+    """Answers by prompt in a folder that all tasks reach: one file each, written under another name and moved when whole.
+
+    What a task has paid for is there for its retry, for other tasks and for the next run.
+    """
+
+    def __init__(self, folder: str):
+        self.files, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+    def _path(self, prompt: str) -> str:
+        key = hashlib.sha256(prompt.encode()).hexdigest()
+        return f"{self.folder}/{key[:2]}/{key}"
+
+    def get(self, prompt: str) -> str | None:
+        path = self._path(prompt)
+        if self.files.get_file_info(path).type != fs.FileType.File:
+            return None
+        with self.files.open_input_stream(path) as stream:
+            return stream.read().decode()
+
+    def put(self, prompt: str, answer: str) -> None:
+        path = self._path(prompt)
+        self.files.create_dir(path.rpartition("/")[0])
+        part = f"{path}.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(part) as stream:
+            stream.write(answer.encode())
+        self.files.move(part, path)
+
+
 def generated(
     rows: DataFrame,
     prompt: str,
@@ -70,26 +102,41 @@ def generated(
     timeout: float = 30.0,
     tries: int = 3,
     wait: float = 1.0,
+    log: str | None = None,
 ) -> DataFrame:
     """Answers to the prompt column, NULL where a call fails for good.
 
-    `concurrent` limits the open calls of one task; the whole job has at most that many per
-    running task, so set it to the service limit divided by the number of task slots.
+    `concurrent` limits the open calls of the whole job: the rows are dealt to at most as many tasks, which share the permits
+    evenly. With a `log` folder an answer is kept as it arrives and looked up before a call, so a task that is run again
+    pays for no answer twice; failed calls are not kept. Equal prompts are one call.
     """
     schema = rows.withColumn(out, F.lit(None).cast("string")).schema
+    slots = max(1, min(concurrent, rows.sparkSession.sparkContext.defaultParallelism))
+    permits = max(1, concurrent // slots)
 
     def run(frames):
         generate = factory()
+        kept = AnswerLog(log) if log else None
+
+        async def answered(asked: str, gate: asyncio.Semaphore):
+            known = kept.get(asked) if kept else None
+            if known is not None:
+                return known
+            found = await _answer(generate, asked, gate, timeout, tries, wait)
+            if kept and found is not None:
+                kept.put(asked, found)
+            return found
 
         async def batch(prompts):
-            gate = asyncio.Semaphore(concurrent)
-            calls = [_answer(generate, p, gate, timeout, tries, wait) for p in prompts]
-            return await asyncio.gather(*calls)
+            gate = asyncio.Semaphore(permits)
+            each = list(dict.fromkeys(p for p in prompts if p is not None))
+            return dict(zip(each, await asyncio.gather(*[answered(p, gate) for p in each]), strict=True))
 
         for frame in frames:
-            yield frame.assign(**{out: asyncio.run(batch(list(frame[prompt])))})
+            found = asyncio.run(batch(list(frame[prompt])))
+            yield frame.assign(**{out: [found.get(p) for p in frame[prompt]]})
 
-    return rows.mapInPandas(run, schema)
+    return rows.repartition(slots, F.col(prompt)).mapInPandas(run, schema)  # equal prompts are one call
 
 
 def with_fallback(rows: DataFrame, summary: str, representation: str) -> DataFrame:

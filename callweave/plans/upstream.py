@@ -112,7 +112,7 @@ def process_firms(
     if generate is not None:
         asked = described.drop("summary").join(prompt_sentences(assigned), ["firm_id", "topic_id"], "left")
         asked = asked.withColumn("prompt", summaries.topic_prompt(F.col("keywords"), F.col("sentences")))
-        described = summaries.generated(asked.drop("sentences"), "prompt", generate, "summary").drop("prompt")
+        described = summaries.generated(asked.drop("sentences"), "prompt", generate, "summary", log=f"{store.path}/answers").drop("prompt")
     described = summaries.with_fallback(described, "summary", "representation")
     store.write_firms(
         batch,
@@ -178,7 +178,7 @@ def process_themes(
         )
         asked = named.drop("description").join(best.select("theme", F.col("_p.summary").alias("_s")), "theme")
         asked = asked.withColumn("prompt", summaries.theme_prompt(F.col("name"), F.col("keywords"), F.col("_s"))).drop("_s")
-        named = summaries.generated(asked, "prompt", generate, "description").drop("prompt")
+        named = summaries.generated(asked, "prompt", generate, "description", log=f"{store.path}/answers").drop("prompt")
     named = materialize(summaries.with_fallback(named, "description", "name"))
     # all themes are replaced at once, so their place in the run numbers them
     number = F.col("ordinal") + 1
