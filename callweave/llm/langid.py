@@ -7,7 +7,7 @@ log-likelihood is the sum over its words: runs of letters, in lower case, with a
 Fitting: a bounded sample of labelled documents per language (`docs_per_language`, those with the least hash of
 their identifier) is counted into words by Spark, and expectation-maximisation runs as Spark jobs over the words: each round
 every task gathers expected piece counts by forward and backward passes, and their sums (vocabulary x languages)
-make the next probabilities. Words of more than LONGEST_TRAINED bytes do not train; they are scored like all others.
+make the next probabilities. Words of any length train.
 
 Prediction: the language of the greatest likelihood. The score is its posterior with log-likelihoods divided by the root of
 the number of words, since the words of a text are far from independent. Texts that are null or have no letter give `und` with
@@ -40,7 +40,6 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 DOCS_PER_LANGUAGE = 300
 ROUNDS = 4
 SMOOTHING = 0.1
-LONGEST_TRAINED = 48
 REMEMBERED = 300_000
 CHARACTERS_AT_ONCE = 1_000_000
 RESCALE_EVERY = 16
@@ -116,28 +115,29 @@ def log_marginals(coded: list[bytes], index: dict[bytes, int], probability: np.n
 
 def expected_counts(coded: list[bytes], language: np.ndarray, count: np.ndarray, index: dict[bytes, int], probability: np.ndarray) -> np.ndarray:
     """Expected number of each piece in each language, pieces x languages, over all segmentations."""
-    padded = np.vstack([probability, np.zeros((1, probability.shape[1]))])
-    sums = np.zeros_like(padded)
+    with np.errstate(divide="ignore"):
+        logs = np.log(np.vstack([probability, np.zeros((1, probability.shape[1]))]))
+    sums = np.zeros_like(logs)
     widest = max(map(len, index))
     for chosen in _by_length(coded):
         group, k, n = [coded[i] for i in chosen], language[chosen], count[chosen]
         size = len(group[0])
+        # logarithms, which no word is too long for
         arcs: dict[tuple[int, int], np.ndarray] = {}
-        forward = np.zeros((size + 1, len(group)))
-        forward[0] = 1
+        ahead = np.full((size + 1, len(group)), -np.inf)
+        ahead[0] = 0
         for j in range(1, size + 1):
             for i in range(max(0, j - widest), j):
                 found = _lookups(group, i, j, index)
                 if found is not None:
                     arcs[i, j] = found
-                    forward[j] += forward[i] * padded[found, k]
-        backward = np.zeros_like(forward)
-        backward[size] = 1
+                    ahead[j] = np.logaddexp(ahead[j], ahead[i] + logs[found, k])
+        behind = np.full_like(ahead, -np.inf)
+        behind[size] = 0
         for (i, j), found in sorted(arcs.items(), key=lambda a: -a[0][1]):
-            backward[i] += padded[found, k] * backward[j]
-        share = n / np.maximum(forward[size], np.finfo(float).tiny)
+            behind[i] = np.logaddexp(behind[i], logs[found, k] + behind[j])
         for (i, j), found in arcs.items():
-            np.add.at(sums, (found, k), forward[i] * padded[found, k] * backward[j] * share)
+            np.add.at(sums, (found, k), np.exp(ahead[i] + logs[found, k] + behind[j] - ahead[size]) * n)
     return sums[:-1]
 
 
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, rounds: int = RO
         for batch in batches:
             found: Counter = Counter()
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                found.update((lang, w) for w in words(text) if len(w.encode()) < LONGEST_TRAINED)
+                found.update((lang, w) for w in words(text))
             yield pd.DataFrame([(lang, w, n) for (lang, w), n in found.items()], columns=["lang", "word", "n"])
 
     path = public_tokenizers.path(vocabulary)

@@ -78,6 +78,6 @@ def test_empty_table(spark):
 
 def test_registered(spark):
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)}
     assert "pipeline" in names
     assert names["pipeline"](spark, "/root/testdata/sf0.001").count() > 50

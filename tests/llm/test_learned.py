@@ -178,3 +178,14 @@ def test_noise_does_not_flatten_the_curve():
     weights, noise = compression_quality.noisy_logistic(x[:, None], np.where(wrong, 1 - y, y))
     flat = compression_quality.logistic(x[:, None], np.where(wrong, 1 - y, y))
     assert weights[0] > 1.5 * flat[0] and 0.01 < noise < 0.06
+
+
+def test_very_long_words_are_trained_on():
+    """Expected pieces of words far beyond the range of floating point add up to their bytes."""
+    index = {b" ": 0, b"a": 1, b"b": 2, b"ab": 3, b" a": 4}
+    probability = np.array([[0.1, 0.2], [1e-4, 0.2], [1e-4, 0.2], [1e-5, 0.2], [0.1, 0.2]])
+    coded = [b" " + b"ab" * 2_000, b" " + b"a" * 3_000]
+    sums = langid.expected_counts(coded, np.array([0, 1]), np.array([1.0, 2.0]), index, probability)
+    width = np.array([1, 1, 1, 2, 2])
+    assert np.allclose(width @ sums, [4_001, 2 * 3_001])
+    assert sums[3, 0] > 1_900 and sums[3, 1] == 0
