@@ -5,8 +5,10 @@ or more. Sets are held as 64-bit hashes. Candidates come from minima of 96 hash
 with probability (1 - 0.8^4)^24 = 3e-6, a closer one less. Every candidate is verified on the whole sets.
 
 Texts with equal sets go in as one. A band's bucket is first compared with its least row. Where a bucket is left with several
-components, the rows outside its largest component are compared with all others of the bucket, so rows that are joined already never
-meet, and a group of near copies costs a row each, not one a pair.
+components, a row drawn from outside its largest one is compared with those of other components, twice; each bucket draws
+its own, so components that have many links between them merge. What is left outside the largest component is then compared with all
+others of the bucket: no pair of different components is left out, rows that are joined never meet, and a group of near
+copies costs some rows each, not one a pair.
 
 Before any text is read, a pair must pass what its sketches prove. A set's odd sketch has a bit for every residue of its hashes, set if an
 odd number of them fall on it; two sketches differ in no more bits than the sets have unlike members. At a coefficient j these
@@ -36,6 +38,7 @@ from callweave.session import materialize
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
+PIVOT_ROUNDS = 2
 ROWS = 4
 BLOCK = 2048
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
@@ -154,15 +157,28 @@ def links(texts: DataFrame, least: float = LEAST) -> DataFrame:
     shared = materialize(keyed.join(met.select("key", "first"), "key"))
     odd = materialize(found.select("node", "size", "odd").join(shared.select("node").distinct(), "node", "left_semi"))
 
-    first = shared.filter("first < node").select(F.col("first").alias("node_a"), F.col("node").alias("node_b")).distinct()
-    tried = materialize(first.join(_side(odd, "a"), "node_a").join(_side(odd, "b"), "node_b").filter(possible(least)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    sides = [_side(odd, side) for side in "ab"]
+
+    def tested(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        """Pairs (node_a, node_b) that the sketches let pass and no earlier pass has compared, the smaller node first."""
+        few = pairs.join(sides[0], "node_a").join(sides[1], "node_b").filter(possible(least))
+        few = few.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        return materialize(few if before is None else few.join(before, ["a", "b"], "left_anti"))
+
+    tried = tested(shared.filter("first < node").select(F.col("first").alias("node_a"), F.col("node").alias("node_b")).distinct(), None)
     linked = materialize(same.unionAll(verified(tried, texts, least)))
     roots = components(linked)
-
-    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = materialize(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
-    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
-    rest = materialize(placed.join(open_.select("key", "largest"), "key").join(odd, "node"))
+    for _ in range(PIVOT_ROUNDS):
+        rest = materialize(_open_rows(shared, roots))
+        draw = F.xxhash64("node", "key")
+        pivots = rest.filter("root <> largest").groupBy("key").agg(F.min_by(F.struct("node", "root"), F.struct(draw, "node")).alias("pivot"))
+        met = rest.join(pivots, "key").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.node").alias("node_a"), F.col("node").alias("node_b"))
+        fresh = tested(met.distinct(), tried)
+        tried = materialize(tried.unionAll(fresh))
+        linked = materialize(linked.unionAll(verified(fresh, texts, least)))
+        roots = components(linked)
+
+    rest = materialize(_open_rows(shared, roots).join(odd, "node"))
     outside = _side(rest.filter("root <> largest").select("key", "node", "root", "size", "odd"), "a")
     everyone = _side(rest.select("key", "node", "root", "size", "odd", (F.col("root") != F.col("largest")).alias("out")), "b")
     once = ~F.col("out_b") | (F.col("node_a") < F.col("node_b"))
@@ -172,6 +188,14 @@ def links(texts: DataFrame, least: float = LEAST) -> DataFrame:
     return linked.unionAll(materialize(verified(fresh, texts, least)))
 
 
+def _open_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, node, root) of the buckets that hold several components, with the bucket's `largest` one."""
+    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
+    return placed.join(open_.select("key", "largest"), "key")
+
+
 def groups(texts: DataFrame, least: float = LEAST) -> DataFrame:
     """node and component_id of every row of a stored table of texts (columns node: long and unique, text)."""
     small_batches(texts.sparkSession)
