@@ -29,6 +29,17 @@ def finite_rows(df: DataFrame) -> DataFrame:
     return df.filter(reduce(Column.__and__, keep))
 
 
+def present_rows(df: DataFrame) -> DataFrame:
+    """Rows without any NULL; NaN and infinities are values."""
+    return df.filter(reduce(Column.__and__, [F.col(n).isNotNull() for n in df.columns]))
+
+
+def ieee_divide(value: Column, by: Column) -> Column:
+    """Quotient of floating numbers where division by zero gives an infinity, and zero by zero NaN, as SQL engines on IEEE numbers do."""
+    over_zero = F.when(F.isnan(value) | (value == 0), float("nan")).otherwise(F.signum(value) * float("inf"))
+    return F.when(by == 0, F.when(value.isNotNull(), over_zero)).otherwise(F.try_divide(value, by))
+
+
 def keyed(keys: list[str], value: Column) -> Column:
     """A windowed value that is NULL when a key is NULL, as such rows form no group."""
     return F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), value)

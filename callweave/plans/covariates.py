@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,21 +110,21 @@ def fundamentals(
     )
 
 
-def ratios() -> dict[str, Column]:
-    """Covariate formulas on statement columns; division by zero gives NULL."""
+def ratios(divide: Callable[[Column, Column], Column] = F.try_divide) -> dict[str, Column]:
+    """Covariate formulas on statement columns; division by zero gives NULL, or what `divide` gives."""
     c = F.col
     assets = c("total_assets_q")
     debt = c("total_debt_q") + c("current_liabilities_total_q")
 
     def per_assets(value: Column) -> Column:
-        return F.try_divide(value, assets)
+        return divide(value, assets)
 
     return {
         "Return_on_Assets": per_assets(c("net_income_q")),
-        "Book_Leverage": F.try_divide(debt, debt + c("shareholders_equity_q")),
+        "Book_Leverage": divide(debt, debt + c("shareholders_equity_q")),
         "Capital_Expenditures": per_assets(c("capex_q")),
         "Research_and_Development": per_assets(c("research_and_development_expense_q")),
-        "Sales_Growth": F.try_divide(c("sale"), c("sale_lagged")),
+        "Sales_Growth": divide(c("sale"), c("sale_lagged")),
         "Firm_Size": F.ln("sale"),
         "Cash": per_assets(c("cash_and_short_term_investments_q")),
         "Asset_Tangibility": per_assets(c("ppe_q")),
@@ -134,7 +136,7 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def covariates(pulled: DataFrame) -> DataFrame:
+def covariates(pulled: DataFrame, divide: Callable[[Column, Column], Column] = F.try_divide) -> DataFrame:
     """Annual figures carried forward up to three quarters, prior-year values and the ratios."""
     group = ["permno", "ticker"]
     pulled = materialize(pulled)
@@ -155,7 +157,7 @@ def covariates(pulled: DataFrame) -> DataFrame:
         filled, season, [F.col("fyearq"), F.col("datadate"), F.col("gvkey")], 1,
         {"sale_lagged": prior("sale"), "employees_lagged": prior("employees")},
     )
-    return lagged.withColumns(ratios())
+    return lagged.withColumns(ratios(divide))
 
 
 def event_covariates(study: Study, factors: DataFrame, events: DataFrame) -> DataFrame:
