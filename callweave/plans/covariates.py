@@ -160,9 +160,11 @@ def covariates(pulled: DataFrame, divide: Callable[[Column, Column], Column] = F
     return lagged.withColumns(ratios(divide))
 
 
-def event_covariates(study: Study, factors: DataFrame, events: DataFrame) -> DataFrame:
+def event_covariates(
+    study: Study, factors: DataFrame, events: DataFrame, complete: Callable[[DataFrame], DataFrame] = nulls.finite_rows
+) -> DataFrame:
     """Complete rows of event results with the newest statement strictly before the event,
-    joined back to every event of the same firm and date."""
+    joined back to every event of the same firm and date. `complete` keeps the rows that count as such."""
     take = {c: c for c in ("datadate", "ticker", "comnam", *COVARIATES)}
     tie = ["fyearq", "fqtr", "gvkey", "ticker"]
     # one row per permno and date on both sides, as equal statement dates are merged
@@ -170,5 +172,4 @@ def event_covariates(study: Study, factors: DataFrame, events: DataFrame) -> Dat
         study.event_date, factors, ["permno"], "edate", "datadate", take, tie=tie, strict=True, bounded=True
     )
     columns = ["permno", "edate", "datadate", "ticker", "comnam", *COVARIATES, "cret", "car", "bhar"]
-    complete = nulls.finite_rows(joined.select(*columns))
-    return complete.join(events, ["permno", "edate"], "left")
+    return complete(joined.select(*columns)).join(events, ["permno", "edate"], "left")

@@ -23,7 +23,7 @@ def zeros(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["covariate_ratios"])
+@pytest.mark.parametrize("name", ["covariate_ratios", "event_covariates", "theme_regression", "significance_summary", "significance_totals"])
 def test_division_by_zero(spark, zeros, name):
     con, folder = zeros
     good, note = compare(spark, con, folder, name)
