@@ -163,7 +163,7 @@ def diverse_keywords(spark, folder):
 def hashed_embeddings(spark, folder):
     docs = inputs.texts(spark, folder, "conversations").select("conv_id", "turn", "text")
     found = topics.hashed_embeddings(docs, text.content_tokens(F.col("text"), STOPWORDS), 32)
-    spread = found.select("conv_id", "turn", F.posexplode("embedding").alias("place", "x"))
+    spread = found.select("conv_id", "turn", F.posexplode_outer("embedding").alias("place", "x"))  # never empty
     return spread.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 

@@ -287,3 +287,18 @@ def test_nearest_topic_and_shares(spark, monkeypatch, per_row, keys):
         positive = np.maximum(sims, 0)
         share = positive / positive.sum() if positive.any() else np.full(len(ids), 1 / len(ids))
         assert shares[i].probabilities == pytest.approx(list(share))
+
+
+def test_hashed_embeddings_take_the_words_once(spark, tmp_path):
+    from callweave.catalog.topic_queries import hashed_embeddings
+
+    rows = [(1, 0, "user", "Alpha beta, beta gamma!"), (1, 1, "user", ""), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = hashed_embeddings(spark, str(tmp_path))
+    # a plan that copies the list of hashed words into each of 32 counts repeats the work a word 64 times a copy
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    cells = {(r.conv_id, r.turn): [] for r in found.collect()}
+    for r in found.orderBy("conv_id", "turn", "place").collect():
+        cells[r.conv_id, r.turn].append(r.x)
+    assert {len(v) for v in cells.values()} == {32} and len(cells) == 3
+    assert sum(x * x for x in cells[1, 0]) == pytest.approx(1, abs=1e-4) and not any(cells[1, 1]) and not any(cells[2, 0])
