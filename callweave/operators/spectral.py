@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import vectors
@@ -80,11 +80,18 @@ def _dense(dims: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _times(x: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """(I + D^-1/2 W D^-1/2) / 2 times the block."""
+    """The links' matrix times the block; the block is read once, so that a chain of steps is no longer than its steps."""
     part = [F.sum(F.col("weight") * F.col("x")[i]) for i in range(width)]
-    moved = links.join(x.select(F.col("node").alias("b"), "x"), "b").groupBy("a").agg(F.array(*part).alias("y"))
-    joined = x.join(moved.withColumnRenamed("a", "node"), "node")
-    return joined.select("scope", "node", "degree", F.zip_with("x", "y", lambda u, v: (u + v) / 2).alias("x"))
+    moved = links.join(x.select(F.col("node").alias("b"), "x"), "b").groupBy("scope", "a").agg(F.array(*part).alias("x"))
+    return moved.select("scope", F.col("a").alias("node"), "x")
+
+
+def _lazy(links: DataFrame, degree: DataFrame) -> DataFrame:
+    """(I + D^-1/2 W D^-1/2) / 2 as links (scope, a, b, weight), the diagonal among them."""
+    other = degree.select(F.col("node").alias("b"), F.col("degree").alias("other"))
+    met = links.join(degree.withColumnRenamed("node", "a"), "a").join(other, "b")
+    beside = met.select("scope", "a", "b", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other")) / 2).alias("weight"))
+    return beside.unionAll(degree.select("scope", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.5).alias("weight")))
 
 
 def _gram(left: DataFrame, y: str, width: int, name: str) -> DataFrame:
@@ -103,15 +110,10 @@ def _by_scope(grams: DataFrame, solve: Callable[[np.ndarray], np.ndarray], width
 
 
 def _turned(x: DataFrame, turns: DataFrame, width: int) -> DataFrame:
-    cell = lambda i, j: F.col("x")[i] * F.col("turn")[i * width + j]
-
-    def column(j: int) -> Column:
-        total = cell(0, j)
-        for i in range(1, width):
-            total = total + cell(i, j)
-        return total
-
-    return x.join(turns, "scope").select("scope", "node", "degree", F.array(*[column(j) for j in range(width)]).alias("x"))
+    """The block times its scope's matrix; a matrix written out term by term is more code than the JVM compiles."""
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    columns = [F.transform(places, lambda i: F.get("turn", i * width + j)) for j in range(width)]
+    return x.join(turns, "scope").select("scope", "node", F.array(*[vectors.dot(F.col("x"), c) for c in columns]).alias("x"))
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
@@ -128,16 +130,16 @@ def _ritz(gram: np.ndarray) -> np.ndarray:
 def _iterated(points: DataFrame, weights: DataFrame, dims: int) -> DataFrame:
     """node and reduced of large scopes by block power iteration."""
     width = dims + 2
-    degree = weights.groupBy("a").agg(F.sum("weight").alias("degree"))
-    links = weights.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("degree").alias("other")), "b")
-    links = materialize(links.select("a", "b", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other"))).alias("weight")))
+    summed = weights.groupBy("a").agg(F.sum("weight").alias("degree")).withColumnRenamed("a", "node")
+    degree = materialize(points.select("scope", "node").join(summed, "node").select("scope", "node", "degree"))
+    links = materialize(_lazy(weights, degree))
     # the first column is the trivial vector; a few directions of the vectors are a smooth start for the rest
     rng = np.random.default_rng(42)
     starts = [F.lit(1.0)]
     for row in rng.normal(size=(width - 1, knn_graph.width(points))):
         starts.append(vectors.dot(F.col("vector"), F.array(*[F.lit(float(c)) for c in row])))
-    first = points.join(degree.withColumnRenamed("a", "node"), "node")
-    x = first.select("scope", "node", "degree", F.transform(F.array(*starts), lambda v: v * F.sqrt("degree")).alias("x"))
+    first = points.join(degree.select("node", "degree"), "node")
+    x = first.select("scope", "node", F.transform(F.array(*starts), lambda v: v * F.sqrt("degree")).alias("x"))
     for _ in range(ROUNDS):
         x = _turned(x, _by_scope(_gram(x, "x", width, "gram"), _orthonormal, width), width)
         for _ in range(STEPS):
@@ -147,7 +149,7 @@ def _iterated(points: DataFrame, weights: DataFrame, dims: int) -> DataFrame:
     y = _times(x, links, width).select("node", F.col("x").alias("y"))
     inner = x.join(y, "node")
     x = materialize(_turned(x, _by_scope(_gram(inner, "y", width, "gram"), _ritz, width), width))
-    inner = x.join(_times(x, links, width).select("node", F.col("x").alias("y")), "node")
+    inner = x.join(_times(x, links, width).select("node", F.col("x").alias("y")), "node").join(degree.select("node", "degree"), "node")
     value = [F.sum(F.col("x")[i] * F.col("y")[i]) * 2 - 1 for i in range(width)]
     peak = [F.max_by(F.col("x")[i], F.abs(F.col("x")[i] / F.sqrt("degree"))) for i in range(width)]
     facts = materialize(inner.groupBy("scope").agg(F.array(*value).alias("values"), F.array(*peak).alias("peaks"), F.sum("degree").alias("total")))
@@ -155,7 +157,7 @@ def _iterated(points: DataFrame, weights: DataFrame, dims: int) -> DataFrame:
         F.col("x")[i] / F.sqrt("degree") * F.sqrt("total") * F.pow(F.least(F.greatest(F.col("values")[i], F.lit(0.0)), F.lit(1.0)), TIME)
         * F.when(F.col("peaks")[i] < 0, -1.0).otherwise(1.0)
     )
-    return x.join(facts, "scope").select("node", F.array(*[axis(i) for i in range(1, dims + 1)]).alias("reduced"))
+    return x.join(degree.select("node", "degree"), "node").join(facts, "scope").select("node", F.array(*[axis(i) for i in range(1, dims + 1)]).alias("reduced"))
 
 
 def layout(

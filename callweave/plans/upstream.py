@@ -46,10 +46,7 @@ def model_topics(
     )
     raw = embedded.join(clusters.withColumnRenamed("cluster", "topic_id"), ["firm_id", "sentence_id"])
     placed = topics.nearest_topics(raw, ["firm_id"]).withColumn("topic_id", F.col("assigned_topic"))
-    shared = topics.topic_shares(placed.drop("assigned_topic", "similarity"), ["firm_id"])
-    at = F.array_position("topics", F.col("topic_id"))
-    probability = F.when(at > 0, F.element_at("probabilities", F.greatest(at, F.lit(1)).cast("int")))
-    assigned = materialize(shared.withColumn("probability", probability).drop("topics", "probabilities"))
+    assigned = materialize(topics.own_shares(placed.drop("assigned_topic", "similarity"), ["firm_id"]))
     return assigned, _described(assigned, words, settings["representation"], size if encoder is None else None)
 
 

@@ -57,3 +57,27 @@ def test_few_points_and_nulls(spark):
     got = {r.id: r.reduced for r in spectral.layout(_frame(spark, x, [0, 0, 0, 0, 1]), ["firm"], "id", "v", 4).collect()}
     assert got[2] is None and got[3] is None and got[4] == [0.0] * 4
     assert len(got[0]) == 4 and got[0][1:] == [0.0] * 3
+
+
+def test_a_chain_of_steps_reads_its_block_once(spark, capsys):
+    """Four steps are four joins, not one more for every path back to the first block."""
+    links = spark.sql("SELECT id % 3 AS scope, id AS a, id + 1 AS b, 0.5D AS weight FROM range(9)")
+    x = spark.sql("SELECT id % 3 AS scope, id AS node, id * 1D AS degree, array(1D, 2D) AS x FROM range(9)")
+    for _ in range(4):
+        x = spectral._times(x, links, 2)
+    x.explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("Join") == 4
+
+
+def test_a_wide_rotation_is_little_code(spark, capsys):
+    """Written out term by term it passed the size that the JVM compiles."""
+    width = 12
+    x = spark.range(3).selectExpr("id AS scope", "id AS node", "1D AS degree", f"transform(sequence(1, {width}), i -> i * 1D + id) AS x")
+    turn = np.random.default_rng(0).normal(size=(width, width))
+    turns = spark.createDataFrame([(i, (turn + i).ravel().tolist()) for i in range(3)], "scope long, turn array<double>")
+    out = spectral._turned(x, turns, width)
+    for r in out.collect():
+        assert np.allclose(r.x, (np.arange(1, width + 1) + r.node) @ (turn + r.scope))
+    out.explain("simple")
+    assert capsys.readouterr().out.count("turn#") < width * width

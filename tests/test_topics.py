@@ -289,6 +289,22 @@ def test_nearest_topic_and_shares(spark, monkeypatch, per_row, keys):
         assert shares[i].probabilities == pytest.approx(list(share))
 
 
+@pytest.mark.parametrize("keys", [["firm"], []])
+def test_own_shares_are_those_of_the_whole_list(spark, monkeypatch, keys):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "ab"[i % 2], int(rng.integers(-1, 7)), rng.normal(size=5).tolist()) for i in range(700)]
+    rows += [(700, "a", -1, None), (701, "a", 2, [0.0] * 5), (702, "c", -1, [1.0] * 5), (703, None, 2, [1.0] * 5)]
+    points = spark.createDataFrame(rows, "id long, firm string, topic_id int, embedding array<float>").coalesce(1)
+    every = topics.topic_shares(points, keys).collect()
+    want = {r.id: dict(zip(r.topics, r.probabilities)).get(r.topic_id) for r in every}
+    for limit in (topics.TREE_BYTES, 0):
+        monkeypatch.setattr(topics, "TREE_BYTES", limit)
+        got = {r.id: r.probability for r in topics.own_shares(points, keys).collect()}
+        assert got.keys() == want.keys()
+        for i, share in want.items():
+            assert got[i] == (None if share is None else pytest.approx(share, abs=1e-12)), i
+
+
 def test_hashed_embeddings_take_the_words_once(spark, tmp_path):
     from callweave.catalog.topic_queries import hashed_embeddings
 
