@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import dates, text
+from callweave.session import materialize
 
 POSITIVE, NEGATIVE, NEUTRAL = "positive", "negative", "neutral"
 GROUP = ["theme_id", "theme_name", "firm_id", "firm_name", "permno", "earnings_call_date"]
@@ -35,7 +36,8 @@ def word_model(labelled: DataFrame, features: int = 1 << 15, penalty: float = 1e
 
     Rows without a label are left out. The fit sums gradients where the rows are; what it returns is one weight per feature and label.
     """
-    known = _featured(labelled.filter(F.col(label).isNotNull()), features, text_column)
+    featured = _featured(labelled.filter(F.col(label).isNotNull()), features, text_column)
+    known = materialize(featured.select(label, "_features"))  # the fit reads them more than once
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     fit = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=penalty, standardization=False, probabilityCol="_share", predictionCol="_class", rawPredictionCol="_raw")
     named = index.fit(known)
@@ -44,8 +46,10 @@ def word_model(labelled: DataFrame, features: int = 1 << 15, penalty: float = 1e
 
 
 def _featured(rows: DataFrame, features: int, text_column: str) -> DataFrame:
-    words = text.ngrams(text.tokens(F.coalesce(F.col(text_column), F.lit(""))), 1, 2)
-    counted = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=features).transform(rows.withColumn("_grams", words))
+    # the tokens are a column of their own: the n-grams name them several times, and each would split the text again
+    worded = rows.withColumn("_words", text.tokens(F.coalesce(F.col(text_column), F.lit(""))))
+    grams = worded.withColumn("_grams", text.ngrams(F.col("_words"), 1, 2)).drop("_words")
+    counted = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=features).transform(grams)
     return Normalizer(inputCol="_counts", outputCol="_features").transform(counted)
 
 

@@ -33,3 +33,10 @@ def test_three_labels_nulls_and_columns(spark):
     found = {r.id: r for r in got.collect()}
     assert [found[i].label for i in (1, 2, 3)] == ["positive", "negative", "neutral"]
     assert found[4].score == found[5].score == pytest.approx(1 / 3, abs=1e-3) and found[1].score > 0.5
+
+
+def test_texts_are_split_once(spark):
+    """The n-grams name the tokens several times; each copy in the plan would split the text again."""
+    rows = spark.createDataFrame([("a b c",)], "text string")
+    plan = sentiment._featured(rows, 16, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
