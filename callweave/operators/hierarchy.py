@@ -14,6 +14,7 @@ a point, and walks it with arrays of the same order; no vector and no text comes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from callweave.session import materialize
 
 NEIGHBORS = 15
 PART_LINKS = 2_000_000
+MERGE_ROWS = 65_536
 LINK = ["weight", "a", "b"]
 
 
@@ -84,7 +86,8 @@ class Merges:
         self.size = [1] * n
         top = list(range(n))  # union-find over points
         node = list(range(n))  # dendrogram node of a root
-        for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist(), strict=True):
+        parts = (slice(i, i + MERGE_ROWS) for i in range(0, len(a), MERGE_ROWS))  # never all links as Python numbers
+        for x, y, w in chain.from_iterable(zip(a[p].tolist(), b[p].tolist(), weight[p].tolist(), strict=True) for p in parts):
             while top[x] != x:
                 top[x] = top[top[x]]
                 x = top[x]

@@ -26,6 +26,7 @@ LEAF = 1024
 CUTS = 3
 SLACK = 4
 ROUNDS = 2
+AMONG_ROWS = 256
 EDGE = "a long, b long, distance double"
 
 
@@ -129,19 +130,20 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _among(batches):
-    """Distances between all points of one list."""
+    """Distances between all points of one list; what is held and sent on is that of AMONG_ROWS lists."""
     for batch in batches:
-        rows = {"a": [], "b": [], "distance": []}
-        for ids, vectors in zip(batch.column("ids"), batch.column("vectors"), strict=True):
-            nodes = ids.values.to_numpy()
-            x = vectors.values.flatten().to_numpy().reshape(len(nodes), -1)
-            i, j = np.triu_indices(len(nodes), 1)
-            d = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
-            rows["a"] += [nodes[i], nodes[j]]
-            rows["b"] += [nodes[j], nodes[i]]
-            rows["distance"] += [d, d]
-        joined = {c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "distance" else np.int64) for c, v in rows.items()}
-        yield pa.RecordBatch.from_pydict(joined)
+        for low in range(0, batch.num_rows, AMONG_ROWS):
+            part = batch.slice(low, AMONG_ROWS)
+            rows = {"a": [], "b": [], "distance": []}
+            for ids, vectors in zip(part.column("ids"), part.column("vectors"), strict=True):
+                nodes = ids.values.to_numpy()
+                x = vectors.values.flatten().to_numpy().reshape(len(nodes), -1)
+                i, j = np.triu_indices(len(nodes), 1)
+                d = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
+                rows["a"] += [nodes[i], nodes[j]]
+                rows["b"] += [nodes[j], nodes[i]]
+                rows["distance"] += [d, d]
+            yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in rows.items()})
 
 
 def graph(points: DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_topics import _rand_index
 
@@ -162,3 +163,14 @@ def test_copies_nulls_and_tiny_keys(spark):
     assert hierarchy.tree_clusters(none, ["firm"], "id", "v").count() == 0
     with pytest.raises(ValueError, match="selection"):
         hierarchy.tree_clusters(none, ["firm"], "id", "v", selection="best")
+
+
+def test_lists_are_compared_in_small_batches():
+    """A batch of 1,000 lists gives several of pairs, together the same ones."""
+    rng = np.random.default_rng(1)
+    ids = [rng.choice(10**6, 5, replace=False).tolist() for _ in range(1000)]
+    lists = pa.RecordBatch.from_pydict({"ids": ids, "vectors": [rng.normal(size=(5, 3)).tolist() for _ in ids]})
+    found = list(knn_graph._among(iter([lists])))
+    assert [b.num_rows for b in found] == [20 * n for n in (256, 256, 256, 232)]
+    pairs = {(a, b) for part in found for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())}
+    assert pairs == {(a, b) for row in ids for a in row for b in row if a != b}
