@@ -31,18 +31,26 @@ def split_sentences(text: Column) -> Column:
     return F.filter(pieces, lambda s: s != "")
 
 
+def _lettered(word: Column) -> Column:
+    """Whether the first character is a letter a to z, by a comparison of bytes."""
+    return (word >= "a") & (word < "{")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case tokens without edge punctuation."""
-    words = F.split(F.lower(text), r"\s+")
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, EDGE_PUNCTUATION, "")), lambda w: w != "")
+    """Lower-case tokens without edge punctuation; the pattern is left to words that do not begin and end with a letter a to z."""
+
+    def stripped(word: Column) -> Column:
+        return F.when(_lettered(word) & _lettered(F.substring(word, -1, 1)), word).otherwise(F.regexp_replace(word, EDGE_PUNCTUATION, ""))
+
+    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), stripped), lambda w: w != "")
 
 
 def content_tokens(text: Column, stopwords: Sequence[str]) -> Column:
     """Tokens that are neither stop words nor number-like."""
 
     def keep(word: Column) -> Column:
-        # the stop words come first: a set lookup is cheaper than the pattern
-        plain = ~word.rlike(NUMERIC_TOKEN)
+        # the cheap tests come first: what begins with a letter is no number, and a set lookup is cheaper than the pattern
+        plain = _lettered(word) | ~word.rlike(NUMERIC_TOKEN)
         return ~word.isin(*stopwords) & plain if stopwords else plain
 
     return F.filter(tokens(text), keep)

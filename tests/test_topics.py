@@ -40,6 +40,18 @@ def test_cleaning_drops_numbers_and_stop_words(spark):
     assert {"thank", "operator", "the"} <= set(stop)
 
 
+def test_words_that_skip_the_pattern_are_those_it_leaves(spark):
+    rng = np.random.default_rng(5)
+    signs = list("azAZÉé1٣$€£+-%.,:/()'{`&\u0085\u2028\U0001d400 \t\n")
+    rows = [("".join(rng.choice(signs, rng.integers(0, 30))),) for _ in range(3000)] + [(None,), ("",), ("the $5 5% 3rd a$ $ -5.- a. .a z",)]
+    d = spark.createDataFrame(rows, "t string")
+    words = F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.regexp_replace(w, text.EDGE_PUNCTUATION, ""))
+    plain = F.filter(words, lambda w: w != "")
+    kept = F.filter(plain, lambda w: ~w.rlike(text.NUMERIC_TOKEN))
+    assert d.filter(~text.tokens(F.col("t")).eqNullSafe(plain)).isEmpty()
+    assert d.filter(~text.content_tokens(F.col("t"), []).eqNullSafe(kept)).isEmpty()
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
     got = [r[0] for r in df.select(text.ngrams(F.col("w"), 1, 2)).collect()]
