@@ -4,17 +4,15 @@ Two texts are linked if their fingerprints are (see `simhash`) or if their sets
 or more. Sets are held as 64-bit hashes. Candidates come from minima of 96 hash orders in 24 bands of four: a pair at 0.8 shares no band
 with probability (1 - 0.8^4)^24 = 3e-6, a closer one less. Every candidate is verified on the whole sets.
 
-Texts with equal sets go in as one. A band's bucket is first compared with its least row. Where a bucket is left with several
-components, a row drawn from outside its largest one is compared with those of other components, twice; each bucket draws
-its own, so components that have many links between them merge. What is left outside the largest component is then compared with all
-others of the bucket: no pair of different components is left out, rows that are joined never meet, and a group of near
+Texts with equal sets go in as one. Band keys are compared as `buckets` says, beginning with the components of the fingerprints, a pair only
+in its first common band: no pair of different components is left out, rows that are joined never meet, and a group of near
 copies costs some rows each, not one a pair.
 
 Before any text is read, a pair must pass what its sketches prove. A set's odd sketch has a bit for every residue of its hashes, set if an
 odd number of them fall on it; two sketches differ in no more bits than the sets have unlike members. At a coefficient j these
 are at most (1 - j) / (1 + j) of both sizes together, so a pair that differs in more bits cannot reach it: the test in the
-join condition drops pairs, never links. A sketch has as many bits as the set has members, rounded up to a power of two (64 at least),
-and a longer one is folded for a shorter one.
+join condition drops pairs, never links. A sketch has four times as many bits as the set has members, rounded up to a power of two (64 at
+least), so that few pairs below the limit pass; a longer one is folded for a shorter one.
 
 Texts of fewer than five words are one shingle. Null, empty and wordless texts have none and are left to the fingerprints. Repeated
 rows fall in one group. Empty tables give empty results.
@@ -31,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm import simhash
-from callweave.llm.components import components
+from callweave.llm.buckets import connected, shared_rows
 from callweave.llm.shared import alone, free_name, small_batches, spread, with_row_ids
 from callweave.session import materialize
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
-PIVOT_ROUNDS = 2
 ROWS = 4
+SPARE = 4
 BLOCK = 2048
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 _FLIPS, _ODDS = _SEEDS[0], _SEEDS[1] | np.uint64(1)
@@ -84,7 +82,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def odd_sketch(found: np.ndarray) -> np.ndarray:
     """Parity of the members on each residue, as longs."""
-    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    bits = max(64, 1 << max(0, SPARE * len(found) - 1).bit_length())
     counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
 
@@ -140,60 +138,20 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b").mapInPandas(compared, "a long, b long")
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns])
-
-
-def links(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of texts (columns node, text) that reach the coefficient."""
+def links(texts: DataFrame, least: float = LEAST, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of texts (columns node, text) that reach the coefficient, and of `known` ones."""
     if not 0.5 <= least <= 1:
         raise ValueError("the bands find coefficients of one half and more, reliably from 0.8")
     found = materialize(sketches(spread(texts)))
     equal = found.groupBy("size", "whole").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
     same = materialize(found.join(equal, ["size", "whole"]).filter("a < node").select("a", F.col("node").alias("b")))
     alone_ = found.join(same.select(F.col("b").alias("node")), "node", "left_anti")
-    keyed = alone_.select("node", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    shared = materialize(keyed.join(met.select("key", "first"), "key"))
-    odd = materialize(found.select("node", "size", "odd").join(shared.select("node").distinct(), "node", "left_semi"))
-
-    sides = [_side(odd, side) for side in "ab"]
-
-    def tested(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
-        """Pairs (node_a, node_b) that the sketches let pass and no earlier pass has compared, the smaller node first."""
-        few = pairs.join(sides[0], "node_a").join(sides[1], "node_b").filter(possible(least))
-        few = few.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        return materialize(few if before is None else few.join(before, ["a", "b"], "left_anti"))
-
-    tried = tested(shared.filter("first < node").select(F.col("first").alias("node_a"), F.col("node").alias("node_b")).distinct(), None)
-    linked = materialize(same.unionAll(verified(tried, texts, least)))
-    roots = components(linked)
-    for _ in range(PIVOT_ROUNDS):
-        rest = materialize(_open_rows(shared, roots))
-        draw = F.xxhash64("node", "key")
-        pivots = rest.filter("root <> largest").groupBy("key").agg(F.min_by(F.struct("node", "root"), F.struct(draw, "node")).alias("pivot"))
-        met = rest.join(pivots, "key").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.node").alias("node_a"), F.col("node").alias("node_b"))
-        fresh = tested(met.distinct(), tried)
-        tried = materialize(tried.unionAll(fresh))
-        linked = materialize(linked.unionAll(verified(fresh, texts, least)))
-        roots = components(linked)
-
-    rest = materialize(_open_rows(shared, roots).join(odd, "node"))
-    outside = _side(rest.filter("root <> largest").select("key", "node", "root", "size", "odd"), "a")
-    everyone = _side(rest.select("key", "node", "root", "size", "odd", (F.col("root") != F.col("largest")).alias("out")), "b")
-    once = ~F.col("out_b") | (F.col("node_a") < F.col("node_b"))
-    again = outside.join(everyone, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & once & possible(least))
-    pairs = again.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-    return linked.unionAll(materialize(verified(fresh, texts, least)))
-
-
-def _open_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, node, root) of the buckets that hold several components, with the bucket's `largest` one."""
-    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
-    return placed.join(open_.select("key", "largest"), "key")
+    shared = materialize(shared_rows(alone_.select("node", F.posexplode("keys").alias("band", "key"))))
+    facts = materialize(found.select("node", "size", "keys", "odd").join(shared.select("node").distinct(), "node", "left_semi"))
+    first = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    before = same if known is None else materialize(same.unionAll(known.select("a", "b")))
+    roots = connected(shared, facts, before, possible(least), first, lambda pairs: verified(pairs, texts, least))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def groups(texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -201,8 +159,8 @@ def groups(texts: DataFrame, least: float = LEAST) -> DataFrame:
     small_batches(texts.sparkSession)
     printed = simhash.groups(texts, "node", "text").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     linked = materialize(printed.filter("a <> b"))
-    found = components(linked.unionAll(links(texts, least)))
-    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component_id"))
+    found = links(texts, least, linked)
+    return texts.select("node").join(found.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

@@ -10,7 +10,8 @@ words and of all pairs one bit away (up to eleven distinct keys of 24 bits), and
 Candidates meet in an equi join on the key and are verified by their bit difference inside the join, each only
 for the first pair of segments that brings it within two bits.
 
-Equal fingerprints are linked through one entry, so a group of copies costs one row. Links become components.
+Equal fingerprints are linked through one entry, so a group of copies costs one row. Links become components. A key of more than 64
+fingerprints is compared as `buckets` says, so that a group of near copies costs some rows each, not one a pair.
 
 Null, empty and wordless texts have the fingerprint zero and are linked like any other. A null identifier
 never names a component, but its text links others; a component of null identifiers only is null. Unlike texts of one identifier
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from callweave.llm.components import components
+from callweave.llm.buckets import connected, shared_rows, side
 from callweave.llm.shared import alone, free_name, small_batches, spread, table, with_row_ids
 from callweave.session import materialize
 
@@ -40,6 +41,7 @@ WIDTHS = (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b110001110101
 COUNT_ROWS = 1 << 16
+CROWD = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -121,33 +123,55 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints differ in `max_bits` bits or fewer.
-
-    `prints` has distinct fingerprints (`print`) with a long `node` each. `max_bits` may be at most four.
-    """
-    if max_bits > MAX_BITS:
-        raise ValueError(f"the keys find differences of up to {MAX_BITS} bits")
-
+def _keyed(prints: DataFrame) -> DataFrame:
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["print"].to_numpy(np.int64)
             rows, keys = fuzzy_keys(values)
             yield pd.DataFrame({"key": keys.astype(np.int32), "print": values[rows], "node": batch["node"].to_numpy(np.int64)[rows]})
 
-    keyed = materialize(prints.select("print", "node").mapInPandas(listed, "key int, print long, node long"))
-    left, right = (keyed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "print", "node")]) for s in "ab")
-    apart = F.col("print_a").bitwiseXOR(F.col("print_b"))
+    return materialize(prints.select("print", "node").mapInPandas(listed, "key int, print long, node long"))
+
+
+def _apart() -> Column:
+    return F.col("print_a").bitwiseXOR(F.col("print_b"))
+
+
+def _first_close() -> Column:
+    """Whether the key is one of the first pair of segments that brings the fingerprints within two bits."""
     masks = [_mask(s) | _mask(t) for s, t in PAIRS]
-    close = [F.bit_count(apart.bitwiseAND(F.lit(_signed(m)))) <= MAX_BITS // 2 for m in masks]
+    close = [F.bit_count(_apart().bitwiseAND(F.lit(_signed(m)))) <= MAX_BITS // 2 for m in masks]
     pair = F.shiftright("key_a", 24)
-    first = ((pair == 0) & close[0]) | ((pair == 1) & ~close[0] & close[1]) | ((pair == 2) & ~close[0] & ~close[1] & close[2])
-    verified = (F.col("print_a") < F.col("print_b")) & (F.bit_count(apart) <= max_bits) & first
-    return (
-        left.join(right, (F.col("key_a") == F.col("key_b")) & verified)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-    )
+    return ((pair == 0) & close[0]) | ((pair == 1) & ~close[0] & close[1]) | ((pair == 2) & ~close[0] & ~close[1] & close[2])
+
+
+def _met(keyed: DataFrame, max_bits: int) -> DataFrame:
+    verified = (F.col("print_a") < F.col("print_b")) & (F.bit_count(_apart()) <= max_bits) & _first_close()
+    found = side(keyed, "a").join(side(keyed, "b"), (F.col("key_a") == F.col("key_b")) & verified)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _checked(max_bits: int) -> int:
+    if max_bits > MAX_BITS:
+        raise ValueError(f"the keys find differences of up to {MAX_BITS} bits")
+    return max_bits
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in `max_bits` bits or fewer.
+
+    `prints` has distinct fingerprints (`print`) with a long `node` each. `max_bits` may be at most four.
+    """
+    return _met(_keyed(prints), _checked(max_bits))
+
+
+def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(node, root) of the components of `links`, without a row for every link where many fingerprints share a key."""
+    test = F.bit_count(_apart()) <= _checked(max_bits)
+    keyed = _keyed(prints)
+    crowded = materialize(shared_rows(keyed.select("key", "node"), CROWD + 1))
+    few = keyed.join(crowded.select("key").distinct(), "key", "left_anti")
+    return connected(crowded, prints.select("node", "print"), materialize(_met(few, max_bits)), test, _first_close())
 
 
 def _mask(segment: int) -> int:
@@ -165,7 +189,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits
     printed = materialize(whole.select("doc_id", fingerprints(F.col("text")).alias("print")))
     least = printed.groupBy("print").agg(F.min("doc_id").alias("least"))
     nodes = materialize(least.withColumn("node", F.monotonically_increasing_id()))
-    found = components(materialize(links(nodes, max_bits)))
+    found = linked(nodes, max_bits)
     rooted = materialize(nodes.join(found, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return printed.join(rooted.join(names, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")

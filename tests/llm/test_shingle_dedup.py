@@ -5,6 +5,7 @@ import numpy as np
 
 import corpus_pipeline
 from callweave.llm import shingle_dedup, simhash
+from callweave.llm.components import components
 
 
 def edited(text, places):
@@ -103,3 +104,26 @@ def test_a_bucket_of_unlike_near_copies_makes_few_rows(spark, monkeypatch):
     assert sum(seen) < 3 * len(rows) and found <= sum(seen)
     near = [i for i in range(0, 700, 50) if plain_jaccard(rows[i][1], rows[0][1]) >= 0.8]
     assert near == [0]
+
+
+def test_a_group_of_loosely_linked_copies_makes_few_rows(spark, monkeypatch):
+    """Nine hundred texts of which one pair in fifty or so is linked: rows that are compared grow with the texts, not with their pairs."""
+    base = cases.prose(200, 12)
+    rnd = np.random.default_rng(3)
+    rows = [edited(base, sorted(int(p) for p in rnd.choice(np.arange(0, 180, 3), 4, replace=False))) for _ in range(900)]
+    sets = [set(shingle_dedup.shingles(t.encode()).tolist()) for t in rows]
+    label, pairs = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                pairs += 1
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label] if low < high else label
+    seen = []
+    verified = shingle_dedup.verified
+    monkeypatch.setattr(shingle_dedup, "verified", lambda met, *a: (seen.append(met.count()), verified(met, *a))[1])
+    found = components(shingle_dedup.links(spark.createDataFrame(list(enumerate(rows)), "node long, text string")))
+    assert {r.node: r.root for r in found.collect()} == {i: x for i, x in enumerate(label) if i != x}
+    assert pairs > 8 * len(rows)
+    assert sum(seen) < 8 * len(rows)

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from callweave.llm import components as steps
 from callweave.llm import simhash
 from callweave.llm.components import components
 
@@ -147,3 +148,20 @@ def test_native_hash_is_the_same(spark):
     text = "one two three four"
     native = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
     assert native % 2**64 == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_a_group_of_near_copies_makes_few_links(spark, monkeypatch):
+    """Fingerprints of four bits of thirty, of which one pair in fourteen or so is linked, beside some that are far from all."""
+    rnd = np.random.default_rng(4)
+    prints = sorted({sum(1 << int(b) for b in rnd.choice(30, 4, replace=False)) for _ in range(1200)} | {int(v) for v in rnd.integers(1 << 60, 1 << 62, 50)})
+    rows = [(str(p), i) for i, p in enumerate(prints)]
+    links = sum((a ^ b).bit_count() <= 4 for i, a in enumerate(prints) for b in prints[:i])
+    seen = []
+    star = steps._large_star
+    monkeypatch.setattr(steps, "_large_star", lambda edges: (seen.append(edges.count()), star(edges))[1])
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, *_: text.cast("long"))
+    got = simhash.groups(spark.createDataFrame(rows, "text string, doc_id long")).collect()
+    want = plain_components({i: p for i, p in enumerate(prints)})
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert links > 30 * len(prints)
+    assert max(seen) < 15 * len(prints)
