@@ -168,10 +168,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(node, root) of the components of `links`, without a row for every link where many fingerprints share a key."""
     test = F.bit_count(_apart()) <= _checked(max_bits)
-    keyed = _keyed(prints)
-    crowded = materialize(shared_rows(keyed.select("key", "node"), CROWD + 1))
-    few = keyed.join(crowded.select("key").distinct(), "key", "left_anti")
-    return connected(crowded, prints.select("node", "print"), materialize(_met(few, max_bits)), test, _first_close())
+    shared = materialize(shared_rows(_keyed(prints)))
+    few = materialize(_met(shared.filter(F.col("n") <= CROWD).select("key", "print", "node"), max_bits))
+    crowded = shared.filter(F.col("n") > CROWD).drop("print")
+    return connected(crowded, prints.select("node", "print"), few, test, _first_close())
 
 
 def _mask(segment: int) -> int:
