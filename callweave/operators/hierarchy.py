@@ -244,5 +244,5 @@ def tree_clusters(
 ) -> DataFrame:
     """Cluster number of each point inside its key, -1 for noise; 0 is the largest cluster. Points without a vector are noise."""
     placed, links = density_links(points, keys, item, vector, min_samples, neighbors)
-    labels = link_clusters(links, min_cluster_size, selection)
+    labels = materialize(link_clusters(links, min_cluster_size, selection))  # the forest is walked once, however often it is read
     return placed.join(labels, "node", "left").select(*keys, item, F.coalesce("cluster", F.lit(-1)).alias("cluster"))

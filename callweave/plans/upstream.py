@@ -45,8 +45,9 @@ def model_topics(
         reduced, ["firm_id"], "sentence_id", "reduced", grid["min_cluster_size"], grid["min_samples"], grid["cluster_selection_method"]
     )
     raw = embedded.join(clusters.withColumnRenamed("cluster", "topic_id"), ["firm_id", "sentence_id"])
-    placed = topics.nearest_topics(raw, ["firm_id"]).withColumn("topic_id", F.col("assigned_topic"))
-    assigned = materialize(topics.own_shares(placed.drop("assigned_topic", "similarity"), ["firm_id"]))
+    placed = topics.nearest_topics(raw, ["firm_id"], similarity=False).withColumn("topic_id", F.col("assigned_topic"))
+    # stored, as both the centroids and the shares read it
+    assigned = materialize(topics.own_shares(materialize(placed.drop("assigned_topic")), ["firm_id"]))
     return assigned, _described(assigned, words, settings["representation"], size if encoder is None else None)
 
 

@@ -174,3 +174,48 @@ def test_lists_are_compared_in_small_batches():
     assert [b.num_rows for b in found] == [20 * n for n in (256, 256, 256, 232)]
     pairs = {(a, b) for part in found for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())}
     assert pairs == {(a, b) for row in ids for a in row for b in row if a != b}
+
+
+def test_only_pairs_within_reach_are_sent():
+    """A pair goes to the points whose last neighbour is not nearer than it."""
+    rng = np.random.default_rng(2)
+    ids = [rng.choice(10**6, n, replace=False).tolist() for n in (5, 3, 1, 4) * 100]
+    x, reach = ([rng.uniform(0, 2, (len(row), n)).tolist() for row in ids] for n in (3, 1))
+    reach = [[r for (r,) in row] for row in reach]
+    reach[0][0] = float("inf")
+    lists = pa.RecordBatch.from_pydict({"ids": ids, "vectors": x, "reach": reach})
+    got = [(r["a"], r["b"], r["distance"]) for part in knn_graph._among(iter([lists])) for r in part.to_pylist()]
+    want = []
+    for nodes, v, far in zip(ids, x, reach):
+        for i in range(len(nodes)):
+            for j in range(len(nodes)):
+                d = float(np.sqrt(((np.array(v[i]) - np.array(v[j])) ** 2).sum()))
+                if i != j and d <= far[i]:
+                    want.append((nodes[i], nodes[j], d))
+    assert sorted(got) == sorted(want)
+
+
+def test_cells_are_cut_without_carrying_vectors(spark, monkeypatch):
+    """Stored rounds hold no vector, more rounds than were reckoned with too (equal points go by a coin); small keys are one cell."""
+    x = np.random.default_rng(4).normal(size=(600, 3))
+    x[100:400] = x[0]
+    firms = [0] * 580 + [1] * 20
+    placed = knn_graph.placed(_frame(spark, x, firms), ["firm"], "id", "v")
+    stored, materialize = [], knn_graph.materialize
+    monkeypatch.setattr(knn_graph, "materialize", lambda df: (stored.append(df.columns), materialize(df))[1])
+    got = knn_graph.cells(placed, trees=3, leaf=32).toPandas()
+    assert stored and not any("vector" in columns for columns in stored)
+    large = got[got.groupby("scope")["node"].transform("nunique") > 20]
+    assert (large.groupby("node")["tree"].agg(list).map(sorted).map(tuple) == (0, 1, 2)).all() and large["node"].nunique() == 580
+    assert large.groupby(["tree", "path"]).size().max() <= 32
+    small = got[~got["node"].isin(large["node"])]
+    assert small[["tree", "path"]].drop_duplicates().values.tolist() == [[0, 0]] and len(small) == 20
+    vectors = placed.select("node", "vector").toPandas().set_index("node")["vector"]
+    assert all(list(vectors[n]) == list(v) for n, v in zip(got["node"], got["vector"]))
+
+
+def test_lists_of_several_trees_are_merged():
+    """Each neighbour once, at its least distance; ties go by number."""
+    lists = pa.RecordBatch.from_pydict({"a": [7, 9], "ids": [[1, 2, 3, 2, 5, 4], [1]], "far": [[0.5, 0.4, 0.9, 0.3, 0.5, 0.5], [2.0]]})
+    (got,) = knn_graph._merged(3)(iter([lists]))
+    assert [tuple(r.values()) for r in got.to_pylist()] == [(7, 2, 0.3), (7, 1, 0.5), (7, 4, 0.5), (9, 1, 2.0)]

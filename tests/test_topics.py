@@ -356,3 +356,43 @@ def test_windows_shuffle_no_row_each(spark):
         whole = sum(sums.values())
         for t, s in sums.items():
             assert got[doc, t] == pytest.approx(s / whole if whole else 0.5)
+
+
+def test_terms_of_a_scope_are_weighed_in_many_tasks(spark):
+    """No shuffle sends all terms of a firm to one task, and null topics keep their weights."""
+    rows = [(f"f{i % 2}", i % 5 if i % 7 else None, f"w{i % 11}", 1 + i % 4, 20 + i % 11) for i in range(70)]
+    counts = spark.createDataFrame(rows, "firm string, topic int, term string, tf long, term_total long").dropDuplicates(["firm", "topic", "term"])
+    keys = ["firm", "topic"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = topics.top_terms(topics.class_tfidf(counts, keys, ["firm"]), keys, 100)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        got = {(r.firm, r.topic, r.term): r.weight for r in ranked.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(firm#" in x and "topic#" not in x]
+    table = counts.toPandas()
+    words = table.groupby(keys, dropna=False)["tf"].sum().groupby("firm").mean()
+    want = table["tf"] * np.log(1 + table["firm"].map(words) / table["term_total"])
+    assert got == {(f, None if np.isnan(t) else t, w): pytest.approx(x) for f, t, w, x in zip(table["firm"], table["topic"], table["term"], want)}
+
+
+def test_rows_that_cannot_move_are_not_compared(spark, monkeypatch):
+    """Without the similarity the same topics are assigned, and the trees see the noise alone."""
+    rng = np.random.default_rng(12)
+    rows = [(i, int(rng.integers(-1, 4)), rng.normal(size=5).tolist()) for i in range(80)]
+    points = spark.createDataFrame(rows, "i int, topic_id int, embedding array<double>")
+    want = {r.i: r.assigned_topic for r in topics.nearest_topics(points, []).collect()}
+    asked, trees = [], topics._from_trees
+    monkeypatch.setattr(topics, "_from_trees", lambda df, unit, keys, topic, vector: (asked.append(df.filter(F.col(vector).isNotNull()).count()), trees(df, unit, keys, topic, vector))[1])
+    got = topics.nearest_topics(points, [], similarity=False)
+    assert got.columns == [*points.columns, "assigned_topic"] and {r.i: r.assigned_topic for r in got.collect()} == want
+    assert asked == [sum(t == -1 for _, t, _ in rows)]
+
+
+def test_diverse_terms_break_ties_by_rank(spark):
+    """Zero vectors overlap with nothing; equal scores go by rank; a topic with fewer terms gives them all."""
+    rows = [("t", 3, "c", 0.5, [0.0, 0.0]), ("t", 1, "a", 0.5, [1.0, 0.0]), ("t", 2, "b", 0.5, [2.0, 0.0]), ("u", 1, "z", 0.1, [1.0, 1.0])]
+    near = spark.createDataFrame(rows, "topic_id string, rank long, term string, similarity double, term_vector array<float>")
+    assert {r.topic_id: r.terms for r in topics.diverse_terms(near, ["topic_id"], 3, 0.3).collect()} == {"t": ["a", "c", "b"], "u": ["z"]}
