@@ -6,7 +6,7 @@ the root of the degree and damped by the eigenvalue's power `TIME`, as in a diff
 short paths join, on curved sheets too, and parts of the graph that are not joined lie apart.
 
 A key of `leaf` points at most is solved densely in one task. Larger keys are iterated together: a block of columns is multiplied by (I + D^-1/2 W
-D^-1/2) / 2 in sparse joins (one row a link), made orthonormal from its Gram matrix, summed where the rows are and factorised once
+D^-1/2) / 2 in sparse joins (a point meets the list of its links; its products are summed before they are shuffled), made orthonormal from its Gram matrix, summed where the rows are and factorised once
 a key, and rotated by the Rayleigh-Ritz problem in the end. What a key sends on is a matrix of (dims + 2)^2 numbers.
 
 The sign of every axis makes its largest coordinate positive. Copies share their place. Points without a vector have null coordinates; a point alone in its key
@@ -30,6 +30,8 @@ NEIGHBORS = 15
 TIME = 4
 ROUNDS = 6
 STEPS = 4
+SENT_LINKS = 1 << 21
+SENT_ROWS = 1 << 16
 
 
 def affinities(edges: DataFrame) -> DataFrame:
@@ -79,11 +81,50 @@ def _dense(dims: int) -> Callable[[pa.Table], pa.Table]:
     return solved
 
 
+def _listed(links: DataFrame) -> DataFrame:
+    """Links (scope, a, b, weight) as one row a column of the matrix: scope, node, and the ids and weights of its links."""
+    lists = [F.collect_list("a").alias("ids"), F.collect_list("weight").alias("weights")]
+    return links.groupBy("scope", F.col("b").alias("node")).agg(*lists)
+
+
+def _summed(held: list[pa.RecordBatch], width: int):
+    """Products of the rows' links with their block rows, summed by the node that they go to."""
+    part = {c: pa.concat_arrays([b.column(c) for b in held]) for c in ("scope", "ids", "weights", "x")}
+    row = np.repeat(np.arange(len(part["ids"])), part["ids"].value_lengths().to_numpy())
+    weight, x = part["weights"].flatten().to_numpy(), part["x"].flatten().to_numpy().reshape(-1, width).T.copy()
+    nodes, place = np.unique(part["ids"].flatten().to_numpy(), return_inverse=True)
+    scope = np.empty(len(nodes), np.int64)
+    scope[place] = part["scope"].to_numpy()[row]
+    out = [np.bincount(place, weight * x[c][row], len(nodes)) for c in range(width)]
+    columns = {"scope": scope, "node": nodes, **{f"x{c}": out[c] for c in range(width)}}
+    for low in range(0, len(nodes), SENT_ROWS):
+        yield pa.RecordBatch.from_pydict({name: column[low : low + SENT_ROWS] for name, column in columns.items()})
+
+
+def _sent(width: int):
+    """Sums of some SENT_LINKS links at a time."""
+
+    def run(batches):
+        held, links = [], 0
+        for batch in filter(len, batches):
+            held.append(batch)
+            links += len(batch.column("ids").flatten())
+            if links >= SENT_LINKS:
+                yield from _summed(held, width)
+                held, links = [], 0
+        if held:
+            yield from _summed(held, width)
+
+    return run
+
+
 def _times(x: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """The links' matrix times the block; the block is read once, so that a chain of steps is no longer than its steps."""
-    part = [F.sum(F.col("weight") * F.col("x")[i]) for i in range(width)]
-    moved = links.join(x.select(F.col("node").alias("b"), "x"), "b").groupBy("scope", "a").agg(F.array(*part).alias("x"))
-    return moved.select("scope", F.col("a").alias("node"), "x")
+    lists = links if "ids" in links.columns else _listed(links)
+    met = lists.join(x.select("node", "x"), "node").select("scope", "ids", "weights", "x")
+    sums = [f"x{c}" for c in range(width)]
+    sent = met.mapInArrow(_sent(width), f"scope long, node long, {', '.join(f'{c} double' for c in sums)}")
+    return sent.groupBy("scope", "node").agg(F.array(*[F.sum(c) for c in sums]).alias("x"))
 
 
 def _lazy(links: DataFrame, degree: DataFrame) -> DataFrame:
@@ -132,7 +173,7 @@ def _iterated(points: DataFrame, weights: DataFrame, dims: int) -> DataFrame:
     width = dims + 2
     summed = weights.groupBy("a").agg(F.sum("weight").alias("degree")).withColumnRenamed("a", "node")
     degree = materialize(points.select("scope", "node").join(summed, "node").select("scope", "node", "degree"))
-    links = materialize(_lazy(weights, degree))
+    links = materialize(_listed(_lazy(weights, degree)))
     # the first column is the trivial vector; a few directions of the vectors are a smooth start for the rest
     rng = np.random.default_rng(42)
     starts = [F.lit(1.0)]

@@ -81,3 +81,27 @@ def test_a_wide_rotation_is_little_code(spark, capsys):
         assert np.allclose(r.x, (np.arange(1, width + 1) + r.node) @ (turn + r.scope))
     out.explain("simple")
     assert capsys.readouterr().out.count("turn#") < width * width
+
+
+def test_steps_send_sums_not_links(spark, monkeypatch):
+    """A step is the matrix product; links of one task that go to one node are summed before they are sent, some at a time."""
+    rng = np.random.default_rng(7)
+    w = np.where(rng.uniform(size=(60, 60)) < 0.3, rng.uniform(size=(60, 60)), 0.0)
+    x = rng.normal(size=(60, 3))
+    rows = [(f, int(a) + 100 * f, int(b) + 100 * f, float(w[a, b])) for f in (0, 1) for a, b in zip(*w.nonzero())]
+    links = spark.createDataFrame(rows, "scope long, a long, b long, weight double")
+    block = spark.createDataFrame([(f, i + 100 * f, (x[i] + f).tolist()) for f in (0, 1) for i in range(60)], "scope long, node long, x array<double>")
+    got = {r.node: (r.scope, r.x) for r in spectral._times(block, links, 3).collect()}
+    for f in (0, 1):
+        want = w @ (x + f)
+        for a in np.flatnonzero(w.any(axis=1)):
+            assert got[a + 100 * f][0] == f and np.allclose(got[a + 100 * f][1], want[a])
+    lists = spectral._listed(links).join(block.select("node", "x"), "node").toArrow().to_batches()
+    monkeypatch.setattr(spectral, "SENT_LINKS", 10**6)
+    assert sum(b.num_rows for b in spectral._sent(3)(iter(lists))) == len({a for _, a, _, _ in rows})
+    monkeypatch.setattr(spectral, "SENT_LINKS", 100)
+    total = {}
+    for part in spectral._sent(3)(iter([b.slice(i, 1) for b in lists for i in range(b.num_rows)])):
+        for row in part.to_pylist():
+            total[row["node"]] = total.get(row["node"], 0) + np.array([row[f"x{c}"] for c in range(3)])
+    assert total.keys() == got.keys() and all(np.allclose(total[n], got[n][1]) for n in got)
