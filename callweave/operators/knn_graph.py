@@ -32,6 +32,7 @@ DEPTH = 20
 AMONG_ROWS = 256
 AMONG_CELLS = 1 << 18
 EDGE = "a long, b long, distance double"
+PRODUCTS = "scope long, node long, p array<array<double>>"
 NEAREST = "a long, ids array<long>, far array<double>"
 
 
@@ -58,7 +59,7 @@ def to_heads(points: DataFrame, first: DataFrame) -> DataFrame:
     return points.join(first.select("scope", "vector", F.col("node").alias("head")), ["scope", "vector"]).select("scope", "node", "head")
 
 
-def _projected(directions: np.ndarray):
+def projected(directions: np.ndarray):
     """Products of the vectors with each tree's directions (trees, number, size), summed in the order of the components."""
 
     def run(batches):
@@ -99,7 +100,7 @@ def cells(points: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int = 4
         if level == 0:
             # the products of the next levels in one pass; a point carries these numbers from cell to cell
             directions = np.stack([rng.normal(size=(trees, size)) for _ in range(levels * CUTS)], axis=1)
-            made = known.mapInArrow(_projected(directions), "scope long, node long, p array<array<double>>")
+            made = known.mapInArrow(projected(directions), PRODUCTS)
             if dealt is None:
                 dealt = made.join(counts, "scope").select("scope", "node", "p", F.explode(listed).alias("tree"), F.lit(0).cast("long").alias("path"))
             else:

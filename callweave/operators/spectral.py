@@ -176,11 +176,9 @@ def _iterated(points: DataFrame, weights: DataFrame, dims: int) -> DataFrame:
     links = materialize(_listed(_lazy(weights, degree)))
     # the first column is the trivial vector; a few directions of the vectors are a smooth start for the rest
     rng = np.random.default_rng(42)
-    starts = [F.lit(1.0)]
-    for row in rng.normal(size=(width - 1, knn_graph.width(points))):
-        starts.append(vectors.dot(F.col("vector"), F.array(*[F.lit(float(c)) for c in row])))
-    first = points.join(degree.select("node", "degree"), "node")
-    x = first.select("scope", "node", F.transform(F.array(*starts), lambda v: v * F.sqrt("degree")).alias("x"))
+    starts = points.mapInArrow(knn_graph.projected(rng.normal(size=(1, width - 1, knn_graph.width(points)))), knn_graph.PRODUCTS)
+    column = F.concat(F.array(F.lit(1.0)), F.col("p")[0])
+    x = starts.join(degree.select("node", "degree"), "node").select("scope", "node", F.transform(column, lambda v: v * F.sqrt("degree")).alias("x"))
     for _ in range(ROUNDS):
         x = _turned(x, _by_scope(_gram(x, "x", width, "gram"), _orthonormal, width), width)
         for _ in range(STEPS):
